@@ -120,9 +120,12 @@ def _both(x: Column, y: Column) -> Column:
     return F.struct(x["n_words"].alias("n_words"), F.concat(x["spans"], y["spans"]).alias("spans"), F.array_sort(F.array_union(x["item_ids"], y["item_ids"])).alias("item_ids"))
 
 
-@F.arrow_udf("array<struct<first:long,last:long>>")
-def _merge(spans: pa.Array) -> pa.Array:
-    return pa.array([[{"first": a, "last": b} for a, b in merged([(x["first"], x["last"]) for x in row])] for row in spans.to_pylist()], spans.type)
+def _merge(spans: Column) -> Column:
+    @F.arrow_udf("array<struct<first:long,last:long>>")
+    def run(rows: pa.Array) -> pa.Array:
+        return pa.array([[{"first": a, "last": b} for a, b in merged([(x["first"], x["last"]) for x in row])] for row in rows.to_pylist()], rows.type)
+
+    return run(spans)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES, out: str = "contamination") -> DataFrame:

@@ -11,10 +11,12 @@
    only (a star); the sketches' XOR population count drops pairs that can't
    reach the threshold, and the rest are confirmed on full shingle sets.
 4. Buckets whose classes are not in one component yet are searched again, between
-   components only, in blocks: a bucket is dealt into blocks of BLOCK classes,
-   pairs of blocks are tasks' groups, sketches are compared inside, and only
-   pairs that pass the sketches leave.  No pair of one component is emitted, and
-   no bucket is collected as a whole.
+   components only, in blocks: a bucket is dealt into blocks of BLOCK classes and
+   pairs of blocks are searched where they meet.  A first search, by sketches,
+   finds the classes of which some pair passes; a second, over these with their
+   texts, confirms pairs on full sets and returns as many links as connect the
+   components.  No pairs are emitted for a later step, and no bucket is held as a
+   whole.
 5. Connected components over all confirmed links.
 """
 
@@ -24,7 +26,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,7 @@ from strainspark.scratch import Scratch
 BANDS, ROWS = 32, 4
 SKETCH_BITS = 512
 #: Classes of a bucket that one group of the second search holds of each side.
-BLOCK = 256
+BLOCK = 512
 
 SIGNATURE = f"doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, {', '.join(f's{k} long' for k in range(SKETCH_BITS // 64))}"
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
@@ -127,23 +128,91 @@ def _confirm(size: int, threshold: int):
     return run
 
 
-def _between(most: int, threshold: int):
-    """Candidate pairs of different components within one pair of blocks of one bucket."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = pdf[pdf["i"] == pdf["p"]], pdf[pdf["i"] == pdf["q"]]
-        sketch, other = left[SKETCH].to_numpy(np.int64), right[SKETCH].to_numpy(np.int64)
-        node, nodes = left["node"].to_numpy(), right["node"].to_numpy()
-        comp, comps = left["component"].to_numpy(), right["component"].to_numpy()
-        n, ns = left["n_shingles"].to_numpy(), right["n_shingles"].to_numpy()
-        out = []
-        for k in range(len(node)):
-            near = np.bitwise_count((other ^ sketch[k]).view(np.uint64)).sum(axis=1) <= most
-            near &= (comps != comp[k]) & (100 * np.minimum(n[k], ns) >= threshold * np.maximum(n[k], ns))
-            if pdf["p"].iat[0] == pdf["q"].iat[0]:
-                near &= nodes > node[k]
-            out += [(min(node[k], x), max(node[k], x)) for x in nodes[near]]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The runs of rows of one (key, p, q), which the input is sorted by."""
+    held: pa.Table | None = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        table = pa.concat_tables([held, table]) if held is not None else table
+        keys = np.stack([table[x].to_numpy() for x in ("key", "p", "q")], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+        for first, last in zip(cuts, cuts[1:], strict=False):
+            yield table.slice(first, last - first)
+        held = table.slice(cuts[-1])
+    if held is not None and held.num_rows:
+        yield held
+
+
+def _near(group: pa.Table, most: int, threshold: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) that sketches and sizes let pass, of different components; each pair of rows once."""
+    i, p, q = (group[x].to_numpy() for x in ("i", "p", "q"))
+    left, right = np.flatnonzero(i == p), np.flatnonzero(i == q)
+    sketch = np.stack([group[s].to_numpy() for s in SKETCH], axis=1).view(np.uint64)
+    component, n = group["component"].to_numpy(), group["n_shingles"].to_numpy()
+    for k in left.tolist():
+        near = right[(component[right] != component[k]) & (100 * np.minimum(n[k], n[right]) >= threshold * np.maximum(n[k], n[right]))]
+        near = near[np.bitwise_count(sketch[near] ^ sketch[k]).sum(axis=1) <= most]
+        if p[0] == q[0]:
+            near = near[near > k]
+        if len(near):
+            yield k, near
+
+
+def _promising(most: int, threshold: int):
+    """The members of each group that some pair lets pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            rows = np.unique(np.concatenate([x for k, near in _near(group, most, threshold) for x in ([k], near)] or [np.empty(0, np.int64)])).astype(np.int64)
+            if len(rows):
+                found = group.select(["key", "node"]).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([c.combine_chunks() for c in found.columns], names=["key", "node"])
+
+    return run
+
+
+def _search(size: int, most: int, threshold: int):
+    """Links between components within each group, confirmed on full sets; as many as connect them.
+
+    A pair that meets in several buckets is looked at in the first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for group in _groups(batches):
+            bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            key, node, component = group["key"][0].as_py(), group["node"].to_numpy(), group["component"].to_numpy()
+            with np.errstate(over="ignore"):
+                sets = [shingle_set(x, size, hashes.fresh()) for x in binary(group["text"])]
+            lengths = np.array([len(x) for x in sets])
+            # Shingles as small numbers, so that a set is a mark in a table and a count of shared ones a look-up.
+            number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+            ends = np.cumsum(lengths)
+            mark = np.zeros(int(number.max(initial=0)) + 1, bool)
+            above: dict[int, int] = {}
+
+            def top(x: int, above: dict[int, int] = above) -> int:
+                while (y := above.get(x, x)) != x:
+                    x = y
+                return x
+
+            found = []
+            for k, near in _near(group, most, threshold):
+                same = bands[near] == bands[k]
+                near = near[bands[k][same.argmax(axis=1)] == key]
+                mine = number[ends[k] - lengths[k] : ends[k]]
+                mark[mine] = True
+                for x in near.tolist():
+                    a, b = top(int(component[k])), top(int(component[x]))
+                    if a == b:
+                        continue
+                    both = int(np.count_nonzero(mark[number[ends[x] - lengths[x] : ends[x]]]))
+                    if 100 * both >= threshold * (lengths[k] + lengths[x] - both):
+                        above[max(a, b)] = min(a, b)
+                        found.append((int(node[k]), int(node[x])))
+                mark[mine] = False
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -186,32 +255,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 .filter((_parity("x", "y") <= most) & (100 * F.least("x.n_shingles", "y.n_shingles") >= threshold * F.greatest("x.n_shingles", "y.n_shingles")))
                 .select("a", "b"))
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        held = scratch.keep(texts.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), f"held{len(kept_names)}")
-        kept_names.append("held")
-        x, y = held.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), held.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
-        return pairs.join(y, "b").join(x, "a").select("a", "b", "left", "right").mapInArrow(_confirm(shingle, threshold), "a long, b long")
+    # One pass over the texts for all later verification.
+    nodes = members.select(F.col("node").alias("doc_id")).distinct()
+    held = scratch.keep(texts.hint("merge").join(nodes, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "held")
 
-    kept_names: list[str] = []
     stars = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = scratch.keep(sketched(stars), "pairs")
-    linked = scratch.keep(confirmed(pairs), "linked")
-    scratch.drop("held0")
+    x, y = held.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), held.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
+    linked = scratch.keep(sketched(stars).join(y, "b").join(x, "a").select("a", "b", "left", "right").mapInArrow(_confirm(shingle, threshold), "a long, b long"), "linked")
 
-    # Buckets that hold several components still: their classes, with the component so far.
+    # Buckets that hold several components still, dealt into blocks: each block meets itself and each other block once.
     first = connected_components(linked, scratch, "first")
     placed = members.join(first, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     open_buckets = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).filter("low < high")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("long")
-    rest = (placed.join(open_buckets.select("key", "n"), "key").join(slim, "node")
-            .withColumn("blocks", blocks).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks"))))
-    dealt = rest.select("key", "node", "component", "n_shingles", *SKETCH, "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("j"))
-    dealt = dealt.withColumn("p", F.least("i", "j")).withColumn("q", F.greatest("i", "j")).drop("j")
-    crossing = dealt.groupBy("key", "p", "q").applyInPandas(_between(most, threshold), "a long, b long").distinct()
-    pairs2 = scratch.keep(crossing.join(pairs, ["a", "b"], "left_anti"), "pairs2")
-    linked2 = scratch.keep(confirmed(pairs2), "linked2")
-    scratch.drop("members", "pairs", "pairs2", "held1")
+    rest = scratch.keep(placed.join(open_buckets.select("key", "n"), "key").join(slim, "node"), "rest")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("long")).withColumn("i", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        rows = rows.withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        rows = rows.withColumn("p", F.least("i", "j")).withColumn("q", F.greatest("i", "j")).drop("j", "blocks", "n")
+        return rows.repartition(tasks, "key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+    promising = scratch.keep(dealt(rest).mapInArrow(_promising(most, threshold), "key long, node long").distinct(), "promising")
+    sizes = promising.groupBy("key").agg(F.count("*").alias("n"))
+    again = rest.drop("n").join(promising, ["key", "node"]).join(sizes, "key")
+    texted = held.withColumnRenamed("doc_id", "node")
+    again = again.join(classes.select("node", "bands"), "node").join(texted, "node")
+    linked2 = scratch.keep(dealt(again).mapInArrow(_search(shingle, most, threshold), "a long, b long"), "linked2")
+    scratch.drop("members", "held", "rest", "promising")
 
     found = connected_components(linked.union(linked2), scratch, "all")
     component = classes.select("set_a", "set_b", "node").join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id"))

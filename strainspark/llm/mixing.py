@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from strainspark.scratch import Scratch
 
 MARGINS = ("source", "lang", "topic")
-#: Without targets, shares are raised to this power, which lifts rare sources and languages.
-TEMPERATURE = 0.7
+#: Without targets, shares are raised to this power, which lifts rare sources, languages and topics
+#: gently, so that about half of the documents are drawn.
+TEMPERATURE = 0.9
 ROUNDS = 12
 
 #: Topics by the words that mark them; the first that fits, else prose.

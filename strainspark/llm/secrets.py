@@ -148,7 +148,7 @@ def _spans(text: Column, rule: Rule, matches: Column, groups: Column) -> Column:
     Matches are leftmost and do not overlap; the pieces between them give their places.
     """
     pieces = F.split(text, rule.pattern, -1)
-    lengths = F.zip_with(F.transform(F.slice(pieces, F.lit(1), F.size(matches)), F.length), matches, lambda gap, m: F.struct(gap.alias("gap"), F.length(m).alias("n")))
+    lengths = F.zip_with(F.transform(F.slice(pieces, F.lit(1), F.size(matches)), lambda piece: F.length(piece)), matches, lambda gap, m: F.struct(gap.alias("gap"), F.length(m).alias("n")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
     walked = F.aggregate(lengths, start, lambda s, x: F.struct((s["at"] + x["gap"] + x["n"]).alias("at"), F.concat(s["spans"], F.array(F.struct((s["at"] + x["gap"]).alias("start"), (s["at"] + x["gap"] + x["n"]).alias("end")))).alias("spans")))
     kept = F.filter(F.zip_with(walked["spans"], groups, lambda s, g: F.when(F.length(g) >= rule.least, s)), lambda s: s.isNotNull())
@@ -186,10 +186,15 @@ def find_secrets(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", tex
         texts = texts.withColumn(f"m_{r.kind}", looked)
     for k, r in enumerate(rules):
         groups = F.col(f"m_{r.kind}") if r.group == 0 else F.when(F.size(f"m_{r.kind}") > 0, F.regexp_extract_all("text", F.lit(r.pattern), F.lit(r.group))).otherwise(none)
-        texts = texts.withColumn(f"s_{r.kind}", F.transform(_spans(F.col("text"), r, F.col(f"m_{r.kind}"), groups), lambda s, k=k, r=r: F.struct(s["start"].alias("start"), F.lit(k).alias("place"), F.lit(r.kind).alias("kind"), s["end"].alias("end"))))
+        placed = _spans(F.col("text"), r, F.col(f"m_{r.kind}"), groups)
+        texts = texts.withColumn(f"s_{r.kind}", F.transform(placed, _named(k, r.kind)))
     return texts.select("doc_id", "text", F.array_sort(F.concat(*[F.col(f"s_{r.kind}") for r in rules])).alias("spans"))
 
 
+def _named(place: int, kind: str):
+    return lambda s: F.struct(s["start"].alias("start"), F.lit(place).alias("place"), F.lit(kind).alias("kind"), s["end"].alias("end"))
+
+
 def _at_least(rule: Rule) -> str:
     """Of a single repeated class: the pattern of a run of ``least`` or more; else the pattern itself."""
     parsed = list(_parser.parse(rule.pattern))

@@ -97,9 +97,9 @@ def report(pages: DataFrame) -> DataFrame:
 
 REPORT_SQL = """
 WITH u AS (SELECT row_number() OVER () AS row, page_id, coalesce(regexp_extract(substr(url, strpos(url, '://') + 3), '^[^/?#]*'), '') AS h, url,
-                  strpos(url, '://') AS at FROM pages),
-p AS (SELECT row, page_id, CASE WHEN coalesce(at, 0) = 0 THEN '' ELSE translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS host,
-             CASE WHEN coalesce(at, 0) = 0 THEN '' ELSE regexp_extract(substr(url, at + 3 + length(h)), '^[^?#]*') END AS path FROM u),
+                  strpos(url, '://') AS pos FROM pages),
+p AS (SELECT row, page_id, CASE WHEN coalesce(pos, 0) = 0 THEN '' ELSE translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS host,
+             CASE WHEN coalesce(pos, 0) = 0 THEN '' ELSE regexp_extract(substr(url, pos + 3 + length(h)), '^[^?#]*') END AS path FROM u),
 r(verdict, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 m AS (SELECT p.*, rhost || rpath AS rule, verdict, row_number() OVER (PARTITION BY row ORDER BY length(rhost || rpath) DESC NULLS LAST) AS k
       FROM p LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))

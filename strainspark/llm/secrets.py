@@ -220,7 +220,7 @@ def _sql_spans(place: int, rule: Rule) -> str:
     return f"""
       SELECT row, {place} AS place, '{rule.kind}' AS kind, start, start + length(m) AS stop
       FROM (SELECT row, unnest(ms) AS m, unnest(gs) AS g,
-                   unnest(list_transform(range(1, len(ms) + 1), i -> list_sum(list_transform(ps[1:i], p -> length(p))) + coalesce(list_sum(list_transform(ms[1:i - 1], p -> length(p))), 0))) AS start
+                   unnest(list_transform(range(1, len(ms) + 1), lambda i: list_sum(list_transform(ps[1:i], lambda p: length(p))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda p: length(p))), 0))) AS start
             FROM (SELECT row, regexp_extract_all(t, {pattern}) AS ms, regexp_extract_all(t, {pattern}, {rule.group}) AS gs, string_split_regex(t, {pattern}) AS ps FROM d{
                 f" WHERE regexp_matches(t, '{_at_least(rule)}')" if _at_least(rule) != rule.pattern else ""}))
       WHERE length(g) >= {rule.least}"""

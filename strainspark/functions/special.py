@@ -8,6 +8,7 @@ conditional maximum-likelihood odds ratio.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 
@@ -61,11 +62,12 @@ def _hypergeometric(a: int, b: int, c: int, d: int) -> tuple[np.ndarray, np.ndar
     """(support of the first cell, its log weights) with the table's margins held."""
     row, other, col = a + b, c + d, a + c
     support = np.arange(max(0, col - other), min(row, col) + 1)
-    lg = np.vectorize(math.lgamma)
-    weights = -(lg(support + 1.0) + lg(row - support + 1.0) + lg(col - support + 1.0) + lg(other - col + support + 1.0))
+    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, row + other + 1)))])
+    weights = -sum(log_factorial[x] for x in (support, row - support, col - support, other - col + support))
     return support, weights - weights.max()
 
 
+@lru_cache(maxsize=100_000)
 def fisher_exact(a: int, b: int, c: int, d: int) -> tuple[float, float]:
     """(conditional maximum-likelihood odds ratio, two-sided p) of the table [[a, b], [c, d]]."""
     support, weights = _hypergeometric(a, b, c, d)
@@ -84,7 +86,7 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> tuple[float, float]:
         return float((support * w).sum() / w.sum())
 
     low, high = -50.0, 50.0
-    for _ in range(200):
+    for _ in range(70):
         middle = (low + high) / 2
         low, high = (middle, high) if mean(middle) < a else (low, middle)
     return math.exp((low + high) / 2), p

@@ -107,20 +107,20 @@ def predict(model: Model, scores: _Scores, text: str | None) -> tuple[str, float
     return model.languages[best], float(odds[best] / odds.sum())
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", max_docs: int = TRAIN_DOCS, max_words: int = MODEL_WORDS) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = TRAIN_DOCS, max_words: int = MODEL_WORDS) -> Model:
     """A model of the labelled rows; null texts and null languages are left out.
 
     Of a language with more than ``max_docs`` documents a share is taken by hash,
     so the sample, the word counts and the model that is broadcast are bounded by
     max_docs and max_words for each language, whatever the size of the table.
     """
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id")).filter("text IS NOT NULL AND lang IS NOT NULL")
     documents = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not documents:
         return Model({}, {})
     share = F.create_map(*[F.lit(x) for lang, n in sorted(documents.items()) for x in (lang, min(1.0, max_docs / n))])
-    place = F.pmod(F.xxhash64(F.lit("sample"), "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.filter(place < share[F.col("lang")])
+    place = F.pmod(F.xxhash64(F.lit("sample"), "id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = rows.filter(place < share[F.col("lang")]).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

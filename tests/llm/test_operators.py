@@ -318,6 +318,14 @@ def edits(a, b):
     return row[-1]
 
 
+def similar(a, b):
+    most = int(max(len(a), len(b)) * 0.1 + 1e-9)
+    if max(len(a), len(b)) <= line_dedup.LONG_LINE:
+        return edits(a, b) <= most
+    x, y, n = a.split(" "), b.split(" "), line_dedup.PIECE_WORDS
+    return sum(edits(" ".join(x[k : k + n]), " ".join(y[k : k + n])) for k in range(0, max(len(x), len(y)), n)) <= most
+
+
 def test_line_groups_are_brute_force(spark):
     rng = np.random.default_rng(6)
     words = [f"tok{k}" for k in range(50)]
@@ -334,7 +342,7 @@ def test_line_groups_are_brute_force(spark):
     rows = [(k, "\n".join([" ".join(line).capitalize() + ".", "", "--"])) for k, line in enumerate(lines)]
     norms = [re.sub(r"[^a-z0-9]+", " ", " ".join(line)).strip() for line in lines]
     sims = [simhash(x) for x in norms]
-    links = [(a, b) for a in range(len(lines)) for b in range(a) if norms[a] == norms[b] or bin(sims[a] ^ sims[b]).count("1") <= 3 and edits(norms[a], norms[b]) <= int(max(len(norms[a]), len(norms[b])) * 0.1 + 1e-9)]
+    links = [(a, b) for a in range(len(lines)) for b in range(a) if norms[a] == norms[b] or bin(sims[a] ^ sims[b]).count("1") <= 3 and similar(norms[a], norms[b])]
     top = components(range(len(lines)), links)
     groups = line_dedup.line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: r.kept for r in groups} == {k: top[k] == k for k in top} and links

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strainspark.llm.words import binary
@@ -39,7 +39,7 @@ from strainspark.scratch import Scratch
 MAGIC = b"SVB1"
 #: Ids of one file, at which the next one begins; a longer document has a file of its own.
 FILE_IDS = 2_000_000
-MEMO_CHUNKS, MEMO_PIECES = 600_000, 400_000
+MEMO_CHUNKS, MEMO_PIECES = 450_000, 300_000
 
 #: Fixed values of the tokenizer file whose pieces are remembered: its splitting pattern.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -115,6 +115,16 @@ class _Memo(dict):
             self.clear()
 
 
+#: The encoder of this worker; what it remembers serves the worker's later tasks too.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
     """Control bytes and data bytes of unsigned 32-bit ranks."""
     extra = (ranks >= 1 << 8).astype(np.uint8) + (ranks >= 1 << 16) + (ranks >= 1 << 24)
@@ -163,21 +173,21 @@ def read_file(content: bytes, id_of: np.ndarray) -> tuple[list[int | None], np.n
     return [None if gone else int(x) for x, gone in zip(doc_ids, null, strict=True)], lengths, start, id_of[unpack(control, data, n_ids)]
 
 
-_GROUPS = "part int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, ids binary"
+_GROUPS = "part int, seq int, inside long, n_ids long, doc_ids array<long>, lengths array<long>, ids binary"
 
 
 def _group(path: str, end_id: int, file_ids: int):
     """Sorted documents of a partition to rows of about ``file_ids`` ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq, inside = encoder_of(path), TaskContext.get().partitionId(), 0, 0
         end = np.array([end_id], encoder.dtype).tobytes()
         doc_ids, pieces, held = [], [], 0
 
         def row() -> pa.RecordBatch:
             lengths = [len(x) // encoder.dtype.itemsize for x in pieces]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([sum(lengths)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([b"".join(pieces)], pa.binary())],
-                                              names=["part", "seq", "n_ids", "doc_ids", "lengths", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([inside], pa.int64()), pa.array([sum(lengths)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([b"".join(pieces)], pa.binary())],
+                                              names=["part", "seq", "inside", "n_ids", "doc_ids", "lengths", "ids"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
@@ -186,7 +196,7 @@ def _group(path: str, end_id: int, file_ids: int):
                 held += len(pieces[-1]) // encoder.dtype.itemsize
                 if held >= file_ids:
                     yield row()
-                    doc_ids, pieces, held, seq = [], [], 0, seq + 1
+                    doc_ids, pieces, held, seq, inside = [], [], 0, seq + 1, inside + held
         if doc_ids:
             yield row()
 
@@ -207,7 +217,7 @@ def _count(wide: str):
     return run
 
 
-def _write(folder: str, ranks, wide: str):
+def _write(folder: str, ranks, starts, wide: str):
     """Writes one file a row.  A file is moved to its name when complete; a task that is run again writes the same bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +227,7 @@ def _write(folder: str, ranks, wide: str):
         for batch in batches:
             names = []
             for row in batch.to_pylist():
-                content = write_file(np.frombuffer(row["ids"], wide), row["doc_ids"], np.array(row["lengths"], np.int64), row["start"], ranks.value)
+                content = write_file(np.frombuffer(row["ids"], wide), row["doc_ids"], np.array(row["lengths"], np.int64), int(starts.value[row["part"]]) + row["inside"], ranks.value)
                 names.append(f"part-{row['part']:06d}-{row['seq']:06d}.svb")
                 with store.open_output_stream(f"{root}/_{attempt}-{names[-1]}") as out:
                     out.write(content)
@@ -246,7 +256,8 @@ def encode_corpus(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     Documents are dealt by ranges of doc_id, null ids first, and sorted within;
     documents of one id are ordered by text.  A null text is empty and has the end
     id only; an empty table writes no file.  Only the counts of each id, as many
-    as the vocabulary holds, come to the driver.
+    as the vocabulary holds, and of each part, as many as there are shuffle
+    partitions, come to the driver.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession, "tokens")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
@@ -259,12 +270,13 @@ def encode_corpus(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     table = spark.createDataFrame([(k, x, n) for k, (n, x) in enumerate(ordered)], "rank long, id long, n long")
     table.write.mode("overwrite").parquet(f"{folder}/ranks")
 
-    # Ids before each file: totals of the parts, then of the files within a part.
-    sizes = groups.groupBy("part").agg(F.sum("n_ids").alias("all")).withColumn("before", F.sum("all").over(Window.orderBy("part")) - F.col("all"))
-    within = Window.partitionBy("part").orderBy("seq")
-    starts = groups.select("part", "seq", "n_ids").withColumn("inside", F.sum("n_ids").over(within) - F.col("n_ids")).join(sizes, "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("start"))
-    placed = groups.join(starts, ["part", "seq"])
-    scratch.keep(placed.mapInArrow(_write(f"{folder}/files", spark.sparkContext.broadcast(rank_of), wide), "file string"), "written")
+    # Ids before each part; there are as many parts as shuffle partitions at most.  Within a part each row has its own.
+    sizes = {r["part"]: r["n"] for r in groups.groupBy("part").agg(F.sum("n_ids").alias("n")).collect()}
+    before = np.zeros(max(sizes, default=0) + 2, np.int64)
+    for part, n in sizes.items():
+        before[part + 1] = n
+    starts = spark.sparkContext.broadcast(np.cumsum(before))
+    scratch.keep(groups.mapInArrow(_write(f"{folder}/files", spark.sparkContext.broadcast(rank_of), starts, wide), "file string"), "written")
     scratch.drop("groups", "written")
     return table
 

@@ -14,7 +14,7 @@ DATA = os.environ.get("STRAINSPARK_TESTDATA", "/root/testdata/sf0.001")
 def spark():
     from strainspark.session import get_session
 
-    session = get_session("tests", "local[4]", spark__sql__shuffle__partitions="4", spark__driver__memory="4g")
+    session = get_session("tests", "local[4]", spark__sql__shuffle__partitions="2", spark__driver__memory="4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
 

@@ -2,9 +2,9 @@
 
 import pytest
 
-from strainspark.plans import abundance, inference
+from strainspark.plans import abundance, features, inference
 
-QUERIES, SQL = abundance.Q | inference.Q, abundance.SQL | inference.SQL
+QUERIES, SQL = abundance.Q | features.Q | inference.Q, abundance.SQL | features.SQL | inference.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -352,6 +352,25 @@ def test_line_groups_are_brute_force(spark):
     assert all(len(x) == 1 for x in by_group.values())
 
 
+def test_recall_of_similar_lines(spark):
+    """Of pairs that edit similarity alone links, at least nine of ten meet; the bits of SimHashes aren't asked."""
+    rng = np.random.default_rng(8)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnoprstuvw"), size=rng.integers(2, 10)))
+    pairs = []
+    while len(pairs) < 120:
+        base = [word() for _ in range(rng.integers(8, 45))]
+        own = list(base)
+        for k in rng.choice(len(own), size=rng.integers(1, 2 + len(own) // 12), replace=False):
+            own[k] = word()
+        a, b = " ".join(base), " ".join(own)
+        if a != b and edits(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9):
+            pairs.append((a, b))
+    rows = [(2 * k + side, pair[side]) for k, pair in enumerate(pairs) for side in (0, 1)]
+    groups = {r.doc_id: r.group for r in line_dedup.line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(groups[2 * k] == groups[2 * k + 1] for k in range(len(pairs))) >= 0.9 * len(pairs)
+    assert len({groups[2 * k] for k in range(len(pairs))}) == len(pairs)
+
+
 def test_lines_of_odd_rows(odd, empty):
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.dropped) for r in line_dedup.report(odd).collect()}
     assert got[2] == got[3] == got[5] == (0, 0, "") and got[9] == (3, 1, "2") and got[8] == (1, 0, "")

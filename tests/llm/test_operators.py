@@ -371,6 +371,19 @@ def test_recall_of_similar_lines(spark):
     assert len({groups[2 * k] for k in range(len(pairs))}) == len(pairs)
 
 
+def test_long_lines_are_compared_whole(spark):
+    """Words put in front of a long line shift all pieces, but not the distance."""
+    rng = np.random.default_rng(9)
+    base = ["".join(rng.choice(list("abcdefghijklmnop"), size=rng.integers(3, 9))) for _ in range(320)]
+    x = " ".join(base)
+    far = " ".join(base[:200] + base[:40] + base[240:])
+    rows = [(x, "new words here " + x), (x, "eight more words are put in front here " + x), (x, far), (x, x[:-1])]
+    truth = [edits(a, b) <= int(max(len(a), len(b)) * 0.1 + 1e-9) for a, b in rows]
+    got = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, x string, y string").select("k", line_dedup._similar("x", "y", 0.9).alias("near")).orderBy("k").collect()
+    assert len(x) > line_dedup.LONG_LINE and truth == [True, True, False, True]
+    assert [r.near for r in got] == truth
+
+
 def test_lines_of_odd_rows(odd, empty):
     got = {r.doc_id: (r.n_lines, r.n_dropped, r.dropped) for r in line_dedup.report(odd).collect()}
     assert got[2] == got[3] == got[5] == (0, 0, "") and got[9] == (3, 1, "2") and got[8] == (1, 0, "")

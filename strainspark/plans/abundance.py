@@ -242,6 +242,18 @@ def overlap_pruned_sets(spark, d):
     return ranking.pruned_overlaps(rows.join(order, "term"), 0.8).select("term", "n")
 
 
+@query("""WITH s AS (SELECT DISTINCT c_mktsegment || c_nationkey AS term, dense_rank() OVER (ORDER BY c_mktsegment || c_nationkey) AS ord, p_brand AS member FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey),
+z AS (SELECT term, ord, count(*) AS n FROM s GROUP BY 1, 2), b AS (SELECT DISTINCT l.term FROM (SELECT l.term, e.ord, count(*) AS shared FROM s l JOIN s e ON l.member = e.member AND e.ord < l.ord GROUP BY 1, 2) l JOIN z USING (term) WHERE shared > 0.8 * n)
+SELECT term, n FROM z ANTI JOIN b USING (term)""")
+def overlap_pruned_sets_whole(spark, d):
+    from pyspark.sql import Window
+
+    rows = (table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+            .join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("term"), F.col("p_brand").alias("member")).distinct())
+    order = rows.select("term").distinct().withColumn("ord", F.row_number().over(Window.orderBy("term")))
+    return ranking.pruned_overlaps(rows.join(order, "term"), 0.8).select("term", "n")
+
+
 @query("""WITH p AS (SELECT DISTINCT c_nationkey AS k, c_mktsegment || (c_custkey % 7) AS v FROM customer), s AS (SELECT DISTINCT c_mktsegment || (c_custkey % 7) AS v FROM customer WHERE c_acctbal > 9500)
 SELECT k AS key, count(*) AS n, count(s.v) AS n_selected, count(*) = count(s.v) AS inside, count(s.v) = 0 AS apart FROM p LEFT JOIN s USING (v) GROUP BY 1""")
 def key_hierarchy_select(spark, d):

@@ -72,6 +72,11 @@ def joined_annotations(spark, d):
     return features.joined_annotations(table(spark, d, "part").filter("p_size < 3"), "p_brand", "p_type")
 
 
+@query("SELECT p_brand, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS p_type FROM part GROUP BY 1")
+def joined_annotations_whole(spark, d):
+    return features.joined_annotations(table(spark, d, "part"), "p_brand", "p_type")
+
+
 @query("""WITH s AS (SELECT c_mktsegment AS cluster, c_nationkey AS batch, count(*) AS n FROM customer GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, batch) AS k FROM s) SELECT cluster, sum(n)::BIGINT AS n, round(sum(n) FILTER (WHERE k <= 3) / sum(n), 6) AS share FROM k GROUP BY 1""")
 def batch_dominance(spark, d):
     rows = table(spark, d, "customer").select(F.col("c_mktsegment").alias("cluster"), F.col("c_nationkey").alias("batch"))

@@ -280,6 +280,13 @@ def geneset_overlap(spark, d):
     return statistics.set_overlaps(sets).select("s1", "s2", "both", "n1", "n2", r6("jaccard", "jaccard"))
 
 
+@query("""WITH s AS (SELECT DISTINCT l_suppkey AS name, l_partkey AS member FROM lineitem), z AS (SELECT name, count(*) AS n FROM s GROUP BY 1) SELECT a.name AS s1, b.name AS s2, count(*) AS both, any_value(za.n) AS n1, any_value(zb.n) AS n2, round(count(*) / (any_value(za.n) + any_value(zb.n) - count(*)), 6) AS jaccard
+FROM s a JOIN s b ON a.member = b.member AND a.name < b.name JOIN z za ON za.name = a.name JOIN z zb ON zb.name = b.name GROUP BY 1, 2""")
+def geneset_overlap_whole(spark, d):
+    sets = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("name"), F.col("l_partkey").alias("member"))
+    return statistics.set_overlaps(sets).select("s1", "s2", "both", "n1", "n2", r6("jaccard", "jaccard"))
+
+
 @query("""WITH g AS (SELECT p_partkey AS gene, p_retailprice - 1400 AS stat, row_number() OVER (ORDER BY p_retailprice - 1400 DESC, p_partkey) AS place, count(*) OVER () AS al FROM part), s AS (SELECT DISTINCT p_brand AS name, p_partkey AS gene FROM part),
 h AS (SELECT name, place, al, count(*) OVER (PARTITION BY name) AS n, sum(abs(stat)) OVER w / sum(abs(stat)) OVER (PARTITION BY name) AS hit, count(*) OVER w AS k FROM g JOIN s USING (gene) WINDOW w AS (PARTITION BY name ORDER BY place ROWS UNBOUNDED PRECEDING)),
 p AS (SELECT name, n, hit - (place - k) / (al - n) AS up, coalesce(lag(hit) OVER (PARTITION BY name ORDER BY place), 0) - (place - k) / (al - n) AS down FROM h)

@@ -270,6 +270,15 @@ def permutation_p(spark, d):
     return statistics.permutation_p(rows, "value", "y", ["gene"], "sample", 50).select("gene", r6("observed", "observed"), r6("pval", "pval"))
 
 
+@query(f"""WITH b AS (SELECT sample, gene, value, CASE WHEN dx = 'IBD' THEN 1 ELSE 0 END AS y FROM ({BRANDS}) JOIN ({META}) USING (sample)), n AS (SELECT *, sum(y) OVER (PARTITION BY gene) AS n1 FROM b),
+s AS (SELECT gene, k, value, CASE WHEN row_number() OVER (PARTITION BY gene, k ORDER BY md5(k::VARCHAR || ':' || sample::VARCHAR), sample) <= n1 THEN 1 ELSE 0 END AS l FROM n CROSS JOIN range(1, 101) r(k)),
+z AS (SELECT gene, k, avg(value) FILTER (WHERE l = 1) - avg(value) FILTER (WHERE l = 0) AS d FROM s GROUP BY 1, 2), o AS (SELECT gene, avg(value) FILTER (WHERE y = 1) - avg(value) FILTER (WHERE y = 0) AS observed FROM b GROUP BY 1)
+SELECT gene, round(observed, 6) AS observed, round(avg(CASE WHEN d >= observed - 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS pval FROM z JOIN o USING (gene) GROUP BY gene, observed""")
+def permutation_p_whole(spark, d):
+    rows = brands(spark, d).join(metadata(spark, d), "sample").select("sample", "gene", "value", F.when(F.col("dx") == "IBD", 1).otherwise(0).alias("y"))
+    return statistics.permutation_p(rows, "value", "y", ["gene"], "sample").select("gene", r6("observed", "observed"), r6("pval", "pval"))
+
+
 SETS = "SELECT DISTINCT l_suppkey AS name, l_partkey AS member FROM lineitem WHERE l_quantity > 45"
 
 

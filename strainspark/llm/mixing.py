@@ -10,6 +10,10 @@ so it is the same at every run and place.
 
 from __future__ import annotations
 
+import warnings
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +23,8 @@ MARGINS = ("source", "lang", "topic")
 #: Without targets, shares are raised to this power, which lifts rare sources, languages and topics
 #: gently, so that about half of the documents are drawn.
 TEMPERATURE = 0.9
-ROUNDS = 12
+#: Rounds made between two looks at the error, and the marginal error at which they end.
+ROUNDS, TOLERANCE = 12, 1e-6
 
 #: Topics by the words that mark them; the first that fits, else prose.
 TOPICS = [
@@ -30,11 +35,18 @@ TOPICS = [
 ]
 
 
+#: Strings of which a text of that topic has one, so that most texts need no regular expression.
+NEEDED = {"contact": ("@", "://")}
+
+
 def topic_of(text: Column) -> Column:
     """The topic of a text by TOPICS; of null, prose."""
     out = F.lit("prose")
     for name, pattern in reversed(TOPICS):
-        out = F.when(F.coalesce(F.rlike(text, F.lit(pattern)), F.lit(False)), name).otherwise(out)
+        fits = F.rlike(text, F.lit(pattern))
+        if name in NEEDED:
+            fits = reduce(or_, [F.contains(text, F.lit(x)) for x in NEEDED[name]]) & fits
+        out = F.when(F.coalesce(fits, F.lit(False)), name).otherwise(out)
     return out
 
 
@@ -50,40 +62,57 @@ def smoothed_targets(cells: DataFrame, margin: str, power: float) -> DataFrame:
     return sums.join(F.broadcast(total)).select(margin, (F.col("t") / F.col("total")).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
+def marginal_error(fitted: DataFrame) -> float:
+    """The largest difference between a marginal share of ``weight`` and its target, of the values that have cells."""
+    worst = 0.0
+    for margin in MARGINS:
+        sums = fitted.groupBy(margin).agg(F.sum("weight").alias("w"), F.first(f"target_{margin}").alias("t"))
+        whole = sums.agg(F.sum("w").alias("ws"), F.sum("t").alias("ts"))
+        apart = F.abs(F.try_divide("w", "ws") - F.try_divide("t", "ts"))
+        worst = max(worst, sums.join(F.broadcast(whole)).agg(F.max(apart).alias("x")).first()["x"] or 0.0)
+    return worst
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], scratch: Scratch, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
     """``cells`` (the margins, tokens) with ``weight``, whose marginal shares meet ``targets``.
 
-    The weights sum to 1.  A value without a target keeps weight 0; targets are
-    rescaled to the values that have cells.  The work is on cells, not documents:
-    each step is a group-by on one margin, and each round's table is written.
+    A value without a target keeps weight 0; targets are rescaled to the values
+    that have cells.  ``rounds`` rounds are made at a time, until no marginal share
+    is off by more than ``tolerance``.  Where the cells allow no such weights (two
+    sources that alone make a language, say), the error stops falling: rounds end
+    once ``rounds`` of them lower it by less than a hundredth, and a warning names
+    the error that is left.  The work is on cells, not documents: each step is a
+    group-by on one margin, and each round's table is written.
     """
     fitted = cells
     for margin in MARGINS:
         fitted = fitted.join(targets[margin].withColumnRenamed("share", f"target_{margin}"), margin, "left").fillna(0.0, [f"target_{margin}"])
     fitted = scratch.keep(fitted.withColumn("weight", F.col("tokens").cast("double")), "rake0")
-    for k in range(1, rounds + 1):
-        for margin in MARGINS:
-            shares = fitted.groupBy(margin).agg(F.sum("weight").alias("share"))
-            weight = F.coalesce(F.try_divide(F.col("weight") * F.col(f"target_{margin}"), F.col("share")), F.lit(0.0))
-            fitted = fitted.join(shares, margin).withColumn("weight", weight).drop("share")
-        fitted = scratch.keep(fitted, f"rake{k}")
-        scratch.drop(f"rake{k - 1}")
+    done, error, before = 0, float("inf"), float("inf")
+    while done == 0 or (error > tolerance and error < 0.99 * before):
+        for done in range(done + 1, done + rounds + 1):
+            for margin in MARGINS:
+                shares = fitted.groupBy(margin).agg(F.sum("weight").alias("share"))
+                weight = F.coalesce(F.try_divide(F.col("weight") * F.col(f"target_{margin}"), F.col("share")), F.lit(0.0))
+                fitted = fitted.join(shares, margin).withColumn("weight", weight).drop("share")
+            fitted = scratch.keep(fitted, f"rake{done}")
+            scratch.drop(f"rake{done - 1}")
+        before, error = error, marginal_error(fitted)
+    if error > tolerance:
+        warnings.warn(f"mixing: after {done} rounds a marginal share is {error:.2g} off its target", stacklevel=2)
     return fitted.select(*MARGINS, "tokens", "weight")
 
 
-def with_probability(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: float = TEMPERATURE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, out: str = "mix") -> DataFrame:
-    """``docs`` with a struct column ``out``: source, lang, topic, tokens, probability, kept.
-
-    Null sources and languages are values of their own (an empty string); a null
-    text has one token.  Equal documents of one id share their draw; those of
-    different ids are drawn apart.  ``targets`` gives (value, share) tables by
-    margin; without, natural shares to ``power``.  An empty table stays empty.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "mixing")
+def marked(docs: DataFrame, text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, out: str = "mix") -> DataFrame:
+    """``docs`` with a struct column ``out``: source, lang, topic, tokens."""
     text = F.col(f"`{text_col}`")
-    marked = docs.withColumn(out, F.struct(F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"), (topic if topic is not None else topic_of(text)).alias("topic"), tokens_of(text).alias("tokens")))
-    cells = scratch.keep(marked.select(f"{out}.*").groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
+    value = lambda name: F.coalesce(F.col(f"`{name}`"), F.lit(""))
+    return docs.withColumn(out, F.struct(value(source_col).alias("source"), value(lang_col).alias("lang"), (topic if topic is not None else topic_of(text)).alias("topic"), tokens_of(text).alias("tokens")))
+
+
+def calibrated(rows: DataFrame, scratch: Scratch, targets: dict[str, DataFrame] | None = None, power: float = TEMPERATURE, id_col: str = "doc_id", out: str = "mix") -> DataFrame:
+    """``marked`` rows, whose ``out`` also has probability and kept."""
+    cells = scratch.keep(rows.select(f"{out}.*").groupBy(*MARGINS).agg(F.sum("tokens").alias("tokens")), "cells")
     wanted = {m: (targets or {}).get(m) or smoothed_targets(cells, m, power) for m in MARGINS}
     raked = rake(cells, wanted, scratch)
     factor = raked.withColumn("factor", F.col("weight") / F.col("tokens"))
@@ -92,13 +121,28 @@ def with_probability(docs: DataFrame, targets: dict[str, DataFrame] | None = Non
     draw = F.conv(F.substring(F.md5(F.concat(F.lit("mix:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     cell = F.struct(*[F.col(f"{out}.{m}").alias(m) for m in MARGINS])
     chances = chances.select(F.col("cell").alias("__of"), F.round("probability", 9).alias("__chance"))
-    joined = marked.withColumn("__cell", cell).join(chances, F.col("__cell") == F.col("__of"), "left")
+    joined = rows.withColumn("__cell", cell).join(chances, F.col("__cell") == F.col("__of"), "left")
     return joined.withColumn(out, F.col(out).withField("probability", F.col("__chance")).withField("kept", draw < F.col("__chance"))).drop("__cell", "__of", "__chance")
 
 
+def with_probability(docs: DataFrame, targets: dict[str, DataFrame] | None = None, power: float = TEMPERATURE, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic: Column | None = None, out: str = "mix") -> DataFrame:
+    """``docs`` with a struct column ``out``: source, lang, topic, tokens, probability, kept.
+
+    Null sources and languages are values of their own (an empty string); a null
+    text has one token.  Equal documents of one id share their draw; those of
+    different ids are drawn apart.  ``targets`` gives (value, share) tables by
+    margin; without, natural shares to ``power``.  An empty table stays empty.
+    Topics and tokens are found twice, for the cells and for the rows, which is
+    less than writing the corpus; ``report`` has narrow rows and writes them.
+    """
+    return calibrated(marked(docs, text_col, source_col, lang_col, topic, out), Scratch(docs.sparkSession, "mixing"), targets, power, id_col, out)
+
+
 def report(docs: DataFrame) -> DataFrame:
     """(doc_id, topic, tokens, probability, kept) of every document row."""
-    return with_probability(docs.select("doc_id", "text", "source", "lang")).select("doc_id", "mix.topic", "mix.tokens", "mix.probability", "mix.kept")
+    scratch = Scratch(docs.sparkSession, "mixing")
+    rows = scratch.keep(marked(docs.select("doc_id", "text", "source", "lang")).select("doc_id", "mix"), "rows")
+    return calibrated(rows, scratch).select("doc_id", "mix.topic", "mix.tokens", "mix.probability", "mix.kept")
 
 
 def report_sql(docs: str = "documents", rounds: int = ROUNDS, power: float = TEMPERATURE) -> str:

@@ -20,6 +20,7 @@ The rank table (rank -> id) is a table of its own beside the files.
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 import struct
@@ -39,13 +40,15 @@ from strainspark.scratch import Scratch
 MAGIC = b"SVB1"
 #: Ids of one file, at which the next one begins; a longer document has a file of its own.
 FILE_IDS = 2_000_000
-MEMO_CHUNKS, MEMO_PIECES = 450_000, 300_000
+MEMO_CHUNKS, MEMO_PIECES = 700_000, 400_000
 
 #: Fixed values of the tokenizer file whose pieces are remembered: its splitting pattern.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same pattern for texts of _PLAIN characters only, lower-cased.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+#: Signs that end a chunk as one piece; not the apostrophe, which may begin another.
+_SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 
 
 def _byte_letters() -> dict[int, str]:
@@ -70,31 +73,40 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         config = json.loads(self.tokenizer.to_str())
-        self.special = [x["content"] for x in config["added_tokens"]]
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.special = [x["content"].encode() for x in config["added_tokens"]]
         steps = [x["type"] for x in (config["normalizer"] or {}).get("normalizers", [])]
         splits = (config["pre_tokenizer"] or {}).get("pretokenizers", [])
-        self.by_chunk = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"].get("Regex") == _SPLIT and not any(" " in x for x in self.special)
+        self.by_chunk = steps == ["NFC", "Replace", "Lowercase"] and [x["type"] for x in splits] == ["Split", "ByteLevel"] and splits[0]["pattern"].get("Regex") == _SPLIT and not any(b" " in x for x in self.special)
         self.letters = _byte_letters()
         self.chunks: dict[bytes, bytes] = _Memo(self._chunk, MEMO_CHUNKS)
         self.pieces: dict[str, bytes] = _Memo(self._piece, MEMO_PIECES)
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
+
     def _ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _piece(self, piece: str) -> bytes:
-        spelled = "".join(self.letters[x] for x in piece.encode())
-        return np.array([x.id for x in self.tokenizer.model.tokenize(spelled)], self.dtype).tobytes()
+        # Printable ASCII characters are their own letters.
+        spelled = piece if piece.isascii() else "".join([self.letters[x] for x in piece.encode()])
+        return self._bytes([x.id for x in self.tokenizer.model.tokenize(spelled)])
 
     def _chunk(self, chunk: bytes) -> bytes:
+        word = chunk.rstrip(_SIGNS)
+        if word.isalpha():  # bytes: ASCII letters only, so the chunk is one piece, or two with the signs
+            ids = self.pieces[word.lower().decode()]
+            return ids if len(word) == len(chunk) else ids + self.pieces[chunk[len(word) :].decode()]
         text = chunk.decode()
-        if _PLAIN.fullmatch(text) and not any(x in text for x in self.special):
+        if _PLAIN.fullmatch(text):
             return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
         return self._ids(text)
 
     def encode(self, text: bytes | None) -> bytes:
         if not text:
             return b""
-        if not self.by_chunk:
+        if not self.by_chunk or any(x in text for x in self.special):
             return self._ids(text.decode())
         self.chunks.fresh()
         self.pieces.fresh()
@@ -111,8 +123,10 @@ class _Memo(dict):
         return value
 
     def fresh(self) -> None:
+        """Forgets the half that came first, beyond the bound."""
         if len(self) > self.most:
-            self.clear()
+            for key in list(itertools.islice(self, len(self) // 2)):
+                del self[key]
 
 
 #: The encoder of this worker; what it remembers serves the worker's later tasks too.
@@ -231,6 +245,9 @@ def _write(folder: str, ranks, starts, wide: str):
                 names.append(f"part-{row['part']:06d}-{row['seq']:06d}.svb")
                 with store.open_output_stream(f"{root}/_{attempt}-{names[-1]}") as out:
                     out.write(content)
+                # An earlier attempt's file has the same bytes; some stores refuse to move onto a name that is taken.
+                if store.get_file_info(f"{root}/{names[-1]}").type != pa.fs.FileType.NotFound:
+                    store.delete_file(f"{root}/{names[-1]}")
                 store.move(f"{root}/_{attempt}-{names[-1]}", f"{root}/{names[-1]}")
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["file"])
 

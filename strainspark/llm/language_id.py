@@ -17,25 +17,74 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strainspark.llm.words import MEMO_WORDS
+from strainspark.llm.words import MEMO_WORDS, MULTIPLIER, mixed
 
 #: The model is fitted on about this many documents of each language at most, chosen by a hash of their id and text.
 TRAIN_DOCS = 1500
-#: Words that the model keeps of each language, most frequent first.
-MODEL_WORDS = 40_000
 LONGEST, SMOOTHING = 5, 0.5
 UNDETERMINED = "und"
+#: Texts of an Arrow batch that are Python objects at a time.
+TEXTS_AT_ONCE = 256
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def tokens(text: str) -> list[str]:
-    """Runs of letters, lower-cased."""
-    return _WORD.findall(text.lower())
-
-
-def grams(word: str, n: int) -> list[str]:
-    padded = f"^{word}$" if n > 1 else word
-    return [padded[k : k + n] for k in range(len(padded) - n + 1)]
+    """Runs of letters (category L), lower-cased."""
+    words = _WORD.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, words)):
+        return words
+    # The pattern lets number signs such as one half pass.
+    return [x for word in words for x in "".join([c if c.isalpha() else " " for c in word]).split()]
+
+
+def _spread(words: list[str], edges: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Mixed code points of all words, one after another, within ^ and $ if ``edges``; and the first place of each."""
+    joined = "".join([f"^{x}$" for x in words] if edges else words)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2 * edges
+    points = np.frombuffer(joined.encode("utf-32-le"), "<u4").astype(np.uint64)
+    return mixed(points + np.uint64(1)), np.cumsum(lengths) - lengths
+
+
+def hashed_words(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each word; words aren't empty."""
+    if not words:
+        return np.empty(0, np.uint64)
+    points, first = _spread(words, False)
+    lengths = np.diff(first, append=len(points))
+    place = np.arange(len(points)) - np.repeat(first, lengths)
+    powers = MULTIPLIER ** np.arange(int(lengths.max()), dtype=np.uint64)
+    return mixed(np.add.reduceat(points * powers[place], first) + lengths.astype(np.uint64))
+
+
+def hashed_grams(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all n-grams of ``words``, with the word's place; words count with their edges if n > 1."""
+    points, first = _spread(words, n > 1)
+    lengths = np.diff(first, append=len(points))
+    many = np.maximum(lengths - n + 1, 0)
+    owner = np.repeat(np.arange(len(words)), many)
+    at = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + first[owner]
+    total = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        total = total * MULTIPLIER + points[at + k]
+    return mixed(total + np.uint64(n)), owner
+
+
+class Table:
+    """Log frequencies of hashed keys: sorted hashes and a row of one value a language, in single precision."""
+
+    def __init__(self, keys: np.ndarray, language: np.ndarray, n: np.ndarray, languages: int):
+        """Occurrences ``n`` of ``keys`` in ``language`` (places); a key may come more than once."""
+        self.keys, row = np.unique(keys, return_inverse=True)
+        counts = np.bincount(row * languages + language, weights=n, minlength=len(self.keys) * languages).reshape(len(self.keys), languages)
+        total = counts.sum(axis=0) + SMOOTHING * (len(self.keys) + 1)
+        self.rows = np.log((counts + SMOOTHING) / total).astype(np.float32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The row of each key, -1 where it is unknown."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
 
 
 class Model:
@@ -43,33 +92,49 @@ class Model:
 
     def __init__(self, counts: dict[str, dict[str, int]], documents: dict[str, int]):
         """counts: language -> word -> occurrences; documents: language -> training documents."""
+        flat = [(x, word, n) for x, one in counts.items() for word, n in one.items()]
+        self._fill(*[[row[k] for row in flat] for k in range(3)], documents)
+
+    @classmethod
+    def of_rows(cls, languages: list[str], words: list[str], n: list[int], documents: dict[str, int]) -> Model:
+        """The same of parallel lists, each word once a language."""
+        model = cls.__new__(cls)
+        model._fill(languages, words, n, documents)
+        return model
+
+    def _fill(self, of: list[str], words: list[str], occurrences: list[int], documents: dict[str, int]) -> None:
         self.languages = sorted(documents)
         total = sum(documents.values())
         self.prior = np.array([math.log(documents[x] / total) for x in self.languages])
-        self.words = self._table({x: counts.get(x, {}) for x in self.languages})
-        self.grams = {}
-        for n in range(1, LONGEST + 1):
-            seen: dict[str, Counter] = {x: Counter() for x in self.languages}
-            for language in self.languages:
-                for word, c in counts.get(language, {}).items():
-                    for gram in grams(word, n):
-                        seen[language][gram] += c
-            self.grams[n] = self._table(seen)
-
-    def _table(self, counts: dict[str, dict[str, int]]) -> dict[str, np.ndarray]:
-        known = sorted({x for one in counts.values() for x in one})
-        total = np.array([sum(counts[x].values()) for x in self.languages]) + SMOOTHING * (len(known) + 1)
-        return {x: np.log((np.array([counts[y].get(x, 0) for y in self.languages]) + SMOOTHING) / total) for x in known}
-
-    def score(self, word: str) -> np.ndarray:
-        """Log frequencies of one word; zeros where nothing of it is known."""
-        if word in self.words:
-            return self.words[word]
-        for n in range(LONGEST, 0, -1):
-            known = [self.grams[n][x] for x in grams(word, n) if x in self.grams[n]]
-            if known:
-                return np.mean(known, axis=0)
-        return np.zeros(len(self.languages))
+        place = {x: k for k, x in enumerate(self.languages)}
+        language = np.array([place[x] for x in of], np.int64)
+        n = np.array(occurrences, np.float64)
+        self.words = Table(hashed_words(words), language, n, len(self.languages))
+        self.grams = []
+        for size in range(1, LONGEST + 1):
+            keys, owner = hashed_grams(words, size) if words else (np.empty(0, np.uint64), np.empty(0, np.int64))
+            self.grams.append(Table(keys, language[owner], n[owner], len(self.languages)))
+
+    def scores(self, words: list[str]) -> np.ndarray:
+        """Log frequencies of each word; zeros where nothing of it is known."""
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        if not words or not self.languages:
+            return out
+        row = self.words.find(hashed_words(words))
+        out[row >= 0] = self.words.rows[row[row >= 0]]
+        left = np.flatnonzero(row < 0)
+        for size in range(LONGEST, 0, -1):
+            if not len(left):
+                break
+            keys, owner = hashed_grams([words[k] for k in left.tolist()], size)
+            row = self.grams[size - 1].find(keys)
+            known, rows = owner[row >= 0], self.grams[size - 1].rows[row[row >= 0]]
+            many = np.bincount(known, minlength=len(left))
+            found = many > 0
+            means = np.stack([np.bincount(known, weights=rows[:, k], minlength=len(left)) for k in range(rows.shape[1])], axis=1)[found] / many[found, None]
+            out[left[found]] = means
+            left = left[~found]
+        return out
 
 
 class _Scores(dict):
@@ -77,42 +142,48 @@ class _Scores(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.rows = model, np.empty((1024, len(model.languages)))
-
-    def __missing__(self, word: str) -> int:
-        k = len(self)
-        if k == len(self.rows):
+        self.model, self.rows = model, np.empty((1024, len(model.languages)), np.float32)
+
+    def learn(self, texts: list[list[str]]) -> None:
+        """Scores the words of ``texts`` that aren't known yet, all at once."""
+        if len(self) > MEMO_WORDS:
+            self.clear()
+        new = list(dict.fromkeys(x for words in texts for x in words if x not in self))
+        while len(self) + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.empty_like(self.rows)])
-        self.rows[k] = self.model.score(word)
-        self[word] = k
-        return k
+        self.rows[len(self) : len(self) + len(new)] = self.model.scores(new)
+        self.update(zip(new, range(len(self), len(self) + len(new)), strict=True))
 
 
 def predict(model: Model, scores: _Scores, text: str | None) -> tuple[str, float]:
-    """The most probable language and its probability, tempered for long texts.
+    """The most probable language of ``text`` and its probability; see ``judge``."""
+    words = tokens(text) if text else []
+    scores.learn([words])
+    return judge(model, scores, words)
+
+
+def judge(model: Model, scores: _Scores, words: list[str]) -> tuple[str, float]:
+    """The most probable language of learned ``words`` and its probability, tempered for long texts.
 
     The words' mean log frequencies count as those of 20 words at most, so that
     the probability of a long text isn't always 1.  Ties go to the language that
     is first by name.
     """
-    words = tokens(text) if text else []
     if not words or not model.languages:
         return UNDETERMINED, 0.0
-    if len(scores) > MEMO_WORDS:
-        scores.clear()
     places = np.fromiter(map(scores.__getitem__, words), np.int64, len(words))
-    total = scores.rows[places].mean(axis=0) * min(len(words), 20) + model.prior
+    total = scores.rows[places].mean(axis=0, dtype=np.float64) * min(len(words), 20) + model.prior
     odds = np.exp(total - total.max())
     best = int(odds.argmax())
     return model.languages[best], float(odds[best] / odds.sum())
 
 
-def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = TRAIN_DOCS, max_words: int = MODEL_WORDS) -> Model:
+def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = TRAIN_DOCS) -> Model:
     """A model of the labelled rows; null texts and null languages are left out.
 
     Of a language with more than ``max_docs`` documents a share is taken by hash,
-    so the sample, the word counts and the model that is broadcast are bounded by
-    max_docs and max_words for each language, whatever the size of the table.
+    so the sample, its word counts and the model that is broadcast are bounded by
+    max_docs for each language, whatever the size of the table.
     """
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id")).filter("text IS NOT NULL AND lang IS NOT NULL")
     documents = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -130,12 +201,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_
             flat = [(x, w, c) for x, one in seen.items() for w, c in one.items()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*flat, strict=True) if flat else ([], [], []), (pa.string(), pa.string(), pa.int64()), strict=True)], names=["lang", "word", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts: dict[str, dict[str, int]] = {}
-    ranked = counted.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("n", "word")), asc=False).alias("words"))
-    for r in ranked.select("lang", F.slice("words", 1, max_words).alias("words")).collect():
-        counts[r["lang"]] = {x["word"]: x["n"] for x in r["words"]}
-    return Model(counts, documents)
+    counted = sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
+    return Model.of_rows(*[counted.column(x).to_pylist() for x in ("lang", "word", "n")], documents)
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
@@ -150,7 +217,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scores = _Scores(held.value)
         for batch in batches:
-            found = [predict(held.value, scores, x) for x in batch.to_pylist()]
+            found = []
+            for first in range(0, len(batch), TEXTS_AT_ONCE):
+                texts = [tokens(x) if x else [] for x in batch.slice(first, TEXTS_AT_ONCE).to_pylist()]
+                scores.learn(texts)
+                found += [judge(held.value, scores, words) for words in texts]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["lang_pred", "score"])
 
     return run(F.col(text_col))

@@ -79,6 +79,50 @@ def test_language_backs_off_and_handles_odd_rows(odd, empty):
     assert language_id.predict(language_id.fit(empty), language_id._Scores(language_id.fit(empty)), "the") == ("und", 0.0)
 
 
+def test_language_scores_are_those_of_a_plain_model():
+    """The hashed tables against dictionaries of words and n-grams."""
+    from collections import Counter
+    from math import exp, log
+
+    counts = {"en": {"the": 50, "cat": 3, "a": 7, "dog": 4}, "de": {"die": 40, "katze": 3, "a": 1, "hund": 2}}
+    tables = [{x: Counter(counts[x]) for x in counts}]
+    for n in range(1, language_id.LONGEST + 1):
+        padded = lambda w: f"^{w}$" if n > 1 else w  # noqa: B023, E731
+        tables.append({x: Counter() for x in counts})
+        for x, one in counts.items():
+            for w, c in one.items():
+                for k in range(len(padded(w)) - n + 1):
+                    tables[n][x][padded(w)[k : k + n]] += c
+
+    def score(word, x):
+        known = lambda table, key: any(key in one for one in table.values())
+        rate = lambda table, key: log((table[x][key] + language_id.SMOOTHING) / (sum(table[x].values()) + language_id.SMOOTHING * (len({k for one in table.values() for k in one}) + 1)))
+        if known(tables[0], word):
+            return rate(tables[0], word)
+        for n in range(language_id.LONGEST, 0, -1):
+            w = f"^{word}$" if n > 1 else word
+            found = [rate(tables[n], w[k : k + n]) for k in range(len(w) - n + 1) if known(tables[n], w[k : k + n])]
+            if found:
+                return sum(found) / len(found)
+        return 0.0
+
+    model = language_id.Model(counts, {"en": 3, "de": 1})
+    for text in ("the cat", "die katzen", "hunde the dogs a", "x", "zq zz", "cathedral " * 30, "日本 the"):
+        words = text.lower().split()
+        total = {x: sum(score(w, x) for w in words) / len(words) * min(len(words), 20) + log({"en": 0.75, "de": 0.25}[x]) for x in counts}
+        best = max(sorted(total), key=total.get)
+        got = language_id.predict(model, language_id._Scores(model), text)
+        assert got[0] == best and abs(got[1] - 1 / sum(exp(v - total[best]) for v in total.values())) < 1e-4, text
+
+
+def test_signs_of_numbers_are_no_letters(spark):
+    model = language_id.Model({"en": {"the": 5}, "de": {"die": 5}}, {"en": 1, "de": 1})
+    assert language_id.tokens("½ ② Ⅷ x²y 3 Ünï") == ["x", "y", "ünï"]
+    docs = spark.createDataFrame([(1, "½ ②"), (2, LONG)], "doc_id long, text string")
+    got = {r.doc_id: r.p for r in docs.select("doc_id", language_id.identify(docs, model).alias("p")).collect()}
+    assert tuple(got[1]) == ("und", 0.0) and got[2].lang_pred in ("en", "de")
+
+
 # 2
 
 
@@ -91,6 +135,24 @@ def test_raking_meets_the_targets(spark, data):
     assert rows.probability.max() == 1.0
 
 
+def test_raking_goes_on_until_given_targets_are_met(spark):
+    cells = [("a", "en", 990), ("a", "de", 10), ("b", "en", 10), ("b", "de", 990), ("c", "en", 5), ("c", "de", 995)]
+    docs = spark.createDataFrame([(k, "w " * n, lang, source, n) for k, (source, lang, n) in enumerate(cells)], DOCS)
+    given = {"source": [("a", 0.5), ("b", 0.25), ("c", 0.25)], "lang": [("en", 0.3), ("de", 0.7)]}
+    out = mixing.with_probability(docs, {m: spark.createDataFrame(x, f"{m} string, share double") for m, x in given.items()}).select("mix.*").toPandas()
+    out["mass"] = out.tokens * out.probability
+    for margin, shares in given.items():
+        got = out.groupby(margin).mass.sum() / out.mass.sum()
+        assert all(abs(got[x] - share) < 1e-5 for x, share in shares)
+
+
+def test_raking_warns_of_targets_that_no_weights_meet(spark):
+    docs = spark.createDataFrame([(1, "w w", "en", "a", 2), (2, "w w", "de", "b", 2)], DOCS)
+    given = {"source": [("a", 0.9), ("b", 0.1)], "lang": [("en", 0.1), ("de", 0.9)]}
+    with pytest.warns(UserWarning, match="off its target"):
+        assert mixing.with_probability(docs, {m: spark.createDataFrame(x, f"{m} string, share double") for m, x in given.items()}).count() == 2
+
+
 def test_mixing_keeps_every_odd_row(odd, empty):
     out = mixing.with_probability(odd)
     assert out.count() == 10 and set(odd.columns) < set(out.columns)

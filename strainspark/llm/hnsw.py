@@ -157,6 +157,19 @@ class Graph:
             pairs_n += [y for _, y in hits]
         return np.concatenate(pairs_q), np.concatenate(pairs_n)
 
+    def strays(self) -> np.ndarray:
+        """Nodes that no path leads to on the ground level from the nodes above, where searches begin."""
+        n = len(self.vectors)
+        met = np.zeros(n + 1, bool)
+        met[n] = True
+        edge = np.arange(len(self.levels[1]) if len(self.levels) > 1 else min(n, 1))
+        met[edge] = True
+        while len(edge):
+            edge = np.unique(self.levels[0][edge])
+            edge = edge[(edge >= 0) & ~met[edge]]
+            met[edge] = True
+        return np.flatnonzero(~met[:n])
+
     def to_bytes(self) -> dict:
         return {"ids": self.ids.astype("<i8").tobytes(), "vectors": self.vectors.astype("<f4").tobytes(), "levels": [x.astype("<i4").tobytes() for x in self.levels]}
 

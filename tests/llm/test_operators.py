@@ -284,6 +284,37 @@ def test_embedding_links_are_brute_force(spark):
     assert all(got[k] == (0, k, True) for k in range(500, 506)) and got[None] == (0, None, False)
 
 
+def test_embedding_links_over_several_shards_are_brute_force(spark):
+    """Shards of 100 nodes, blocks of 64, one dense group over all shards; audits ask for every link."""
+    rng = np.random.default_rng(7)
+    base, dense = rng.normal(size=(60, 16)), rng.normal(size=16)
+    rows = [(k, ((base[k % 60] if k % 3 else dense) + rng.normal(size=16) * 0.05).tolist(), 1) for k in range(700)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(frame, shard_bytes=100 * 16 * 8, block=64).collect()}
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.93
+    np.fill_diagonal(near, False)
+    top = components(range(700), zip(*np.nonzero(near), strict=True))
+    assert sum(n for n, _ in got.values()) >= 0.99 * near.sum() and all(got[k][0] <= near[k].sum() for k in range(700))
+    assert sum(got[k] == (near[k].sum(), top[k]) for k in range(700)) >= 0.97 * 700
+    assert embedding_dedup.near_duplicates(frame.limit(0)).collect() == []
+
+
+def test_nodes_without_a_path_are_compared(spark):
+    from strainspark.llm.hnsw import Graph
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 8)) + rng.normal(size=8)
+    graph = Graph(embedding_dedup.unit(x).astype(np.float32), np.arange(300)).build()
+    raw = x[graph.ids]
+    graph.levels[0][np.isin(graph.levels[0], [250, 260])] = -1
+    assert {250, 260} <= set(graph.strays())
+    out = embedding_dedup.linked(graph, raw, graph.ids, raw, 0.93, np.ones(300, np.int64))
+    near = embedding_dedup.unit(raw) @ embedding_dedup.unit(raw).T >= 0.93
+    assert out.count.sum() >= 0.99 * (near.sum() - 300) and out.count[250] == near[250].sum() - 1
+
+
 def test_graph_recall():
     from strainspark.llm.hnsw import Graph
 

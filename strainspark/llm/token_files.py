@@ -40,15 +40,13 @@ from strainspark.scratch import Scratch
 MAGIC = b"SVB1"
 #: Ids of one file, at which the next one begins; a longer document has a file of its own.
 FILE_IDS = 2_000_000
-MEMO_CHUNKS, MEMO_PIECES = 700_000, 400_000
+MEMO_CHUNKS, MEMO_PIECES = 150_000, 600_000
 
 #: Fixed values of the tokenizer file whose pieces are remembered: its splitting pattern.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same pattern for texts of _PLAIN characters only, lower-cased.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
-_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-#: Signs that end a chunk as one piece; not the apostrophe, which may begin another.
-_SIGNS = b'!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
+_PIECES = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9 \t-\r]+")
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ \t-\r]+")
 
 
 def _byte_letters() -> dict[int, str]:
@@ -61,10 +59,11 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Whole texts to ids, as little-endian unsigned bytes of ``dtype``.
 
-    Where the tokenizer drops white space before it looks at words, the ids of a
-    text are those of its white-space-separated chunks, which are remembered;
-    chunks of plain letters, digits and signs are split here, other chunks by the
-    library.  Any other tokenizer gets the text as a whole.
+    Where the tokenizer drops white space before it looks at words, a text of plain
+    letters, digits and signs is split into pieces here, whose ids are remembered.
+    Of any other text the white-space-separated chunks are remembered, and those
+    that aren't plain are split by the library, as is a text that holds a special
+    token.  Any other tokenizer gets the text as a whole.
     """
 
     def __init__(self, path: str):
@@ -94,14 +93,11 @@ class Encoder:
         return self._bytes([x.id for x in self.tokenizer.model.tokenize(spelled)])
 
     def _chunk(self, chunk: bytes) -> bytes:
-        word = chunk.rstrip(_SIGNS)
-        if word.isalpha():  # bytes: ASCII letters only, so the chunk is one piece, or two with the signs
-            ids = self.pieces[word.lower().decode()]
-            return ids if len(word) == len(chunk) else ids + self.pieces[chunk[len(word) :].decode()]
         text = chunk.decode()
-        if _PLAIN.fullmatch(text):
-            return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
-        return self._ids(text)
+        return self._plain(text) if _PLAIN.fullmatch(text) else self._ids(text)
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(text.lower())))
 
     def encode(self, text: bytes | None) -> bytes:
         if not text:
@@ -110,6 +106,8 @@ class Encoder:
             return self._ids(text.decode())
         self.chunks.fresh()
         self.pieces.fresh()
+        if _PLAIN.fullmatch(plain := text.decode()):
+            return self._plain(plain)
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
@@ -187,7 +185,7 @@ def read_file(content: bytes, id_of: np.ndarray) -> tuple[list[int | None], np.n
     return [None if gone else int(x) for x, gone in zip(doc_ids, null, strict=True)], lengths, start, id_of[unpack(control, data, n_ids)]
 
 
-_GROUPS = "part int, seq int, inside long, n_ids long, doc_ids array<long>, lengths array<long>, ids binary"
+_GROUPS = "part int, seq int, inside long, n_ids long, doc_ids array<long>, lengths array<long>, ids binary, counts binary"
 
 
 def _group(path: str, end_id: int, file_ids: int):
@@ -200,8 +198,10 @@ def _group(path: str, end_id: int, file_ids: int):
 
         def row() -> pa.RecordBatch:
             lengths = [len(x) // encoder.dtype.itemsize for x in pieces]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([inside], pa.int64()), pa.array([sum(lengths)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([b"".join(pieces)], pa.binary())],
-                                              names=["part", "seq", "inside", "n_ids", "doc_ids", "lengths", "ids"])
+            ids = b"".join(pieces)
+            counts = np.bincount(np.frombuffer(ids, encoder.dtype)).astype("<u4").tobytes()  # a row has fewer than 2 ** 32 ids
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([inside], pa.int64()), pa.array([sum(lengths)], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([ids], pa.binary()), pa.array([counts], pa.binary())],
+                                              names=["part", "seq", "inside", "n_ids", "doc_ids", "lengths", "ids", "counts"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), binary(batch.column(1)), strict=True):
@@ -217,18 +217,17 @@ def _group(path: str, end_id: int, file_ids: int):
     return run
 
 
-def _count(wide: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(0, np.int64)
-        for batch in batches:
-            for x in batch.column(0).to_pylist():
-                more = np.bincount(np.frombuffer(x, wide), minlength=len(seen))
-                more[: len(seen)] += seen
-                seen = more
-        ids = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seen[ids], pa.int64())], names=["id", "n"])
-
-    return run
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows' counts of each id, summed for a task."""
+    seen = np.zeros(0, np.int64)
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            counts = np.frombuffer(x, "<u4")
+            if len(counts) > len(seen):
+                seen = np.concatenate([seen, np.zeros(len(counts) - len(seen), np.int64)])
+            seen[: len(counts)] += counts
+    ids = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(seen[ids], pa.int64())], names=["id", "n"])
 
 
 def _write(folder: str, ranks, starts, wide: str):
@@ -280,7 +279,7 @@ def encode_corpus(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     groups = scratch.keep(rows.mapInArrow(_group(tokenizer_path, end_id, file_ids), _GROUPS), "groups")
     wide = Encoder(tokenizer_path).dtype.str
-    counted = groups.select("ids").mapInArrow(_count(wide), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    counted = groups.select("counts").mapInArrow(_sum, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     ordered = sorted(((r["n"], r["id"]) for r in counted), key=lambda x: (-x[0], x[1]))
     rank_of = np.zeros(max((x for _, x in ordered), default=0) + 1, np.uint32)
     rank_of[[x for _, x in ordered]] = np.arange(len(ordered))
@@ -293,7 +292,7 @@ def encode_corpus(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
     for part, n in sizes.items():
         before[part + 1] = n
     starts = spark.sparkContext.broadcast(np.cumsum(before))
-    scratch.keep(groups.mapInArrow(_write(f"{folder}/files", spark.sparkContext.broadcast(rank_of), starts, wide), "file string"), "written")
+    scratch.keep(groups.drop("counts").mapInArrow(_write(f"{folder}/files", spark.sparkContext.broadcast(rank_of), starts, wide), "file string"), "written")
     scratch.drop("groups", "written")
     return table
 

@@ -97,8 +97,9 @@ def linked(graph: Graph, raw: np.ndarray, q_ids: np.ndarray, q_raw: np.ndarray,
     mine, theirs = unit(q_raw), unit(raw)
     n, out = len(graph.ids), _Links(len(q_ids), copies)
 
-    def search(beam: int) -> tuple[np.ndarray, np.ndarray]:
-        q, x = graph.query(queries, beam, threshold - SLACK)
+    def search(which: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        q, x = graph.query(queries[which], beam, threshold - SLACK)
+        q = which[q]
         good = q_ids[q] != graph.ids[x]
         q, x = q[good], x[good]
         sure = np.concatenate([np.einsum("nd,nd->n", mine[q[k : k + 65536]], theirs[x[k : k + 65536]]) for k in range(0, len(q), 65536)] or [np.empty(0)]) >= threshold
@@ -115,13 +116,24 @@ def linked(graph: Graph, raw: np.ndarray, q_ids: np.ndarray, q_raw: np.ndarray,
                 yield int(some[i]), found if nodes is None else nodes[found]
 
     audited = np.flatnonzero(mixed(q_ids.astype(np.uint64)) % np.uint64(round(1 / AUDITED)) == 0)
-    truth = sum(len(found) for _, found in compared(audited))
+    truth = np.zeros(len(q_ids), np.int64)
+    for k, found in compared(audited):
+        truth[k] = len(found)
     beam = BEAM
-    q, x = search(beam)
-    while (missed := np.isin(q, audited).sum() < recall * truth) and beam * 4 < n:
+    q, x = search(np.arange(len(q_ids)), beam)
+    whole = np.bincount(q, minlength=len(q_ids)) * 2 > beam
+    while True:
+        # What is compared with the whole shard is found; the audit is of the others.
+        asked = audited[~whole[audited]]
+        if np.isin(q, asked).sum() >= recall * truth[asked].sum():
+            break
         beam *= 2
-        q, x = search(beam)
-    whole = np.ones(len(q_ids), bool) if missed else np.bincount(q, minlength=len(q_ids)) * 2 > beam
+        if beam * 4 >= n:
+            whole[:] = True
+            break
+        left = np.flatnonzero(~whole)
+        q, x = search(left, beam)
+        whole |= np.bincount(q, minlength=len(q_ids)) * 2 > beam
     order = np.argsort(q, kind="stable")
     q, x = q[order], x[order]
     starts = np.searchsorted(q, np.arange(len(q_ids) + 1))

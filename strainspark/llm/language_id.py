@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +23,8 @@ from strainspark.llm.words import MEMO_WORDS, MULTIPLIER, mixed
 TRAIN_DOCS = 1500
 LONGEST, SMOOTHING = 5, 0.5
 UNDETERMINED = "und"
-#: Texts of an Arrow batch that are Python objects at a time.
-TEXTS_AT_ONCE = 256
+#: Texts of an Arrow batch that are Python objects at a time, and words whose n-grams are held at a time in training.
+TEXTS_AT_ONCE, WORDS_AT_ONCE = 256, 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -72,10 +72,17 @@ def hashed_grams(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
 class Table:
     """Log frequencies of hashed keys: sorted hashes and a row of one value a language, in single precision."""
 
-    def __init__(self, keys: np.ndarray, language: np.ndarray, n: np.ndarray, languages: int):
-        """Occurrences ``n`` of ``keys`` in ``language`` (places); a key may come more than once."""
-        self.keys, row = np.unique(keys, return_inverse=True)
-        counts = np.bincount(row * languages + language, weights=n, minlength=len(self.keys) * languages).reshape(len(self.keys), languages)
+    def __init__(self, parts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], languages: int):
+        """Parts of (keys, language (a place), occurrences); a key may come more than once."""
+        self.keys, counts = np.empty(0, np.uint64), np.empty((0, languages))
+        for keys, language, n in parts:
+            new, row = np.unique(keys, return_inverse=True)
+            more = np.bincount(row * languages + language, weights=n, minlength=len(new) * languages).reshape(len(new), languages)
+            both, row = np.unique(np.concatenate([self.keys, new]), return_inverse=True)
+            summed = np.zeros((len(both), languages))
+            summed[row[: len(self.keys)]] += counts
+            summed[row[len(self.keys) :]] += more
+            self.keys, counts = both, summed
         total = counts.sum(axis=0) + SMOOTHING * (len(self.keys) + 1)
         self.rows = np.log((counts + SMOOTHING) / total).astype(np.float32)
 
@@ -109,11 +116,15 @@ class Model:
         place = {x: k for k, x in enumerate(self.languages)}
         language = np.array([place[x] for x in of], np.int64)
         n = np.array(occurrences, np.float64)
-        self.words = Table(hashed_words(words), language, n, len(self.languages))
-        self.grams = []
-        for size in range(1, LONGEST + 1):
-            keys, owner = hashed_grams(words, size) if words else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            self.grams.append(Table(keys, language[owner], n[owner], len(self.languages)))
+        parts = [slice(k, k + WORDS_AT_ONCE) for k in range(0, len(words), WORDS_AT_ONCE)]
+        self.words = Table(((hashed_words(words[x]), language[x], n[x]) for x in parts), len(self.languages))
+
+        def counted(size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+            for x in parts:
+                keys, owner = hashed_grams(words[x], size)
+                yield keys, language[x][owner], n[x][owner]
+
+        self.grams = [Table(counted(size), len(self.languages)) for size in range(1, LONGEST + 1)]
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log frequencies of each word; zeros where nothing of it is known."""

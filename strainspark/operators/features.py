@@ -43,8 +43,13 @@ def mutual_information(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def partial_correlation(r: DataFrame) -> DataFrame:
-    """Adds ``partial`` of (rxy, rxz, ryz): the correlation of x and y without z."""
-    return r.withColumn("partial", ratio(F.col("rxy") - F.col("rxz") * F.col("ryz"), F.sqrt((1 - F.col("rxz") * F.col("rxz")) * (1 - F.col("ryz") * F.col("ryz")))))
+    """Adds ``partial`` of (n, rxy, rxz, ryz): the correlation of x and y without z.
+
+    Null below four rows, and where z explains a side wholly: the quotient would be noise over zero.
+    """
+    x, y = 1 - F.col("rxz") * F.col("rxz"), 1 - F.col("ryz") * F.col("ryz")
+    known = (F.col("n") >= 4) & ~F.isnan(x) & ~F.isnan(y) & (x > 1e-9) & (y > 1e-9)
+    return r.withColumn("partial", F.when(known, (F.col("rxy") - F.col("rxz") * F.col("ryz")) / F.sqrt(x * y)))
 
 
 def small_groups_merged(rows: DataFrame, group: str, least: int, other: str = "Other") -> DataFrame:

@@ -11,30 +11,46 @@ from strainspark.functions.numeric import cosine, ratio
 def expression_stats(cells: DataFrame, groups: DataFrame) -> DataFrame:
     """One-vs-rest statistics of every gene and group in one grouped pass.
 
-    ``cells``: (cell, gene, count); ``groups``: (cell, ident).  n cells that
-    express, alpha their share, mu mean over those, mean over all, and the log2
-    fold change of the means with a pseudo-count of half the least positive mean.
+    ``cells``: (cell, gene, count); ``groups``: (cell, ident).  n: cells that
+    express; alpha: their share; total: the group's share of the gene's sum; mu and
+    mean: log2 of the mean over the expressing and over all cells; ref_ the same of
+    all other cells; log2fc: mean less ref_mean.  Before a logarithm a quarter of
+    the least positive count, divided by the number of cells, is added.
     """
     sizes = groups.groupBy("ident").agg(F.count("*").alias("size"))
     all_ = groups.agg(F.count("*").alias("cells"))
-    by = cells.filter("count > 0").join(groups, "cell").groupBy("gene", "ident").agg(F.count("*").alias("n"), F.sum("count").alias("total"))
+    positive = cells.filter("count > 0").join(groups, "cell")
+    least = positive.agg(F.min("count").alias("least"))
+    by = positive.groupBy("gene", "ident").agg(F.count("*").alias("n"), F.sum("count").alias("sum"))
     gene = Window.partitionBy("gene")
-    x = by.join(sizes, "ident").crossJoin(F.broadcast(all_)).withColumns({"gn": F.sum("n").over(gene), "gt": F.sum("total").over(gene)})
-    rest = F.col("cells") - F.col("size")
-    x = x.withColumns({"alpha": ratio(F.col("n"), F.col("size")), "mu": ratio(F.col("total"), F.col("n")), "mean": ratio(F.col("total"), F.col("size")),
-                       "ref_n": F.col("gn") - F.col("n"), "ref_alpha": ratio(F.col("gn") - F.col("n"), rest), "ref_mean": ratio(F.col("gt") - F.col("total"), rest)})
-    pseudo = F.lit(0.5) / F.col("cells")
-    return x.select("gene", "ident", "n", "ref_n", "alpha", "ref_alpha", "mu", "mean", "ref_mean", F.log2((F.col("mean") + pseudo) / (F.col("ref_mean") + pseudo)).alias("log2fc"))
-
-
-def next_best(stats: DataFrame) -> DataFrame:
-    """Adds the largest mean of the gene in any other group and the fold over it, from the gene's two largest means."""
-    w = Window.partitionBy("gene").orderBy(F.desc("mean"), "ident")
-    whole = Window.partitionBy("gene")
-    k = stats.withColumn("__k", F.row_number().over(w))
-    top, second = F.max(F.when(F.col("__k") == 1, F.col("mean"))).over(whole), F.max(F.when(F.col("__k") == 2, F.col("mean"))).over(whole)
-    out = k.withColumn("next_mean", F.when(F.col("__k") == 1, second).otherwise(top)).drop("__k")
-    return out.withColumn("next_fold", ratio(F.col("mean"), F.col("next_mean")))
+    x = by.join(sizes, "ident").crossJoin(F.broadcast(all_)).crossJoin(F.broadcast(least)).withColumns({"gn": F.sum("n").over(gene), "gt": F.sum("sum").over(gene)})
+    rest, zero = F.col("cells") - F.col("size"), F.lit(0.25) * F.col("least") / F.col("cells")
+    ref_n, ref_sum = F.col("gn") - F.col("n"), F.col("gt") - F.col("sum")
+    log = lambda s, k: F.log2(F.coalesce(ratio(s, k), F.lit(0.0)) + zero)
+    x = x.withColumns({"ref_n": ref_n, "alpha": ratio(F.col("n"), F.col("size")), "ref_alpha": ratio(ref_n, rest), "mu": log(F.col("sum"), F.col("n")), "ref_mu": log(ref_sum, ref_n),
+                       "mean": log(F.col("sum"), F.col("size")), "ref_mean": log(ref_sum, rest), "total": ratio(F.col("sum"), F.col("gt")), "ref_total": ratio(ref_sum, F.col("gt"))})
+    return x.withColumn("log2fc", F.col("mean") - F.col("ref_mean")).select("gene", "ident", "n", "ref_n", "alpha", "ref_alpha", "mu", "ref_mu", "mean", "ref_mean", "total", "ref_total", "log2fc")
+
+
+def next_stats(stats: DataFrame, families: DataFrame | None = None) -> DataFrame:
+    """Adds same_ and next_ columns to (ident, gene, alpha, mu, mean), the means being logarithms.
+
+    ``families`` (ident, family) says which idents belong together; without it each
+    stands alone.  same_mean and same_ident are of the gene's largest mean within the
+    ident's family, next_mean and next_ident of that outside it; same_log2fc and
+    next_log2fc are the family's and the ident's own mean less next_mean, infinite
+    where the gene is in no other family.  Of equal means the smaller ident.  Only
+    the best row of each gene and family meets the gene's rows.
+    """
+    x = stats.withColumn("family", F.col("ident")) if families is None else stats.join(families, "ident")
+    best = x.groupBy("gene", "family").agg(F.min(F.struct((-F.col("mean")).alias("m"), F.col("ident").alias("i"), F.col("alpha").alias("a"))).alias("__b"))
+    order = Window.partitionBy("gene").orderBy("__b")
+    two = best.withColumn("__k", F.row_number().over(order)).filter("__k <= 2").groupBy("gene").agg(*[F.max(F.when(F.col("__k") == k, F.struct(F.col("family").alias("f"), F.col("__b").alias("b")))).alias(f"__{k}") for k in (1, 2)])
+    out = x.join(best, ["gene", "family"]).join(two, "gene")
+    other = F.when(F.col("__1.f") != F.col("family"), F.col("__1.b")).otherwise(F.col("__2.b"))
+    out = out.withColumns({"same_mean": -F.col("__b.m"), "same_ident": F.col("__b.i"), "same_alpha": F.col("__b.a"), "next_mean": -other["m"], "next_ident": other["i"], "next_alpha": other["a"]})
+    fold = lambda c: F.when(F.col("next_mean").isNull(), F.lit(float("inf"))).otherwise(F.col(c) - F.col("next_mean"))
+    return out.withColumns({"same_log2fc": fold("same_mean"), "next_log2fc": fold("mean")}).drop("__b", "__1", "__2", "family")
 
 
 def specific_everywhere(pairwise: DataFrame) -> DataFrame:

@@ -32,6 +32,12 @@ def inside(points: DataFrame, ranges: DataFrame, on: str, at: str, low: str, hig
     return p.join(r, [on, "__bin"]).filter((F.col(at) >= F.col(low)) & (F.col(at) <= F.col(high))).drop("__bin")
 
 
+def reads_in_genes(reads: DataFrame, genes: DataFrame, width: int) -> DataFrame:
+    """(id, gene), each once, of reads (contig, id, first, last) whose first or last base lies in a gene (contig, gene, low, high)."""
+    ends = reads.select("contig", "id", F.explode(F.array("first", "last")).alias("at"))
+    return inside(ends, genes, "contig", "at", "low", "high", width).select("id", "gene").distinct()
+
+
 def mapped_lists(rows: DataFrame, column: str, table: DataFrame, sep: str = "\t") -> DataFrame:
     """(id, column) whose list of old names becomes the distinct new names of ``table`` (old, new), in order."""
     each = rows.select("id", F.explode(F.split(column, sep)).alias("old"))

@@ -230,22 +230,10 @@ def zscore_by_subject(spark, d):
     return ranking.z_scores(metadata(spark, d), ["cov"], ["cohort"]).select("sample", r6("cov_z", "cov_z"))
 
 
-@query("""WITH s AS (SELECT DISTINCT c_mktsegment || c_nationkey AS term, dense_rank() OVER (ORDER BY c_mktsegment || c_nationkey) AS ord, p_brand AS member FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey WHERE l_quantity > 49),
-z AS (SELECT term, ord, count(*) AS n FROM s GROUP BY 1, 2), b AS (SELECT DISTINCT l.term FROM (SELECT l.term, e.ord, count(*) AS shared FROM s l JOIN s e ON l.member = e.member AND e.ord < l.ord GROUP BY 1, 2) l JOIN z USING (term) WHERE shared > 0.8 * n)
-SELECT term, n FROM z ANTI JOIN b USING (term)""")
-def overlap_pruned_sets(spark, d):
-    from pyspark.sql import Window
-
-    rows = (table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, d, "lineitem").filter("l_quantity > 49"), F.col("o_orderkey") == F.col("l_orderkey"))
-            .join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey")).select(F.concat("c_mktsegment", F.col("c_nationkey").cast("string")).alias("term"), F.col("p_brand").alias("member")).distinct())
-    order = rows.select("term").distinct().withColumn("ord", F.row_number().over(Window.orderBy("term")))
-    return ranking.pruned_overlaps(rows.join(order, "term"), 0.8).select("term", "n")
-
-
 @query("""WITH s AS (SELECT DISTINCT c_mktsegment || c_nationkey AS term, dense_rank() OVER (ORDER BY c_mktsegment || c_nationkey) AS ord, p_brand AS member FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON l_partkey = p_partkey),
 z AS (SELECT term, ord, count(*) AS n FROM s GROUP BY 1, 2), b AS (SELECT DISTINCT l.term FROM (SELECT l.term, e.ord, count(*) AS shared FROM s l JOIN s e ON l.member = e.member AND e.ord < l.ord GROUP BY 1, 2) l JOIN z USING (term) WHERE shared > 0.8 * n)
 SELECT term, n FROM z ANTI JOIN b USING (term)""")
-def overlap_pruned_sets_whole(spark, d):
+def overlap_pruned_sets(spark, d):
     from pyspark.sql import Window
 
     rows = (table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey")).join(table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
@@ -269,13 +257,13 @@ def longitudinal_pairs(spark, d):
     return relations.pairs_in_time(s, ["subject"], "t", 1500, ["v"]).select("subject", "t0", "tf", F.round(F.col("vf") - F.col("v0"), 4).alias("delta"))
 
 
-@query("""WITH p AS (SELECT c_nationkey AS contig, c_custkey AS id, (c_acctbal + 1000)::BIGINT AS x FROM customer), r AS (SELECT s_nationkey AS contig, s_suppkey AS gene, (s_acctbal + 1000)::BIGINT AS lo, (s_acctbal + 1250)::BIGINT AS hi FROM supplier)
-SELECT id, gene FROM p JOIN r USING (contig) WHERE x BETWEEN lo AND hi""")
+@query("""WITH p AS (SELECT c_nationkey AS contig, c_custkey AS id, (c_acctbal + 1000)::BIGINT AS x, (c_acctbal + 1000)::BIGINT + 99 AS y FROM customer), r AS (SELECT s_nationkey AS contig, s_suppkey AS gene, (s_acctbal + 1000)::BIGINT AS lo, (s_acctbal + 1250)::BIGINT AS hi FROM supplier)
+SELECT DISTINCT id, gene FROM p JOIN r USING (contig) WHERE x BETWEEN lo AND hi OR y BETWEEN lo AND hi""")
 def position_in_gene(spark, d):
-    """Points in ranges as an equi-join on bins."""
-    p = table(spark, d, "customer").select(F.col("c_nationkey").alias("contig"), F.col("c_custkey").alias("id"), F.expr("cast(bround(c_acctbal + 1000) as bigint)").alias("at"))
-    r = table(spark, d, "supplier").select(F.col("s_nationkey").alias("contig"), F.col("s_suppkey").alias("gene"), F.expr("cast(bround(s_acctbal + 1000) as bigint)").alias("lo"), F.expr("cast(bround(s_acctbal + 1250) as bigint)").alias("hi"))
-    return relations.inside(p, r, "contig", "at", "lo", "hi", 250).select("id", "gene")
+    """Reads whose first or last base lies in a gene, as an equi-join on bins."""
+    reads = table(spark, d, "customer").select(F.col("c_nationkey").alias("contig"), F.col("c_custkey").alias("id"), F.bround(F.col("c_acctbal") + 1000).cast("long").alias("first")).withColumn("last", F.col("first") + 99)
+    genes = table(spark, d, "supplier").select(F.col("s_nationkey").alias("contig"), F.col("s_suppkey").alias("gene"), F.bround(F.col("s_acctbal") + 1000).cast("long").alias("low"), F.bround(F.col("s_acctbal") + 1250).cast("long").alias("high"))
+    return relations.reads_in_genes(reads, genes, 250).select("id", "gene")
 
 
 @query("""WITH x AS (SELECT p_partkey AS id, unnest(string_split(p_type, ' ')) AS old FROM part), m AS (SELECT DISTINCT old, upper(substr(old, 1, 4)) AS new FROM x)
@@ -326,12 +314,30 @@ def cumulative_shares(spark, d):
     return e.select("q", "w", r6(F.col("w") / total, "share"), r6(F.sum("w").over(Window.orderBy(F.desc("w"), "q").rowsBetween(Window.unboundedPreceding, 0)) / total, "running"))
 
 
-@query("""WITH m AS (SELECT p_brand AS ident, p_type AS gene, count(*) AS n, sum(p_size)::DOUBLE AS total FROM part WHERE p_size > 0 GROUP BY 1, 2), z AS (SELECT p_brand AS ident, count(*) AS size FROM part GROUP BY 1), a AS (SELECT count(*) AS cells FROM part),
-g AS (SELECT m.*, size, cells, sum(n) OVER (PARTITION BY gene) AS gn, sum(total) OVER (PARTITION BY gene) AS gt FROM m JOIN z USING (ident), a)
-SELECT gene, ident, n, (gn - n)::BIGINT AS ref_n, round(n / size, 6) AS alpha, round((gn - n) / (cells - size), 6) AS ref_alpha, round(total / n, 6) AS mu, round(total / size, 6) AS mean, round((gt - total) / (cells - size), 6) AS ref_mean,
-round(log2((total / size + 0.5 / cells) / ((gt - total) / (cells - size) + 0.5 / cells)), 6) AS log2fc FROM g""")
+EXPRESSION = """WITH m AS (SELECT p_brand AS ident, p_type AS gene, count(*) AS n, sum(p_size)::DOUBLE AS total FROM part WHERE p_size > 0 GROUP BY 1, 2), z AS (SELECT p_brand AS ident, count(*) AS size FROM part GROUP BY 1), a AS (SELECT count(*) AS cells, 0.25 * min(p_size) FILTER (WHERE p_size > 0) / count(*) AS zero FROM part),
+g AS (SELECT m.*, size, cells, zero, sum(n) OVER (PARTITION BY gene) AS gn, sum(total) OVER (PARTITION BY gene) AS gt FROM m JOIN z USING (ident), a),
+e AS (SELECT gene, ident, n, (gn - n)::BIGINT AS ref_n, n / size AS alpha, (gn - n) / (cells - size) AS ref_alpha, log2(total / n + zero) AS mu, log2(coalesce((gt - total) / nullif(gn - n, 0), 0) + zero) AS ref_mu, log2(total / size + zero) AS mean, log2((gt - total) / (cells - size) + zero) AS ref_mean, total / gt AS total, (gt - total) / gt AS ref_total FROM g)"""
+
+
+@query(EXPRESSION + "SELECT gene, ident, n, ref_n, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("alpha", "ref_alpha", "mu", "ref_mu", "mean", "ref_mean", "total", "ref_total")) + ", round(mean - ref_mean, 6) AS log2fc FROM e")
 def expression_stats(spark, d):
+    out = _expression(spark, d)
+    return out.select("gene", "ident", "n", "ref_n", *[r6(c, c) for c in ("alpha", "ref_alpha", "mu", "ref_mu", "mean", "ref_mean", "total", "ref_total", "log2fc")])
+
+
+def _expression(spark, d):
     part = table(spark, d, "part")
     cells = part.select(F.col("p_partkey").alias("cell"), F.col("p_type").alias("gene"), F.col("p_size").cast("double").alias("count"))
-    out = markers.expression_stats(cells, part.select(F.col("p_partkey").alias("cell"), F.col("p_brand").alias("ident")))
-    return out.select("gene", "ident", "n", "ref_n", *[r6(c, c) for c in ("alpha", "ref_alpha", "mu", "mean", "ref_mean", "log2fc")])
+    return markers.expression_stats(cells, part.select(F.col("p_partkey").alias("cell"), F.col("p_brand").alias("ident")))
+
+
+@query(EXPRESSION + """, f AS (SELECT gene, ident, substr(ident, 7, 1) AS family, round(mean, 9) AS mean FROM e),
+j AS (SELECT a.gene, a.ident, a.mean, max(b.mean) FILTER (WHERE b.family = a.family) AS same_mean, min_by(b.ident, (-b.mean, b.ident)) FILTER (WHERE b.family = a.family) AS same_ident,
+max(b.mean) FILTER (WHERE b.family <> a.family) AS next_mean, min_by(b.ident, (-b.mean, b.ident)) FILTER (WHERE b.family <> a.family) AS next_ident FROM f a JOIN f b USING (gene) GROUP BY 1, 2, 3)
+SELECT gene, ident, round(same_mean, 6) AS same_mean, same_ident, round(next_mean, 6) AS next_mean, next_ident, round(coalesce(same_mean - next_mean, 'inf'::DOUBLE), 6) AS same_log2fc, round(coalesce(mean - next_mean, 'inf'::DOUBLE), 6) AS next_log2fc FROM j""")
+def next_stats(spark, d):
+    """Best statistics within and outside an ident's family; brands of one first digit are a family."""
+    s = _expression(spark, d).select("gene", "ident", "alpha", "mu", F.round("mean", 9).alias("mean"))
+    families = s.select("ident", F.substring("ident", 7, 1).alias("family")).distinct()
+    out = markers.next_stats(s, families)
+    return out.select("gene", "ident", r6("same_mean", "same_mean"), "same_ident", r6("next_mean", "next_mean"), "next_ident", r6("same_log2fc", "same_log2fc"), r6("next_log2fc", "next_log2fc"))

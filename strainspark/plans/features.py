@@ -47,10 +47,12 @@ def mutual_information(spark, d):
     return features.mutual_information(table(spark, d, "lineitem"), "l_returnflag", "l_linenumber").select(r6("mi", "mi"))
 
 
-@query("""WITH r AS (SELECT p_brand, corr(p_size, p_retailprice) AS a, corr(p_size, p_partkey) AS b, corr(p_retailprice, p_partkey) AS c FROM part GROUP BY 1) SELECT p_brand, round((a - b * c) / sqrt((1 - b * b) * (1 - c * c)), 6) AS partial FROM r""")
+@query("""WITH r AS (SELECT p_brand, count(*) AS n, corr(p_size, p_retailprice) AS a, corr(p_size, p_partkey % 97) AS b, corr(p_retailprice, p_partkey % 97) AS c FROM part GROUP BY 1)
+SELECT p_brand, CASE WHEN n >= 4 AND 1 - b * b > 1e-9 AND 1 - c * c > 1e-9 THEN round((a - b * c) / sqrt((1 - b * b) * (1 - c * c)), 6) END AS partial FROM r""")
 def partial_correlation(spark, d):
     x = lambda c: F.col(c).cast("double")
-    r = table(spark, d, "part").groupBy("p_brand").agg(F.corr(x("p_size"), x("p_retailprice")).alias("rxy"), F.corr(x("p_size"), x("p_partkey")).alias("rxz"), F.corr(x("p_retailprice"), x("p_partkey")).alias("ryz"))
+    part = table(spark, d, "part").withColumn("z", F.col("p_partkey") % 97)
+    r = part.groupBy("p_brand").agg(F.count("*").alias("n"), F.corr(x("p_size"), x("p_retailprice")).alias("rxy"), F.corr(x("p_size"), x("z")).alias("rxz"), F.corr(x("p_retailprice"), x("z")).alias("ryz"))
     return features.partial_correlation(r).select("p_brand", r6("partial", "partial"))
 
 
@@ -67,13 +69,8 @@ def balanced_sites(spark, d):
     return features.balanced_sites(rows, metadata(spark, d).select("sample", F.col("dx").alias("class")), "HC", "IBD", 0.25).select("pos", r6("f1", "f1"), r6("f2", "f2"))
 
 
-@query("SELECT p_brand, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS p_type FROM part WHERE p_size < 3 GROUP BY 1")
-def joined_annotations(spark, d):
-    return features.joined_annotations(table(spark, d, "part").filter("p_size < 3"), "p_brand", "p_type")
-
-
 @query("SELECT p_brand, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS p_type FROM part GROUP BY 1")
-def joined_annotations_whole(spark, d):
+def joined_annotations(spark, d):
     return features.joined_annotations(table(spark, d, "part"), "p_brand", "p_type")
 
 

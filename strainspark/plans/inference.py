@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strainspark.functions import sequence as seq
 from strainspark.functions.numeric import cosine, log2_or_null, ratio
-from strainspark.operators import markers, matrix, pileup, ranking, statistics, strain, trees
+from strainspark.operators import markers, matrix, panels, pileup, ranking, statistics, strain, trees
 from strainspark.plans.common import BRANDS, COUNTS, META, PILE, brands, counts, metadata, r6, table
 from strainspark.plans.common import pileup as pileup_rows
 
@@ -169,17 +169,18 @@ def greedy_disjoint_nodes(spark, d):
 # Statistics
 
 
-@query(f"""WITH b AS ({BRANDS}), p AS (SELECT a.gene AS g1, c.gene AS g2, a.value AS x, c.value AS y FROM b a JOIN b c ON a.sample = c.sample AND a.gene < c.gene),
-r AS (SELECT g1, g2, rank() OVER (PARTITION BY g1, g2 ORDER BY x) + (count(*) OVER (PARTITION BY g1, g2, x) - 1) / 2 AS x, rank() OVER (PARTITION BY g1, g2 ORDER BY y) + (count(*) OVER (PARTITION BY g1, g2, y) - 1) / 2 AS y FROM p)
-SELECT g1, g2, count(*) AS n, round(corr(x, y), 6) AS rho FROM r GROUP BY 1, 2""")
+@query(f"""WITH b AS ({BRANDS}), u AS (SELECT s.sample, g.gene, coalesce(b.value, 0) AS v FROM (SELECT DISTINCT sample FROM b) s CROSS JOIN (SELECT DISTINCT gene FROM b) g LEFT JOIN b ON b.sample = s.sample AND b.gene = g.gene),
+k AS (SELECT sample, gene, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1) / 2 AS r FROM u)
+SELECT x.gene AS g1, y.gene AS g2, count(*) AS n, round(corr(x.r, y.r), 6) AS rho FROM k x JOIN k y ON x.sample = y.sample AND x.gene < y.gene GROUP BY 1, 2""")
 def spearman_pairs(spark, d):
-    return statistics.spearman(statistics.gene_pairs(brands(spark, d)), "x", "y", ["g1", "g2"]).select("g1", "g2", "n", r6("rho", "rho"))
+    """Rank correlations of all pairs of genes; each gene is ranked once over all samples, zeros included."""
+    return panels.rank_correlations(brands(spark, d)).select("g1", "g2", "n", r6("rho", "rho"))
 
 
 @query()
 def spearman_pvalues(spark, d):
-    """Rank correlations with the p-value of their F test and its adjustment."""
-    rho = statistics.spearman(statistics.gene_pairs(brands(spark, d)), "x", "y", ["g1", "g2"])
+    """Rank correlations with the p-value of their F test over all samples and its adjustment."""
+    rho = panels.rank_correlations(brands(spark, d)).filter("rho IS NOT NULL")
     return ranking.bh_adjusted(statistics.with_correlation_p(rho), "pval", ["g1"])
 
 
@@ -261,20 +262,11 @@ def linear_model_two_covariates(spark, d):
     return statistics.linear_model(rows, "y", "x", "z", ["gene"]).select("gene", "n", F.round("bx", 5).alias("bx"), F.round("bz", 5).alias("bz"))
 
 
-@query(f"""WITH b AS (SELECT sample, gene, value, CASE WHEN dx = 'IBD' THEN 1 ELSE 0 END AS y FROM ({BRANDS}) JOIN ({META}) USING (sample)), n AS (SELECT *, sum(y) OVER (PARTITION BY gene) AS n1 FROM b),
-s AS (SELECT gene, k, value, CASE WHEN row_number() OVER (PARTITION BY gene, k ORDER BY md5(k::VARCHAR || ':' || sample::VARCHAR), sample) <= n1 THEN 1 ELSE 0 END AS l FROM n CROSS JOIN range(1, 51) r(k)),
-z AS (SELECT gene, k, avg(value) FILTER (WHERE l = 1) - avg(value) FILTER (WHERE l = 0) AS d FROM s GROUP BY 1, 2), o AS (SELECT gene, avg(value) FILTER (WHERE y = 1) - avg(value) FILTER (WHERE y = 0) AS observed FROM b GROUP BY 1)
-SELECT gene, round(observed, 6) AS observed, round(avg(CASE WHEN d >= observed - 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS pval FROM z JOIN o USING (gene) GROUP BY gene, observed""")
-def permutation_p(spark, d):
-    rows = brands(spark, d).join(metadata(spark, d), "sample").select("sample", "gene", "value", F.when(F.col("dx") == "IBD", 1).otherwise(0).alias("y"))
-    return statistics.permutation_p(rows, "value", "y", ["gene"], "sample", 50).select("gene", r6("observed", "observed"), r6("pval", "pval"))
-
-
 @query(f"""WITH b AS (SELECT sample, gene, value, CASE WHEN dx = 'IBD' THEN 1 ELSE 0 END AS y FROM ({BRANDS}) JOIN ({META}) USING (sample)), n AS (SELECT *, sum(y) OVER (PARTITION BY gene) AS n1 FROM b),
 s AS (SELECT gene, k, value, CASE WHEN row_number() OVER (PARTITION BY gene, k ORDER BY md5(k::VARCHAR || ':' || sample::VARCHAR), sample) <= n1 THEN 1 ELSE 0 END AS l FROM n CROSS JOIN range(1, 101) r(k)),
 z AS (SELECT gene, k, avg(value) FILTER (WHERE l = 1) - avg(value) FILTER (WHERE l = 0) AS d FROM s GROUP BY 1, 2), o AS (SELECT gene, avg(value) FILTER (WHERE y = 1) - avg(value) FILTER (WHERE y = 0) AS observed FROM b GROUP BY 1)
 SELECT gene, round(observed, 6) AS observed, round(avg(CASE WHEN d >= observed - 1e-9 THEN 1.0 ELSE 0.0 END), 6) AS pval FROM z JOIN o USING (gene) GROUP BY gene, observed""")
-def permutation_p_whole(spark, d):
+def permutation_p(spark, d):
     rows = brands(spark, d).join(metadata(spark, d), "sample").select("sample", "gene", "value", F.when(F.col("dx") == "IBD", 1).otherwise(0).alias("y"))
     return statistics.permutation_p(rows, "value", "y", ["gene"], "sample").select("gene", r6("observed", "observed"), r6("pval", "pval"))
 
@@ -282,16 +274,9 @@ def permutation_p_whole(spark, d):
 SETS = "SELECT DISTINCT l_suppkey AS name, l_partkey AS member FROM lineitem WHERE l_quantity > 45"
 
 
-@query(f"""WITH s AS ({SETS}), z AS (SELECT name, count(*) AS n FROM s GROUP BY 1) SELECT a.name AS s1, b.name AS s2, count(*) AS both, any_value(za.n) AS n1, any_value(zb.n) AS n2, round(count(*) / (any_value(za.n) + any_value(zb.n) - count(*)), 6) AS jaccard
-FROM s a JOIN s b ON a.member = b.member AND a.name < b.name JOIN z za ON za.name = a.name JOIN z zb ON zb.name = b.name GROUP BY 1, 2""")
-def geneset_overlap(spark, d):
-    sets = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_suppkey").alias("name"), F.col("l_partkey").alias("member"))
-    return statistics.set_overlaps(sets).select("s1", "s2", "both", "n1", "n2", r6("jaccard", "jaccard"))
-
-
 @query("""WITH s AS (SELECT DISTINCT l_suppkey AS name, l_partkey AS member FROM lineitem), z AS (SELECT name, count(*) AS n FROM s GROUP BY 1) SELECT a.name AS s1, b.name AS s2, count(*) AS both, any_value(za.n) AS n1, any_value(zb.n) AS n2, round(count(*) / (any_value(za.n) + any_value(zb.n) - count(*)), 6) AS jaccard
 FROM s a JOIN s b ON a.member = b.member AND a.name < b.name JOIN z za ON za.name = a.name JOIN z zb ON zb.name = b.name GROUP BY 1, 2""")
-def geneset_overlap_whole(spark, d):
+def geneset_overlap(spark, d):
     sets = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("name"), F.col("l_partkey").alias("member"))
     return statistics.set_overlaps(sets).select("s1", "s2", "both", "n1", "n2", r6("jaccard", "jaccard"))
 
@@ -395,13 +380,6 @@ def consensus_seeds(spark, d):
 STATS = "SELECT p_brand AS ident, p_type AS gene, avg(p_size) AS mean FROM part GROUP BY 1, 2"
 
 
-@query(f"""WITH s AS ({STATS}), k AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY mean DESC, ident) AS k FROM s), t AS (SELECT gene, max(mean) FILTER (WHERE k = 1) AS m1, max(mean) FILTER (WHERE k = 2) AS m2 FROM k GROUP BY 1)
-SELECT gene, ident, round(CASE WHEN k = 1 THEN m2 ELSE m1 END, 6) AS next_mean, round(mean / (CASE WHEN k = 1 THEN m2 ELSE m1 END), 6) AS next_fold FROM k JOIN t USING (gene)""")
-def next_stats(spark, d):
-    s = table(spark, d, "part").groupBy(F.col("p_brand").alias("ident"), F.col("p_type").alias("gene")).agg(F.avg("p_size").alias("mean"))
-    return markers.next_best(s).select("gene", "ident", r6("next_mean", "next_mean"), r6("next_fold", "next_fold"))
-
-
 @query(f"WITH s AS ({STATS}) SELECT a.gene, a.ident, count(*) AS contrasts FROM s a JOIN s b ON a.gene = b.gene AND a.ident <> b.ident GROUP BY 1, 2 HAVING bool_and(a.mean > b.mean)")
 def specific_markers_all(spark, d):
     s = table(spark, d, "part").groupBy(F.col("p_brand").alias("ident"), F.col("p_type").alias("gene")).agg(F.avg("p_size").alias("mean"))
@@ -468,7 +446,10 @@ def pca_project(spark, d):
 
     rows = _vectors(spark, d).select("id", array_to_vector("v").alias("x"))
     scaled = StandardScaler(inputCol="x", outputCol="s", withMean=True).fit(rows).transform(rows)
-    return PCA(k=5, inputCol="s", outputCol="p").fit(scaled).transform(scaled).select("id", F.transform(vector_to_array("p"), lambda x: F.round(F.abs(x), 6)).alias("scores"))
+    model = PCA(k=5, inputCol="s", outputCol="p").fit(scaled)
+    loadings = model.pc.toArray()
+    signs = [1.0 if column[abs(column).argmax()] > 0 else -1.0 for column in loadings.T]
+    return model.transform(scaled).select("id", F.zip_with(vector_to_array("p"), F.array(*[F.lit(x) for x in signs]), lambda x, s: F.round(x * s, 6)).alias("scores"))
 
 
 @query()

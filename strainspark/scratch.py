@@ -15,8 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir, or a local folder where it is unset."""
+    """The session's spark.checkpoint.dir; where it is unset, a local folder if the session runs on one machine."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return (root or f"file:///tmp/checkpoints/strainspark-{os.getpid()}").rstrip("/")
 
 

@@ -1,6 +1,9 @@
 import os
 import sys
 
+# Small matrices only; more threads would wait for each other beside Spark's.
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 import pandas as pd
 import pytest
 

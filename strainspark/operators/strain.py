@@ -157,3 +157,58 @@ def seed_genotypes(counts: DataFrame) -> DataFrame:
     per = Window.partitionBy("sample", "pos").orderBy(F.desc("n"), "allele")
     votes = counts.withColumn("__k", F.row_number().over(per)).filter("__k = 1").groupBy("pos", "allele").agg(F.count("*").alias("votes"))
     return first_of(votes, ["pos"], [F.desc("votes"), F.asc("allele")])
+
+
+def masked_genotypes(genotypes: DataFrame, frequencies: DataFrame, depths: DataFrame, limit: float) -> DataFrame:
+    """(strain, pos, allele, expected): each strain's allele, N where its expected depth over all samples is ``limit`` or less.
+
+    ``genotypes``: (strain, pos, allele); ``frequencies``: (sample, strain, z); ``depths``: (sample, pos, depth).
+    """
+    expected = frequencies.join(depths, "sample").groupBy("strain", "pos").agg(F.sum(F.col("z") * F.col("depth")).alias("expected"))
+    out = genotypes.join(expected, ["strain", "pos"], "left").withColumn("expected", F.coalesce("expected", F.lit(0.0)))
+    return out.select("strain", "pos", F.when(F.col("expected") > limit, F.col("allele")).otherwise("N").alias("allele"), "expected")
+
+
+def genetic_distances(genotypes: DataFrame) -> DataFrame:
+    """(a, b, sites, distance): of each two strains the share of common sites, N left out, with unequal alleles; a < b."""
+    x = genotypes.filter("allele <> 'N'").select("strain", "pos", "allele")
+    a, b = x.select("pos", F.col("strain").alias("a"), F.col("allele").alias("x")), x.select("pos", F.col("strain").alias("b"), F.col("allele").alias("y"))
+    return a.join(b, "pos").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("sites"), F.avg((F.col("x") != F.col("y")).cast("int")).alias("distance"))
+
+
+def frequency_distances(one: DataFrame, other: DataFrame) -> DataFrame:
+    """(sample, distance): half the summed differences of two estimates' strain frequencies (sample, strain, z); absent ones are 0."""
+    both = one.select("sample", "strain", F.col("z").alias("x")).join(other.select("sample", "strain", F.col("z").alias("y")), ["sample", "strain"], "full")
+    return both.groupBy("sample").agg((F.sum(F.abs(F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0)))) / 2).alias("distance"))
+
+
+def exhaustive_genotypes(counts: DataFrame, frequencies: DataFrame, strains: list) -> DataFrame:
+    """(pos, alleles, loglik): for each site the most likely of all combinations of one allele a strain.
+
+    There are as many combinations as alleles to the power of strains, so it is for few strains; they are
+    made once and broadcast.  ``counts``: (sample, pos, allele, n); ``frequencies``: (sample, strain, z) of all
+    strains.  Of equal likelihoods the first combination in order.
+    """
+    spark = counts.sparkSession
+    letters = F.array(*[F.lit(x) for x in "ACGT"])
+    combos = spark.range(1).select(F.explode(letters).alias("s0"))
+    for k in range(1, len(strains)):
+        combos = combos.withColumn(f"s{k}", F.explode(letters))
+    combos = combos.select(F.concat(*[f"s{k}" for k in range(len(strains))]).alias("alleles"))
+    wide = frequencies.groupBy("sample").agg(F.array(*[F.coalesce(F.sum(F.when(F.col("strain") == x, F.col("z"))), F.lit(0.0)) for x in strains]).alias("zs"))
+    each = counts.filter("n > 0").join(wide, "sample").crossJoin(F.broadcast(combos))
+    hit = lambda k: F.when(F.substring("alleles", k + 1, 1) == F.col("allele"), F.col("zs")[k]).otherwise(0.0)
+    expected = sum((hit(k) for k in range(1, len(strains))), hit(0))
+    model = F.greatest(F.lit(LEAST), (1 - ERROR) * expected + ERROR / 4)
+    scored = each.groupBy("pos", "alleles").agg(F.sum(F.col("n") * F.log(model)).alias("loglik"))
+    best = first_of(scored.withColumn("__l", F.round("loglik", 6)), ["pos"], [F.desc("__l"), F.asc("alleles")])
+    return best.select("pos", "alleles", "loglik")
+
+
+def converged(likelihoods: list[float], absolute: float, relative: float, rounds: int) -> bool:
+    """Whether the last ``rounds`` changes of a likelihood are all below ``absolute``, or below ``relative`` of the value."""
+    if len(likelihoods) <= rounds:
+        return False
+    last = likelihoods[-rounds - 1 :]
+    changes = [abs(b - a) for a, b in zip(last, last[1:], strict=False)]
+    return all(c < absolute for c in changes) or all(c < relative * max(abs(b), 1e-300) for c, b in zip(changes, last[1:], strict=True))

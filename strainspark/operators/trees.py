@@ -88,6 +88,33 @@ def greedy_disjoint(closed: DataFrame, nodes: DataFrame, least_size: int = 0) ->
     return rows.groupBy("tree").applyInPandas(choose, f"tree {kinds['tree']}, node {kinds['node']}, pick long")
 
 
+def tight_clades(closed: DataFrame, distances: DataFrame, most: float) -> DataFrame:
+    """(tree, node, size, widest) of clades whose two farthest tips are less than ``most`` apart; single tips have none.
+
+    ``distances``: (a, b, d), each pair once; a pair without a distance counts as infinitely far.
+    """
+    x, y = closed.select("tree", "node", F.col("tip").alias("a")), closed.select("tree", "node", F.col("tip").alias("b"))
+    sizes = closed.groupBy("tree", "node").agg(F.count("*").alias("size"))
+    known = distances.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "d")
+    # Near pairs find their clades; no clade's pairs are listed but those with a distance.
+    inside = known.join(x, "a").join(y, ["tree", "node", "b"]).groupBy("tree", "node").agg(F.max("d").alias("widest"), F.countDistinct("a", "b").alias("pairs"))
+    whole = F.col("pairs") == F.col("size") * (F.col("size") - 1) / 2
+    return inside.join(sizes, ["tree", "node"]).filter(whole & (F.col("widest") < most)).select("tree", "node", "size", "widest")
+
+
+def collapsed_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """``edges`` without the inner nodes of ``gone`` (tree, node): their children hang from the nearest node above that stays.
+
+    Roots and tips stay whatever ``gone`` says.
+    """
+    drop = gone.distinct().join(edges.filter("parent IS NOT NULL AND NOT is_tip").select("tree", "node"), ["tree", "node"], "left_semi")
+    paths = ancestry(edges)
+    depth = paths.groupBy("tree", F.col("below").alias("node")).agg(F.count("*").alias("depth"))
+    above = paths.filter("node <> below").join(drop, ["tree", "node"], "left_anti").join(depth, ["tree", "node"])
+    nearest = above.groupBy("tree", "below").agg(F.max_by("node", "depth").alias("parent")).withColumnRenamed("below", "node")
+    return edges.drop("parent").join(drop, ["tree", "node"], "left_anti").join(nearest, ["tree", "node"], "left").select("tree", "node", "parent", "is_tip")
+
+
 def taxonomy_edges(taxa: DataFrame, ranks: list[str]) -> DataFrame:
     """(node, parent, is_tip) of a table with one column a rank; a node is its path of ranks."""
     path = lambda k: F.concat_ws(";", *ranks[:k])

@@ -497,3 +497,54 @@ def cosine_pairs(spark, d):
     v = _vectors(spark, d)
     x, y = v.select(F.col("id").alias("a"), "label", F.col("v").alias("x")), v.select(F.col("id").alias("b"), "label", F.col("v").alias("y"))
     return x.withColumn("b", F.col("a") + 10).join(y, ["label", "b"]).select("a", "b", r6(cosine(F.col("x"), F.col("y")), "sim"))
+
+
+# Estimates and clades
+
+
+@query(f"""WITH g AS ({GENOTYPES}), d AS (SELECT sample, pos, sum(n) AS depth FROM ({SITES}) GROUP BY 1, 2), s AS (SELECT DISTINCT strain FROM g), e AS (SELECT strain, pos, sum(depth * (0.02 + strain * 0.01)) AS expected FROM d CROSS JOIN s GROUP BY 1, 2)
+SELECT strain, pos, CASE WHEN expected > 400 THEN allele ELSE 'N' END AS allele, round(expected, 6) AS expected FROM g JOIN e USING (strain, pos)""")
+def masked_genotypes(spark, d):
+    """Genotypes with N where a strain is hardly seen."""
+    genotypes = _genotypes(spark, d)
+    z = metadata(spark, d).select("sample").crossJoin(F.broadcast(genotypes.select("strain").distinct())).withColumn("z", 0.02 + F.col("strain") * 0.01)
+    depths = _sites(spark, d).groupBy("sample", "pos").agg(F.sum("n").alias("depth"))
+    return strain.masked_genotypes(genotypes, z, depths, 400).select("strain", "pos", "allele", r6("expected", "expected"))
+
+
+@query(f"WITH g AS ({GENOTYPES}) SELECT a.strain AS a, b.strain AS b, count(*) AS sites, round(avg((a.allele <> b.allele)::INT), 6) AS distance FROM g a JOIN g b ON a.pos = b.pos AND a.strain < b.strain GROUP BY 1, 2")
+def genetic_distances(spark, d):
+    return strain.genetic_distances(_genotypes(spark, d)).select("a", "b", "sites", r6("distance", "distance"))
+
+
+@query(f"WITH f AS ({FREQ}), k AS (SELECT sample, strain, freq FROM f WHERE strain % 2 = 0) SELECT sample, round(sum(abs(f.freq - coalesce(k.freq, 0))) / 2, 9) AS distance FROM f LEFT JOIN k USING (sample, strain) GROUP BY 1")
+def frequency_distances(spark, d):
+    f = _frequencies(spark, d).withColumnRenamed("freq", "z")
+    return strain.frequency_distances(f, f.filter("strain % 2 = 0")).select("sample", F.round("distance", 9).alias("distance"))
+
+
+@query(f"""WITH c AS ({SITES}), a AS (SELECT unnest(['A', 'C', 'G', 'T']) AS x), k AS (SELECT p.x AS p, q.x AS q FROM a p CROSS JOIN a q), s AS (SELECT pos, p || q AS alleles, sum(n * ln(greatest(1e-10, 0.99 * (CASE WHEN p = allele THEN 0.7 ELSE 0 END + CASE WHEN q = allele THEN 0.3 ELSE 0 END) + 0.0025))) AS l FROM c CROSS JOIN k GROUP BY 1, 2)
+SELECT pos, alleles, round(l, 4) AS loglik FROM (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY round(l, 6) DESC, alleles) AS k FROM s) WHERE k = 1""")
+def exhaustive_genotypes(spark, d):
+    """The best two genotypes of every site for fixed frequencies, by trying all."""
+    z = metadata(spark, d).select("sample").withColumn("z", F.explode(F.array(F.struct(F.lit(1).alias("strain"), F.lit(0.7).alias("z")), F.struct(F.lit(2).alias("strain"), F.lit(0.3).alias("z"))))).select("sample", "z.strain", "z.z")
+    return strain.exhaustive_genotypes(_sites(spark, d), z, [1, 2]).select("pos", "alleles", F.round("loglik", 4).alias("loglik"))
+
+
+@query(f"""WITH RECURSIVE {CLOSED}, dist AS (SELECT 'c' || a.c_custkey AS a, 'c' || b.c_custkey AS b, abs(a.c_acctbal - b.c_acctbal) AS d FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey),
+z AS (SELECT tree, node, count(*) AS size FROM cl GROUP BY 1, 2), w AS (SELECT x.tree, x.node, max(d) AS widest, count(*) AS pairs FROM dist JOIN cl x ON x.tip = dist.a JOIN cl y ON y.tip = dist.b AND x.tree = y.tree AND x.node = y.node GROUP BY 1, 2)
+SELECT tree, node, size, round(widest, 6) AS widest FROM w JOIN z USING (tree, node) WHERE pairs = size * (size - 1) / 2 AND widest < 10900""")
+def tight_clades(spark, d):
+    """Nations whose customers' balances are all close; tips of unlike nations have no distance."""
+    c = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("tip"), "c_custkey", "c_nationkey", "c_acctbal")
+    a, b = (c.select("c_nationkey", F.col("tip").alias(t), F.col("c_custkey").alias(f"k{t}"), F.col("c_acctbal").alias(f"v{t}")) for t in "ab")
+    near = a.join(b, "c_nationkey").filter("ka < kb").select("a", "b", F.abs(F.col("va") - F.col("vb")).alias("d"))
+    return trees.tight_clades(trees.closure(_edges(spark, d)), near, 10900).select("tree", "node", "size", r6("widest", "widest"))
+
+
+@query(f"""WITH e AS ({EDGES}) SELECT tree, node, CASE WHEN parent IN (SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey % 3 = 0) THEN (SELECT 'r' || n_regionkey FROM nation WHERE 'n' || n_nationkey = e.parent) ELSE parent END AS parent, is_tip FROM e
+WHERE node NOT IN (SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey % 3 = 0)""")
+def collapsed_edges(spark, d):
+    """The tree without every third nation; its customers hang from the region."""
+    gone = table(spark, d, "nation").filter("n_nationkey % 3 = 0").select(F.lit("world").alias("tree"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
+    return trees.collapsed_edges(_edges(spark, d), gone)

@@ -123,3 +123,10 @@ def test_overlap_pruning(spark):
     assert sorted(r.term for r in ranking.pruned_overlaps(rows, 0.5).collect()) == ["t1", "t3"]
 
 
+
+
+def test_convergence_of_a_likelihood():
+    from strainspark.operators.strain import converged
+
+    assert not converged([-10.0, -5.0], 0.1, 0.1, 2) and not converged([-10.0, -5.0, -4.99, -1.0], 0.1, 0.001, 2)
+    assert converged([-10.0, -5.0, -4.99, -4.985], 0.1, 1e-9, 2) and converged([-1e6, -5e5, -499999.0, -499998.5], 0.01, 1e-5, 2)

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -229,7 +230,7 @@ def windows(items):
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
         n = min(10, len(w))
         for k in range(len(w) - n + 1 if n else 0):
-            out.setdefault(tuple(w[k : k + n]), set()).add(str(item))
+            out.setdefault(tuple(w[k : k + n]), set()).update([] if item is None else [str(item)])
     return out
 
 
@@ -255,14 +256,52 @@ def test_contamination_is_brute_force(spark, data):
 def test_contamination_of_short_items_in_several_blocks(spark, odd):
     items = [(1, "Cat sat"), (2, "the CAT sat on"), (3, None), (4, "?!"), (5, "mat"), (None, "cat"), (6, " ".join(f"word{k}" for k in range(5, 25)))]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = windows([x for x in items if x[0] is not None])
+    found = windows(items)
     for size in (8_000_000, 40):
-        got = decontaminate.contamination(odd, bench, block_bytes=size, out="c").select("doc_id", "text", "c").collect()
+        got = decontaminate.contamination(odd, bench, block_bytes=size, out="c")
+        assert got.columns == [*odd.columns, "c"]
+        got = got.select("doc_id", "text", "c").collect()
         assert len(got) == 10
         for r in got:
             n_words, n_hit, n_items, _, _ = contaminated(r.text, found)
             assert (r.c.n_words, sum(s["last"] - s["first"] for s in r.c.spans), len(r.c.item_ids)) == (n_words, n_hit, n_items)
     assert decontaminate.contamination(odd, bench.limit(0), out="c").filter("size(c.spans) > 0").count() == 0
+    nameless = spark.createDataFrame([(None, "sat on the mat")], "item_id long, text string")
+    hit = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.report(odd, nameless).collect()}
+    assert hit[8] == hit[9] == (4, 0, True) and hit[1] == hit[2] == (0, 0, False)
+
+
+def test_searches_find_all_windows():
+    """Few words, so that blocks, prefixes and whole windows repeat; items of all lengths, repeated and nested."""
+    rng = np.random.default_rng(3)
+    text = lambda n, k: " ".join(f"w{x}" for x in rng.integers(k, size=n))
+    for k in (2, 3, 6):
+        items = [(str(i) if i % 5 else None, text(rng.integers(0, 25), k)) for i in range(30)]
+        items.append((items[1][0] + "x", items[1][1]))
+        found, finders = windows(items), decontaminate.searchers([(i, t.encode()) for i, t in items], 10)
+        for _ in range(40):
+            doc = text(rng.integers(0, 60), k + 1)
+            words, spans, here = decontaminate.words_of(doc.encode()), [], set()
+            for finder in finders:
+                finder.search(words, spans, here)
+            names = sorted({items[x][0] for x in here} - {None})
+            n_hit = sum(b - a for a, b in decontaminate.merged(spans))
+            assert (len(words), n_hit, len(names), hashlib.sha256(",".join(names).encode()).hexdigest(), n_hit > 0) == contaminated(doc, found)
+
+
+def test_tables_of_a_full_block_are_small():
+    """Words that are nearly all distinct are the worst case."""
+    rng = np.random.default_rng(4)
+    items, size = [], 0
+    while size < decontaminate.BLOCK_BYTES:
+        items.append((str(len(items)), b" ".join(b"w%d" % x for x in rng.integers(3_000_000, size=60))))
+        size += len(items[-1][1]) + 16
+    tracemalloc.start()
+    finders = decontaminate.searchers(items, 10)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    print(f"{held / 1e6:.0f} MB held, {peak / 1e6:.0f} MB at most")
+    assert len(finders) == 1 and peak < 200e6
 
 
 # 6

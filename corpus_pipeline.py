@@ -27,17 +27,18 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the smallest id; of repeated rows of an id, one.
+    """One document of each group stays, the one of the smallest id; of its repeated rows, one.
 
-    Rows of a null id aren't told apart and stay.
+    Rows of one id with different texts are judged each by its own text.  Rows of a
+    null id aren't told apart and stay.
     """
-    groups = minhash_dedup.near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("__n"), F.max("kept").alias("__kept"))
-    chosen = groups.filter("doc_id IS NULL OR __kept").select(F.col("doc_id").alias("__id"), "__n")
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")))
-    once = kept.filter("__n = 1 OR doc_id IS NULL").drop("__id", "__n")
-    repeated = kept.filter("__n > 1 AND doc_id IS NOT NULL").drop("__id", "__n")
-    first = repeated.groupBy("doc_id").agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "doc_id"])).alias("__row"))
-    return once.unionByName(first.select("doc_id", "__row.*").select(*[F.col(f"`{c}`") for c in docs.columns]))
+    groups = minhash_dedup.near_duplicates(docs).filter("kept").groupBy("doc_id", "group").agg(F.min("text_hash").alias("__hash"), F.count("*").alias("__n"))
+    chosen = groups.select(F.col("doc_id").alias("__id"), "__hash", "__n")
+    kept = docs.join(chosen, (F.col("doc_id") == F.col("__id")) & (F.xxhash64("text") == F.col("__hash")))
+    once = kept.filter("__n = 1").drop("__id", "__hash", "__n")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "doc_id"]
+    first = kept.filter("__n > 1").groupBy("doc_id", "__hash").agg(F.min(F.struct(*rest)).alias("__row"))
+    return once.unionByName(first.select("doc_id", "__row.*")).unionByName(docs.filter("doc_id IS NULL"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ SKETCH_BITS = 512
 #: Classes of a bucket that one group of the second search holds of each side.
 BLOCK = 512
 
-SIGNATURE = f"doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, {', '.join(f's{k} long' for k in range(SKETCH_BITS // 64))}"
+SIGNATURE = f"doc_id long, text_hash long, n_shingles long, set_a long, set_b long, bands array<long>, {', '.join(f's{k} long' for k in range(SKETCH_BITS // 64))}"
 SKETCH = [f"s{k}" for k in range(SKETCH_BITS // 64)]
 
 
@@ -102,8 +102,8 @@ def _signatures(size: int):
                 key = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 2)
                 sketch = np.array(sketches, np.int64).reshape(-1, SKETCH_BITS // 64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(bands, pa.list_(pa.int64())), *(pa.array(sketch[:, k]) for k in range(sketch.shape[1]))],
-                    names=["doc_id", "n_shingles", "set_a", "set_b", "bands", *SKETCH])
+                    [batch.column(0), batch.column(2), pa.array(counts, pa.int64()), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(bands, pa.list_(pa.int64())), *(pa.array(sketch[:, k]) for k in range(sketch.shape[1]))],
+                    names=["doc_id", "text_hash", "n_shingles", "set_a", "set_b", "bands", *SKETCH])
 
     return run
 
@@ -225,24 +225,26 @@ def _parity(x: str, y: str) -> Column:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: int = 75) -> DataFrame:
-    """Near-duplicate groups of ``docs``: (doc_id, n_shingles, component_id, kept).
+    """Near-duplicate groups of ``docs``: (doc_id, n_shingles, component_id, kept, text_hash, group).
 
     Documents link when ``100 * shared >= threshold * united`` shingles.  One row
     for each input row; component_id is the smallest id reachable by links.  A
     null or wordless text has n_shingles 0 and links with nothing; repeated rows
     are copies of each other; rows of a null id keep component_id null and kept
     false, as they can't be told apart; an empty table gives an empty result.
-    Other columns are never read.
+    Rows of one id with different texts are judged each by its own text; ``text_hash``
+    tells them apart, and ``group``, the least set hash of the component (null for an
+    empty set), tells apart components of one smallest id.  Other columns are never read.
     """
     spark = docs.sparkSession
     scratch, most = Scratch(spark, "minhash"), _most_parity(threshold / 100)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     each = scratch.keep(texts.mapInArrow(_signatures(shingle), SIGNATURE), "each")
 
-    # One row for each distinct shingle set; any of its documents stands for it, the smallest is taken.
+    # One row for each distinct shingle set, numbered where it is written; the first text of its smallest document stands for it.
     some = each.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = scratch.keep(
-        some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in SKETCH)), "classes")
+    sets = some.groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "text_hash")).alias("doc"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), *(F.first(s).alias(s) for s in SKETCH))
+    classes = scratch.keep(sets.withColumn("node", F.monotonically_increasing_id()), "classes")
     slim = classes.select("node", "n_shingles", *SKETCH)
 
     banded = classes.select("node", F.explode("bands").alias("key"))
@@ -256,11 +258,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 .select("a", "b"))
 
     # One pass over the texts for all later verification.
-    nodes = members.select(F.col("node").alias("doc_id")).distinct()
-    held = scratch.keep(texts.hint("merge").join(nodes, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")), "held")
+    nodes = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "doc.doc_id", "doc.text_hash")
+    held = scratch.keep(texts.hint("merge").join(nodes, ["doc_id", "text_hash"]).groupBy("node").agg(F.min("text").alias("text")), "held")
 
     stars = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    x, y = held.select(F.col("doc_id").alias("a"), F.col("text").alias("left")), held.select(F.col("doc_id").alias("b"), F.col("text").alias("right"))
+    x, y = held.select(F.col("node").alias("a"), F.col("text").alias("left")), held.select(F.col("node").alias("b"), F.col("text").alias("right"))
     linked = scratch.keep(sketched(stars).join(y, "b").join(x, "a").select("a", "b", "left", "right").mapInArrow(_confirm(shingle, threshold), "a long, b long"), "linked")
 
     # Buckets that hold several components still, dealt into blocks: each block meets itself and each other block once.
@@ -279,14 +281,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     promising = scratch.keep(dealt(rest).mapInArrow(_promising(most, threshold), "key long, node long").distinct(), "promising")
     sizes = promising.groupBy("key").agg(F.count("*").alias("n"))
     again = rest.drop("n").join(promising, ["key", "node"]).join(sizes, "key")
-    texted = held.withColumnRenamed("doc_id", "node")
-    again = again.join(classes.select("node", "bands"), "node").join(texted, "node")
+    again = again.join(classes.select("node", "bands"), "node").join(held, "node")
     linked2 = scratch.keep(dealt(again).mapInArrow(_search(shingle, most, threshold), "a long, b long"), "linked2")
     scratch.drop("members", "held", "rest", "promising")
 
     found = connected_components(linked.union(linked2), scratch, "all")
-    component = classes.select("set_a", "set_b", "node").join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("component_id"))
-    out = each.select("doc_id", "n_shingles", "set_a", "set_b").join(component, ["set_a", "set_b"], "left")
-    own = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
-    return (out.select("doc_id", "n_shingles", own.alias("component_id"))
-            .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept")))
+    placed = classes.select("set_a", "set_b", "node", "doc.doc_id").join(found, "node", "left").select("set_a", "set_b", F.coalesce("component", "node").alias("top"), F.col("doc_id").alias("first"))
+    tops = placed.groupBy("top").agg(F.min("first").alias("component_id"), F.min("set_a").alias("group"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    component = placed.join(tops, "top", "left").select("set_a", "set_b", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("group", "set_a").alias("group"))
+    out = each.select("doc_id", "text_hash", "n_shingles", "set_a", "set_b").join(component, ["set_a", "set_b"], "left")
+    linked_with_none = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
+    own = F.when(linked_with_none, F.col("doc_id")).otherwise(F.col("component_id"))
+    return (out.select("doc_id", "n_shingles", own.alias("component_id"), "text_hash", F.when(~linked_with_none, F.col("group")).alias("group"))
+            .select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "text_hash", "group"))

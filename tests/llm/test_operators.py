@@ -411,6 +411,14 @@ def test_near_duplicates_of_odd_rows(odd, empty):
     assert minhash_dedup.near_duplicates(empty).count() == 0
 
 
+def test_rows_of_one_id_are_judged_by_their_own_texts(spark):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(60)) for c in "xyz")
+    rows = [(1, two), (1, one), (2, one + " end"), (3, two + " end"), (4, three), (4, three + " end"), (4, three), (5, "start " + three)]
+    found = minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (4, 4, True), (4, 4, True), (5, 4, False)]
+    assert len({r.group for r in found}) == 3
+
+
 def test_sketches_estimate_similarity():
     rng = np.random.default_rng(4)
     a, b = minhash_dedup._coefficients()

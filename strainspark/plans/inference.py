@@ -203,10 +203,10 @@ def core_mean_sd_threshold(spark, d):
 @query("""WITH p AS (SELECT DISTINCT l_suppkey AS genome, l_partkey AS gene FROM lineitem), c AS (SELECT s_suppkey AS genome, CASE WHEN s_acctbal > 5000 THEN 'D' ELSE 'H' END AS class FROM supplier), t AS (SELECT count(*) FILTER (WHERE class = 'D') AS cases, count(*) AS al FROM c)
 SELECT gene, count(*) FILTER (WHERE class = 'D') AS a, any_value(cases) - count(*) FILTER (WHERE class = 'D') AS b, count(*) FILTER (WHERE class = 'H') AS c, any_value(al) - any_value(cases) - count(*) FILTER (WHERE class = 'H') AS d FROM p JOIN c USING (genome), t GROUP BY 1""")
 def fisher_counts(spark, d):
-    return _tables(spark, d)
+    return tables(spark, d)
 
 
-def _tables(spark, d):
+def tables(spark, d):
     presence = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("genome"), F.col("l_partkey").alias("gene")).distinct()
     classes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("genome"), F.when(F.col("s_acctbal") > 5000, "D").otherwise("H").alias("class"))
     return statistics.contingency(presence, classes, "D")
@@ -215,33 +215,33 @@ def _tables(spark, d):
 @query()
 def fisher_p(spark, d):
     """Conditional maximum-likelihood odds ratios and exact p, adjusted; tests compare with enumeration."""
-    return ranking.bh_adjusted(statistics.with_fisher(_tables(spark, d)).withColumn("all", F.lit("genes")), "pval", ["all"]).drop("all")
+    return ranking.bh_adjusted(statistics.with_fisher(tables(spark, d)).withColumn("all", F.lit("genes")), "pval", ["all"]).drop("all")
 
 
 SCORED = f"SELECT gene, value AS score, CASE WHEN dx = 'IBD' THEN 1 ELSE 0 END AS y FROM ({BRANDS}) JOIN ({META}) USING (sample)"
 
 
-def _scored(spark, d):
+def scored(spark, d):
     return brands(spark, d).join(metadata(spark, d), "sample").select("gene", F.col("value").alias("score"), F.when(F.col("dx") == "IBD", 1).otherwise(0).alias("y"))
 
 
 @query(f"""WITH s AS ({SCORED}), r AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY score) + (count(*) OVER (PARTITION BY gene, score) - 1) / 2 AS k FROM s)
 SELECT gene, sum(y)::BIGINT AS n1, sum(1 - y)::BIGINT AS n0, round((sum(k) FILTER (WHERE y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) AS auc FROM r GROUP BY 1""")
 def auc_per_feature(spark, d):
-    return statistics.auc(_scored(spark, d), "score", "y", ["gene"]).select("gene", "n1", "n0", r6("auc", "auc"))
+    return statistics.auc(scored(spark, d), "score", "y", ["gene"]).select("gene", "n1", "n0", r6("auc", "auc"))
 
 
 @query(f"""WITH s AS ({SCORED}), r AS (SELECT *, rank() OVER (PARTITION BY gene ORDER BY score) + (count(*) OVER (PARTITION BY gene, score) - 1) / 2 AS k, count(*) OVER (PARTITION BY gene, score) AS t FROM s),
 g AS (SELECT gene, sum(y)::DOUBLE AS n1, sum(1 - y)::DOUBLE AS n0, count(*)::DOUBLE AS n, sum(k) FILTER (WHERE y = 1) AS r1, sum(t * t - 1)::DOUBLE AS ties FROM r GROUP BY 1)
 SELECT gene, n1::BIGINT AS n1, n0::BIGINT AS n0, round(r1 - n1 * (n1 + 1) / 2, 6) AS u, round((r1 - n1 * (n1 + 1) / 2 - n1 * n0 / 2) / sqrt(n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1)))), 6) AS z FROM g""")
 def wilcoxon_u(spark, d):
-    return statistics.wilcoxon(_scored(spark, d), "score", "y", ["gene"]).select("gene", "n1", "n0", r6("u", "u"), r6("z", "z"))
+    return statistics.wilcoxon(scored(spark, d), "score", "y", ["gene"]).select("gene", "n1", "n0", r6("u", "u"), r6("z", "z"))
 
 
 @query()
 def wilcoxon_p(spark, d):
     """Rank-sum tests with normal p-values, adjusted over genes."""
-    z = statistics.with_normal_p(statistics.wilcoxon(_scored(spark, d), "score", "y", ["gene"])).withColumn("all", F.lit("genes"))
+    z = statistics.with_normal_p(statistics.wilcoxon(scored(spark, d), "score", "y", ["gene"])).withColumn("all", F.lit("genes"))
     return ranking.bh_adjusted(z, "pval", ["all"]).drop("all")
 
 
@@ -249,7 +249,7 @@ def wilcoxon_p(spark, d):
 k AS (SELECT *, row_number() OVER (PARTITION BY gene ORDER BY 2.0::DOUBLE * tp / (tp + fp + np) DESC, score DESC) AS k FROM x)
 SELECT gene, score AS cutoff, round(2.0::DOUBLE * tp / (tp + fp + np), 6) AS f1, round((tp + nq - fp)::DOUBLE / (np + nq), 6) AS accuracy, round(tp::DOUBLE / np, 6) AS sensitivity, round((nq - fp)::DOUBLE / nq, 6) AS specificity, round(fp::DOUBLE / (tp + fp), 6) AS fdr FROM k WHERE k = 1""")
 def best_f_cutoff(spark, d):
-    return statistics.best_cutoff(_scored(spark, d), "score", "y", ["gene"]).select("gene", "cutoff", *[r6(c, c) for c in ("f1", "accuracy", "sensitivity", "specificity", "fdr")])
+    return statistics.best_cutoff(scored(spark, d), "score", "y", ["gene"]).select("gene", "cutoff", *[r6(c, c) for c in ("f1", "accuracy", "sensitivity", "specificity", "fdr")])
 
 
 LM = f"SELECT gene, value AS y, cov AS x, CASE WHEN dx = 'IBD' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS z FROM ({BRANDS}) JOIN ({META}) USING (sample)"

@@ -2,9 +2,9 @@
 
 import pytest
 
-from strainspark.plans import abundance, curation, features, inference
+from strainspark.plans import abundance, contrasts, curation, features, inference
 
-QUERIES, SQL = abundance.Q | curation.Q | features.Q | inference.Q, abundance.SQL | curation.SQL | features.SQL | inference.SQL
+QUERIES, SQL = abundance.Q | contrasts.Q | curation.Q | features.Q | inference.Q, abundance.SQL | contrasts.SQL | curation.SQL | features.SQL | inference.SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

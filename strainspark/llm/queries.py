@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strainspark.llm import (chat_format, decontaminate, embedding_dedup, language_id, line_dedup, minhash_dedup, mixing, secrets,
-                             token_files, url_filter)
+from strainspark.llm import (alignment, chat_format, decontaminate, embedding_dedup, filter_audit, fingerprints, language_id, line_dedup,
+                             minhash_dedup, mixing, secrets, token_files, url_filter)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,9 +69,25 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.report(_table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers' tokens in every document, with the links' counts over all documents."""
+    return alignment.report(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and their likeness."""
+    return fingerprints.report(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters over all documents, in all orders."""
+    return filter_audit.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_language_id, op2_mixing, op3_chat_format, op4_token_files, op5_decontaminate, op6_embedding_dedup,
-                            op7_minhash_dedup, op8_line_dedup, op9_secret_scan, op10_url_filter)
+                            op7_minhash_dedup, op8_line_dedup, op9_secret_scan, op10_url_filter, op11_token_alignment, op12_fingerprints,
+                            op13_filter_audit)
 }
 
 SQL: dict[str, str] = {
@@ -79,4 +95,6 @@ SQL: dict[str, str] = {
     "op3_chat_format": chat_format.REPORT_SQL,
     "op9_secret_scan": secrets.report_sql(),
     "op10_url_filter": url_filter.REPORT_SQL,
+    "op12_fingerprints": fingerprints.report_sql(),
+    "op13_filter_audit": filter_audit.REPORT_SQL,
 }

@@ -58,11 +58,16 @@ def correlation_p(r: float, n: int) -> float:
     return f_tail(r * r * (n - 2) / (1 - r * r), 1, n - 2)
 
 
+@lru_cache(maxsize=16)
+def _log_factorials(n: int) -> np.ndarray:
+    return np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, n + 1)))])
+
+
 def _hypergeometric(a: int, b: int, c: int, d: int) -> tuple[np.ndarray, np.ndarray]:
     """(support of the first cell, its log weights) with the table's margins held."""
     row, other, col = a + b, c + d, a + c
     support = np.arange(max(0, col - other), min(row, col) + 1)
-    log_factorial = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, row + other + 1)))])
+    log_factorial = _log_factorials(row + other)
     weights = -sum(log_factorial[x] for x in (support, row - support, col - support, other - col + support))
     return support, weights - weights.max()
 

@@ -2,9 +2,10 @@
 
 import pytest
 
-from strainspark.plans import abundance, contrasts, curation, features, inference
+from strainspark.plans import abundance, contrasts, curation, features, inference, methods
 
-QUERIES, SQL = abundance.Q | contrasts.Q | curation.Q | features.Q | inference.Q, abundance.SQL | contrasts.SQL | curation.SQL | features.SQL | inference.SQL
+MODULES = (abundance, contrasts, curation, features, inference, methods)
+QUERIES, SQL = {k: v for m in MODULES for k, v in m.Q.items()}, {k: v for m in MODULES for k, v in m.SQL.items()}
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -95,3 +95,35 @@ def fisher_exact(a: int, b: int, c: int, d: int) -> tuple[float, float]:
         middle = (low + high) / 2
         low, high = (middle, high) if mean(middle) < a else (low, middle)
     return math.exp((low + high) / 2), p
+
+
+@lru_cache(maxsize=100_000)
+def exact_rows(x: tuple[int, ...], y: tuple[int, ...]) -> float:
+    """Two-sided exact p of a table of two rows with as many columns: the tables of its margins that are no likelier, summed.
+
+    All but the last two columns are enumerated, these two at once; a row or all but one
+    column without counts leaves one table, and 1.
+    """
+    columns = [a + b for a, b in zip(x, y, strict=True) if a + b]
+    if len(columns) < 2 or not sum(x) or not sum(y):
+        return 1.0
+    log_f = _log_factorials(sum(columns))
+    choose = [log_f[c] - log_f[: c + 1] - log_f[c::-1] for c in columns]
+    kept = [(a, c) for a, b in zip(x, y, strict=True) for c in [a + b] if c]
+    here = sum(choose[k][a] for k, (a, _) in enumerate(kept))
+    found: list[np.ndarray] = []
+
+    def walk(k: int, left: int, so_far: float) -> None:
+        if k == len(columns) - 2:
+            a = np.arange(max(0, left - columns[-1]), min(columns[-2], left) + 1)
+            if len(a):
+                found.append(so_far + choose[-2][a] + choose[-1][left - a])
+            return
+        for a in range(min(columns[k], left) + 1):
+            walk(k + 1, left - a, so_far + choose[k][a])
+
+    walk(0, sum(x), 0.0)
+    weights = np.concatenate(found)
+    top = weights.max()
+    prob = np.exp(weights - top)
+    return min(1.0, float(prob[prob <= np.exp(here - top) * (1 + 1e-7)].sum() / prob.sum()))

@@ -10,24 +10,22 @@ from strainspark.scratch import Scratch
 
 
 def ancestry(edges: DataFrame) -> DataFrame:
-    """(tree, node, below): every node with itself and all nodes under it, by doubling path lengths.
+    """(tree, node, below): every node with itself and all nodes under it.
 
-    Each round joins the paths with themselves, so depth d takes log2 d rounds.
+    Jumps of 2 ** k levels lengthen the paths of fewer levels, so each path is made
+    once and depth d takes log2 d rounds; parents must form a tree.
     """
     scratch = Scratch(edges.sparkSession, "ancestry")
-    own = edges.select("tree", "node", F.col("node").alias("below"))
-    paths = scratch.keep(own.union(edges.filter("parent IS NOT NULL").select("tree", F.col("parent").alias("node"), F.col("node").alias("below"))).distinct(), "p0")
-    n, step = paths.count(), 0
-    while True:
-        on = paths.select("tree", F.col("node").alias("below"), F.col("below").alias("deep"))
+    paths = scratch.keep(edges.select("tree", "node", F.col("node").alias("below")), "p0")
+    jumps, step = scratch.keep(edges.filter("parent IS NOT NULL").select("tree", F.col("parent").alias("node"), F.col("node").alias("below")), "j0"), 0
+    while not jumps.isEmpty():
+        over = jumps.select("tree", "node", F.col("below").alias("middle"))
+        longer = lambda x: over.join(x.withColumnRenamed("node", "middle"), ["tree", "middle"]).select("tree", "node", "below")  # noqa: B023, E731
         step += 1
-        following = scratch.keep(paths.join(on, ["tree", "below"]).select("tree", "node", F.col("deep").alias("below")).distinct(), f"p{step}")
-        m = following.count()
-        scratch.drop(f"p{step - 1}")
-        paths = following
-        if m == n:
-            return paths
-        n = m
+        following = scratch.keep(paths.union(longer(paths)), f"p{step}"), scratch.keep(longer(jumps), f"j{step}")
+        scratch.drop(f"p{step - 1}", f"j{step - 1}")
+        paths, jumps = following
+    return paths
 
 
 def closure(edges: DataFrame) -> DataFrame:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strainspark.operators import enrichment, graphs
+from strainspark.operators import enrichment, graphs, ordering, selection, trees
 from strainspark.plans.common import r6, table
-from strainspark.plans.inference import EDGE, _interactions, _vectors
-from strainspark.operators import markers
+from strainspark.plans.inference import CLOSED, EDGE, _edges, _interactions, _vectors
 from strainspark.scratch import Scratch
 
 Q, SQL = {}, {}
@@ -88,3 +87,70 @@ def set_pair_tests(spark, d):
     left, right = part.select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("member")), part.select(F.col("p_size").alias("name"), F.col("p_partkey").alias("member"))
     found = enrichment.set_pair_tests(left, right, part.select("p_partkey").distinct().count(), Scratch(spark, "pairs"))
     return found.select("s1", "s2", "both", "n1", "n2", r6("pval", "pval"), r6("padj", "padj"))
+
+
+# Clades of customers by region and nation; the class leans on the nation.
+
+DX = "CASE WHEN c_acctbal + 2500 * (c_nationkey % 3) > 7500 THEN 'CD' WHEN c_acctbal + 2500 * (c_nationkey % 3) > 4500 THEN 'UC' ELSE 'HC' END"
+CLADES = f"""k AS (SELECT 'c' || c_custkey AS tip, {DX} AS class FROM customer), t AS (SELECT class, count(*) AS al FROM k GROUP BY 1),
+cc AS (SELECT x.node, t.class, count(k.tip) AS inside, any_value(t.al) - count(k.tip) AS outside FROM (SELECT node, tip FROM cl WHERE node NOT LIKE 'c%') x CROSS JOIN t LEFT JOIN k ON k.tip = x.tip AND k.class = t.class GROUP BY 1, 2),
+pr AS (SELECT p.node, p.class AS x, q.class AS y, p.inside AS a, q.inside AS b, p.outside AS c, q.outside AS d FROM cc p JOIN cc q ON p.node = q.node AND p.class < q.class)"""
+#: The conditional odds ratio by bisection: the mean of the first cell under ln odds t is where it was seen.
+ODDS = """su AS (SELECT *, range(greatest(0, a - d), least(a + b, a + c) + 1) AS ss FROM pr), we AS (SELECT *, list_transform(ss, lambda s: -(lgamma(s + 1) + lgamma(a + b - s + 1) + lgamma(a + c - s + 1) + lgamma(d - a + s + 1))) AS w0 FROM su),
+wf AS (SELECT *, list_transform(w0, lambda w: w - list_max(w0)) AS ws FROM we),
+bi AS (SELECT node, x, y, a, ss, ws, -50::DOUBLE AS lo, 50::DOUBLE AS hi, 0 AS step FROM wf UNION ALL
+SELECT node, x, y, a, ss, ws, CASE WHEN m < a THEN (lo + hi) / 2 ELSE lo END, CASE WHEN m < a THEN hi ELSE (lo + hi) / 2 END, step + 1 FROM (
+SELECT *, list_sum(list_transform(es, lambda e, i: e * ss[i])) / list_sum(es) AS m FROM (SELECT *, list_transform(vs, lambda v: exp(v - list_max(vs))) AS es FROM (SELECT *, list_transform(ws, lambda w, i: w + ss[i] * (lo + hi) / 2) AS vs FROM bi WHERE step < 60)))),
+od AS (SELECT node, x, y, CASE WHEN len(ss) = 1 THEN NULL WHEN a = ss[1] THEN 0 WHEN a = ss[-1] THEN 'inf'::DOUBLE ELSE exp((lo + hi) / 2) END AS odds FROM bi WHERE step = 60),
+ef AS (SELECT node, max(CASE WHEN odds > 0 AND odds < 'inf'::DOUBLE THEN abs(ln(odds)) END) AS effect FROM od GROUP BY 1)"""
+
+
+def _dx():
+    leaning = F.col("c_acctbal") + 2500 * (F.col("c_nationkey") % 3)
+    return F.when(leaning > 7500, "CD").when(leaning > 4500, "UC").otherwise("HC")
+
+
+def _clades(spark, d, scratch):
+    """(edges, ancestry, counts) of the inner nodes of the customers' tree."""
+    edges = _edges(spark, d)
+    paths = scratch.keep(trees.ancestry(edges), "paths")
+    tips = edges.filter("is_tip").select("tree", F.col("node").alias("below"))
+    closed = paths.join(tips, ["tree", "below"]).select("tree", "node", F.col("below").alias("tip"))
+    inner = closed.join(edges.filter("NOT is_tip").select("tree", "node"), ["tree", "node"], "left_semi")
+    classes = table(spark, d, "customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("tip"), _dx().alias("class"))
+    return edges, paths, scratch.keep(trees.clade_counts(inner, classes), "counts")
+
+
+@query(f"WITH RECURSIVE {CLOSED}, {CLADES}, {ODDS} SELECT node, x, y, round(odds, 6) AS odds FROM od WHERE odds > 0 AND odds < 'inf'::DOUBLE")
+def clade_odds(spark, d):
+    """Conditional odds ratios of each pair of classes in every region and nation, where they are finite."""
+    counts = _clades(spark, d, Scratch(spark, "clades"))[2]
+    return selection.clade_odds(counts).filter("odds > 0 AND odds < double('infinity')").select("node", "x", "y", r6("odds", "odds"))
+
+
+@query(f"""WITH RECURSIVE {CLOSED}, {CLADES}, {ODDS},
+ct AS (SELECT node, max(CASE class WHEN 'CD' THEN inside END) AS i1, max(CASE class WHEN 'HC' THEN inside END) AS i2, max(CASE class WHEN 'UC' THEN inside END) AS i3, max(CASE class WHEN 'CD' THEN inside + outside END) AS t1, max(CASE class WHEN 'HC' THEN inside + outside END) AS t2, max(CASE class WHEN 'UC' THEN inside + outside END) AS t3 FROM cc GROUP BY 1),
+ps AS (SELECT node AS outer_node, NULL::VARCHAR AS inner_node, i1 AS x1, i2 AS x2, i3 AS x3, t1 AS c1, t2 AS c2, t3 AS c3 FROM ct UNION ALL
+SELECT p.node, q.node, q.i1, q.i2, q.i3, p.i1, p.i2, p.i3 FROM anc JOIN ct p ON p.node = anc.node JOIN ct q ON q.node = anc.below JOIN ef e1 ON e1.node = p.node JOIN ef e2 ON e2.node = q.node WHERE anc.node <> anc.below AND round(e2.effect, 9) >= round(e1.effect, 9)),
+en AS (SELECT *, lgamma(c1 + 1) - lgamma(a1 + 1) - lgamma(c1 - a1 + 1) + lgamma(c2 + 1) - lgamma(a2 + 1) - lgamma(c2 - a2 + 1) + lgamma(c3 + 1) - lgamma(a3 + 1) - lgamma(c3 - a3 + 1) AS w FROM (
+SELECT *, x1 + x2 + x3 - a1 - a2 AS a3 FROM ps, range(0, c1 + 1) r1(a1), range(0, c2 + 1) r2(a2)) WHERE a3 BETWEEN 0 AND c3),
+wx AS (SELECT *, exp(w - max(w) OVER (PARTITION BY outer_node, inner_node)) AS e FROM en), hx AS (SELECT *, max(e) FILTER (WHERE a1 = x1 AND a2 = x2) OVER (PARTITION BY outer_node, inner_node) AS here FROM wx),
+px AS (SELECT outer_node, inner_node, round(least(1, sum(e) FILTER (WHERE e <= here * (1 + 1e-7)) / sum(e)), 12) AS pval FROM hx GROUP BY 1, 2),
+r AS (SELECT outer_node AS node, pval, rank() OVER (ORDER BY pval) + count(*) OVER (PARTITION BY pval) - 1 AS i, count(*) OVER () AS tests FROM px WHERE inner_node IS NULL),
+pa AS (SELECT node, least(1, min(pval * tests / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS padj FROM r),
+sg AS (SELECT node FROM pa JOIN ef USING (node) WHERE padj < 0.05 AND effect IS NOT NULL),
+el AS (SELECT node FROM sg WHERE NOT EXISTS (SELECT 1 FROM px WHERE outer_node = sg.node AND inner_node IN (SELECT node FROM sg) AND pval < 0.05)),
+us AS (SELECT node FROM el WHERE NOT EXISTS (SELECT 1 FROM anc WHERE anc.below = el.node AND anc.node <> el.node AND anc.node IN (SELECT node FROM el))),
+fr AS (SELECT node FROM (SELECT node, count(*) AS size FROM cl GROUP BY 1) z WHERE size > 10 AND node NOT LIKE 'c%' AND EXISTS (SELECT 1 FROM sg) AND NOT EXISTS (SELECT 1 FROM anc WHERE (anc.node = z.node AND anc.below IN (SELECT node FROM us)) OR (anc.below = z.node AND anc.node IN (SELECT node FROM us))))
+SELECT node, true AS enriched FROM us UNION ALL SELECT node, false FROM fr WHERE NOT EXISTS (SELECT 1 FROM anc WHERE anc.below = fr.node AND anc.node <> fr.node AND anc.node IN (SELECT node FROM fr))
+UNION ALL SELECT 'root', false WHERE NOT EXISTS (SELECT 1 FROM sg)""")
+def selected_clades(spark, d):
+    """Regions and nations whose classes are enriched, told from those around and inside them, and the largest others."""
+    scratch = Scratch(spark, "selection")
+    edges, paths, counts = _clades(spark, d, scratch)
+    arrays = counts.groupBy("tree", "node").agg(F.transform(F.array_sort(F.collect_list(F.struct("class", "inside", "outside"))), lambda x: F.struct(x["inside"].alias("i"), x["outside"].alias("o"))).alias("c"))
+    arrays = arrays.select("tree", "node", F.transform("c", lambda x: x["i"]).alias("counts"), F.transform("c", lambda x: x["i"] + x["o"]).alias("whole"))
+    effects = selection.largest_log_odds(selection.clade_odds(counts)).withColumn("effect", F.round("effect", 9))
+    tested = scratch.keep(selection.with_exact_rows(arrays.join(effects, ["tree", "node"]), "whole", "counts").withColumn("pval", F.round("pval", 12)), "tested")
+    stats = ordering.adjusted_over_all(tested, "pval", scratch)
+    return selection.selected_clades(edges, paths, stats).select("node", "enriched")

@@ -179,3 +179,97 @@ def test_pairs_of_sets_against_enumeration(spark, scratch):
     for r in got:
         odds, pval = p[(r.s1, r.s2)]
         assert abs(r.pval - pval) < 1e-9 and (abs(r.odds - odds) < 1e-6 or r.odds == odds) and abs(r.padj - adjusted[(r.s1, r.s2)]) < 1e-9
+
+
+# clades
+
+
+def random_tree(rng, n_tips):
+    """(edges, tips below each node) of a random tree with nodes of two or three children."""
+    parts = [(f"t{k}", {f"t{k}"}) for k in range(n_tips)]
+    edges, below, k = [], dict(parts), 0
+    while len(parts) > 1:
+        taken = [parts.pop(rng.integers(len(parts))) for _ in range(min(len(parts), int(rng.integers(2, 4))))]
+        name, k = f"i{k}", k + 1
+        edges += [(x, name) for x, _ in taken]
+        below[name] = set().union(*(y for _, y in taken))
+        parts.append((name, below[name]))
+    return [*edges, (parts[0][0], None)], below
+
+
+def chosen_one_by_one(below, stats, p, least):
+    """By falling effect: nodes are refused, taken or replaced one after the other, then the largest others are added."""
+    order = sorted(stats, key=lambda x: -stats[x])
+    used = {}
+    for i in order:
+        inside = [j for j in order if j != i and below[j] < below[i]]
+        if any(stats[j] >= stats[i] and p[(i, j)] < 0.05 for j in inside):
+            used[i] = False
+            continue
+        for j in [j for j in order if used.get(j)]:
+            if below[i] & below[j]:
+                large, small = (i, j) if len(below[i]) > len(below[j]) else (j, i)
+                winner = large if p[(large, small)] >= 0.05 else (i if stats[i] > stats[j] else j)
+                used[i], used[j] = winner == i, winner == j
+        used.setdefault(i, True)
+    enriched = {x for x in used if used[x]}
+    others = set()
+    while True:
+        free = [x for x in below if x.startswith("i") and len(below[x]) >= least and not any(below[x] & below[y] for y in enriched | others)]
+        if not free:
+            return enriched, others
+        others.add(max(free, key=lambda x: len(below[x])))
+
+
+def test_clades_are_those_chosen_one_by_one(spark):
+    from strainspark.functions.special import exact_rows
+    from strainspark.operators import selection, trees
+
+    rng = np.random.default_rng(11)
+    edges, stats, expected = [], [], set()
+    for tree in range(25):
+        rows, below = random_tree(rng, 12 if tree < 20 else 40)
+        classes = {x: int(rng.integers(0, 3)) for x in below if x.startswith("t")}
+        counts = {x: [20 * sum(classes[t] == c for t in tips) for c in range(3)] for x, tips in below.items()}  # each tip stands for 20 samples
+        effect = {x: float(np.round(rng.random() * 3, 3)) for x in below if x.startswith("i")}
+        low = {x for x in effect if rng.random() < 0.6}
+        edges += [(tree, x, y, x.startswith("t")) for x, y in rows]
+        stats += [(tree, x, 0.01 if x in low else 0.5, effect[x], counts[x]) for x in effect] + [(tree, rows[-1][0], 0.001, float("nan"), counts[rows[-1][0]])]
+        significant = {x: effect[x] for x in low}
+        if significant:
+            p = {(x, y): exact_rows(tuple(counts[y]), tuple(a - b for a, b in zip(counts[x], counts[y], strict=True))) for x in effect for y in effect if below[y] < below[x]}
+            enriched, others = chosen_one_by_one(below, significant, p, 4)
+            expected |= {(tree, x, True) for x in enriched} | {(tree, x, False) for x in others}
+        else:
+            expected.add((tree, rows[-1][0], False))
+    edges = spark.createDataFrame(edges, "tree long, node string, parent string, is_tip boolean")
+    stats = spark.createDataFrame(stats, "tree long, node string, padj double, effect double, counts array<long>")
+    got = selection.selected_clades(edges, trees.ancestry(edges), stats, least=4).collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected)
+    assert any(r.enriched for r in got) and any(not r.enriched for r in got)
+
+
+def test_exact_p_of_two_rows():
+    from math import comb
+
+    from strainspark.functions.special import exact_rows, fisher_exact
+
+    assert abs(exact_rows((3, 5), (9, 2)) - fisher_exact(3, 5, 9, 2)[1]) < 1e-12
+    x, y = (3, 1, 4), (1, 5, 2)
+    columns = [a + b for a, b in zip(x, y, strict=True)]
+    weight = {a: comb(columns[0], a[0]) * comb(columns[1], a[1]) * comb(columns[2], a[2]) for a in itertools.product(*(range(c + 1) for c in columns)) if sum(a) == sum(x)}
+    assert abs(exact_rows(x, y) - sum(w for w in weight.values() if w <= weight[x] * (1 + 1e-7)) / sum(weight.values())) < 1e-12
+    assert exact_rows((0, 0, 0), (3, 4, 5)) == exact_rows((3, 0, 0), (4, 0, 0)) == 1.0
+    four = exact_rows((2, 1, 0, 3), (1, 1, 4, 0))
+    assert 0 < four < 0.2
+
+
+def test_ancestry_of_deep_and_bushy_trees(spark):
+    from strainspark.operators import trees
+
+    rows = [("chain", k, k - 1 if k else None, k == 20) for k in range(21)] + [("star", k, 0 if k else None, k > 0) for k in range(9)] + [("one", 0, None, True)]
+    edges = spark.createDataFrame(rows, "tree string, node long, parent long, is_tip boolean")
+    got = [tuple(r) for r in trees.ancestry(edges).collect()]
+    wanted = {("chain", a, b) for a in range(21) for b in range(a, 21)} | {("star", 0, k) for k in range(9)} | {("star", k, k) for k in range(9)} | {("one", 0, 0)}
+    assert set(got) == wanted and len(got) == len(wanted)
+    assert trees.ancestry(edges.limit(0)).count() == 0

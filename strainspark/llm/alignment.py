@@ -64,9 +64,10 @@ class ByteLevel:
             import tiktoken
 
             ranks = {self.bytes[k]: k for k in vocabulary.values() if k not in special}
-            self.encode = tiktoken.Encoding("file", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            encoding = tiktoken.Encoding("file", pat_str=BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.encode, self.lossless = (lambda text: encoding.encode_to_numpy(text, disallowed_special=())), True  # every byte has an id, and nothing is normalised
         else:
-            self.encode = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+            self.encode, self.lossless = (lambda text: tokenizer.encode(text, add_special_tokens=False).ids), False
 
 
 class Pieces:
@@ -91,26 +92,27 @@ class Aligner:
         # An id with what follows it: A's inside a group and at its end, then B's.
         self.spelled = [f"{k}{mark}" for side, marks in ((self.a, ",|"), (self.b, ",;")) for k in range(len(side.bytes)) for mark in marks]
 
-    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
-        """Both sides' ids, none where a side doesn't spell space + text."""
+    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
+        """Both sides' ids, None where a side doesn't spell space + text."""
         if not text:
-            return [], []
-        a, b = self.a.encode(" " + text), self.b.encode(text)
-        whole = (" " + text).encode()
-        if b"".join(map(self.a.bytes.__getitem__, a)) != whole or b"".join(map(self.b.bytes.__getitem__, b)) != whole:
-            return [], []
-        return a, b
+            return None
+        b, whole = self.b.encode(text), (" " + text).encode()
+        if b"".join(map(self.b.bytes.__getitem__, b)) != whole:
+            return None
+        a = self.a.encode(" " + text)
+        if not self.a.lossless and b"".join(map(self.a.bytes.__getitem__, a)) != whole:
+            return None
+        return np.asarray(a, np.int64), np.array(b, np.int64)
 
     def align(self, text: str | None) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
         """(n_a, n_b, n_groups, n_links, groups, distinct pairs as a * wide + b, how often each is linked)."""
-        ids, others = self.tokens(text)
-        if not ids:
+        found = self.tokens(text)
+        if found is None:
             return 0, 0, 0, 0, "", np.empty(0, np.int64), np.empty(0, np.int64)
-        a, b = np.array(ids, np.int64), np.array(others, np.int64)
-        in_a, in_b = merge_ends(np.cumsum(self.a_length[a]).tolist(), np.cumsum(self.b_length[b]).tolist())
-        last_a, last_b = np.array(in_a), np.array(in_b)  # tokens up to each group's end
+        a, b = found
+        last_a, last_b = merge_ends(np.cumsum(self.a_length[a]), np.cumsum(self.b_length[b]))  # tokens up to each group's end
         of_a, of_b = np.diff(last_a, prepend=0), np.diff(last_b, prepend=0)
-        group_a, group_b = np.repeat(np.arange(len(in_a)), of_a), np.repeat(np.arange(len(in_a)), of_b)
+        group_a, group_b = np.repeat(np.arange(len(of_a)), of_a), np.repeat(np.arange(len(of_b)), of_b)
 
         spelled = np.empty(len(a) + len(b), np.int64)
         ends_a, ends_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
@@ -121,7 +123,7 @@ class Aligner:
 
         links = of_a * of_b
         pairs, times = self._pairs(a, b, of_a, of_b, last_a, last_b, group_a, links)
-        return len(a), len(b), len(in_a), int(links.sum()), groups, pairs, times
+        return len(a), len(b), len(of_a), int(links.sum()), groups, pairs, times
 
     def _pairs(self, a, b, of_a, of_b, last_a, last_b, group_a, links) -> tuple[np.ndarray, np.ndarray]:
         large = np.flatnonzero(links > BLOCK_LINKS)
@@ -141,22 +143,15 @@ class Aligner:
         return pairs, times
 
 
-def merge_ends(x: list[int], y: list[int]) -> tuple[list[int], list[int]]:
-    """For each place where both ascending lists of ends meet, how many ends of either came by then; the last two are equal."""
-    i, j, n = 0, 0, len(x)
-    of_x, of_y = [], []
-    while i < n:
-        p, q = x[i], y[j]
-        if p == q:
-            i += 1
-            j += 1
-            of_x.append(i)
-            of_y.append(j)
-        elif p < q:
-            i += 1
-        else:
-            j += 1
-    return of_x, of_y
+def merge_ends(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place where both ascending arrays of ends meet, how many ends of either came by then.
+
+    The two pointers of a merge, moved in one call: for ends in ascending order the
+    search goes on from where the end before it was found.  The last ends are equal.
+    """
+    at = np.searchsorted(y, x)
+    met = np.flatnonzero(y[at] == x)
+    return met + 1, at[met] + 1
 
 
 #: The aligner of this worker, by its files.

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strainspark.operators import enrichment, graphs, ordering, selection, trees
+from strainspark.operators import enrichment, graphs, ordering, search, selection, trees
 from strainspark.plans.common import r6, table
-from strainspark.plans.inference import CLOSED, EDGE, _edges, _interactions, _vectors
+from strainspark.plans.inference import CLOSED, EDGE, GENOTYPES, SITES, _edges, _genotypes, _interactions, _sites, _vectors
 from strainspark.scratch import Scratch
 
 Q, SQL = {}, {}
@@ -154,3 +155,40 @@ def selected_clades(spark, d):
     tested = scratch.keep(selection.with_exact_rows(arrays.join(effects, ["tree", "node"]), "whole", "counts").withColumn("pval", F.round("pval", 12)), "tested")
     stats = ordering.adjusted_over_all(tested, "pval", scratch)
     return selection.selected_clades(edges, paths, stats).select("node", "enriched")
+
+
+# Search over strain estimates
+
+
+@query(f"""WITH c AS ({SITES}), g AS ({GENOTYPES}), s AS (SELECT strain, row_number() OVER (ORDER BY strain) - 1 AS k, count(*) OVER () AS al FROM (SELECT DISTINCT strain FROM g)),
+z AS (SELECT e.estimate, sample, strain, CASE e.estimate WHEN 0 THEN 1.0 / al WHEN 1 THEN (k + 1) / (al * (al + 1) / 2) ELSE CASE WHEN k = sample % al THEN 0.9 ELSE 0.1 / (al - 1) END END::DOUBLE AS z FROM s, (SELECT DISTINCT sample FROM c), (VALUES (0), (1), (2)) e(estimate)),
+m AS (SELECT estimate, sample, pos, allele, sum(z) AS zp FROM z JOIN g USING (strain) GROUP BY 1, 2, 3, 4), x AS (SELECT e.estimate, c.*, coalesce(zp, 0) AS zp FROM c CROSS JOIN (VALUES (0), (1), (2)) e(estimate) LEFT JOIN m ON m.estimate = e.estimate AND m.sample = c.sample AND m.pos = c.pos AND m.allele = c.allele),
+t AS (SELECT estimate, sample, pos, sum(n * ln(greatest(1e-10, 0.99 * zp + 0.0025))) AS model, 1.25 * ln(0.25) * sum(n) AS low FROM x GROUP BY 1, 2, 3)
+SELECT estimate::BIGINT AS estimate, round(sum(greatest(model, low)), 3) AS loglik, count(*) FILTER (WHERE model < low) AS masked FROM t GROUP BY 1""")
+def penalised_likelihood(spark, d):
+    """Three mixtures of the five genotypes, even, graded and led by one strain, with masked sites at 1.25 times equal shares."""
+    genotypes = _genotypes(spark, d)
+    strains = genotypes.select("strain").distinct().withColumn("k", F.row_number().over(Window.orderBy("strain")) - 1)  # five regions
+    index = F.expr(f"locate(allele, '{search.LETTERS}')") - 1
+    ordered = lambda value: F.transform(F.array_sort(F.collect_list(F.struct("k", value.alias("v")))), lambda x: x["v"])
+    g = genotypes.join(strains, "strain").groupBy("pos").agg(ordered(index).alias("g"))
+    sites = search.site_counts(_sites(spark, d))
+    n = F.size("g")
+    one = g.select(n.alias("n")).limit(1)
+    k = F.sequence(F.lit(0), F.col("n") - 1)
+    shares = {0: F.transform(k, lambda i: 1.0 / F.col("n")), 1: F.transform(k, lambda i: (i + 1) / (F.col("n") * (F.col("n") + 1) / 2)),
+              2: F.transform(k, lambda i: F.when(i == F.pmod("sample", "n"), 0.9).otherwise(0.1 / (F.col("n") - 1)))}
+    samples = sites.select("sample").distinct().crossJoin(F.broadcast(one))
+    estimates = F.explode(F.array(*[F.struct(F.lit(e).cast("long").alias("estimate"), F.transform(z, lambda x: x.cast("double")).alias("z")) for e, z in shares.items()]))
+    z = samples.select("sample", estimates.alias("e")).select("sample", "e.*")
+    held = g.select("pos", "g", F.explode(F.array(*[F.lit(e).cast("long") for e in shares])).alias("estimate"))
+    return search.likelihoods(sites, held, z, 1.25).select("estimate", F.round("loglik", 3).alias("loglik"), "masked")
+
+
+@query()
+def strain_search(spark, d):
+    """Three strains of the suppliers' pileup: the two likeliest of eight starts, refined; tests recover planted mixtures."""
+    found = search.Search(search.site_counts(_sites(spark, d)), 3, Scratch(spark, "search"))
+    found.shallow(8, 3, 2)
+    found.deep(6)
+    return found.table()

@@ -273,3 +273,114 @@ def test_ancestry_of_deep_and_bushy_trees(spark):
     wanted = {("chain", a, b) for a in range(21) for b in range(a, 21)} | {("star", 0, k) for k in range(9)} | {("star", k, k) for k in range(9)} | {("one", 0, 0)}
     assert set(got) == wanted and len(got) == len(wanted)
     assert trees.ancestry(edges.limit(0)).count() == 0
+
+
+# search over estimates
+
+
+def planted(rng, strains, samples, sites, depth=60):
+    """(counts rows, genotypes, shares) of a mixture whose strains all differ."""
+    g = rng.integers(0, 4, (strains, sites))
+    z = rng.dirichlet(np.full(strains, 0.5), samples)
+    rows = []
+    for m in range(samples):
+        for pos in range(sites):
+            p = np.full(4, 0.01 / 4)
+            for k in range(strains):
+                p[g[k, pos]] += 0.99 * z[m, k]
+            rows += [(m, pos, "ACGT"[a], int(n)) for a, n in enumerate(rng.multinomial(depth, p / p.sum())) if n]
+    return rows, g, z
+
+
+def plain_likelihood(n, g, z, penalty=None):
+    """n: samples, sites, 4."""
+    share = (z[:, :, None, None] * np.eye(4)[g][None]).sum(axis=1)
+    model = (n * np.log(np.maximum(1e-10, 0.99 * share + 0.0025))).sum(axis=2)
+    low = np.log(0.25) * n.sum(axis=2)
+    return model.sum() if penalty is None else np.maximum(model, penalty * low).sum()
+
+
+def test_search_recovers_a_planted_mixture(spark, scratch):
+    from strainspark.operators import search
+
+    rng = np.random.default_rng(4)
+    rows, g, z = planted(rng, 3, 12, 25)
+    sites = search.site_counts(spark.createDataFrame([*rows, (0, 0, "N", 9)], "sample long, pos long, allele string, n long"))
+    found = search.Search(sites, 3, scratch)
+    found.shallow(6, 3, 2, seed="7")
+    found.deep(60, 1, rise=1e-4)
+    assert all(b >= a - 1e-6 for h in found.history.values() for a, b in zip(h, h[1:], strict=False))
+    n = np.zeros((12, 25, 4))
+    for m, pos, a, k in rows:
+        n[m, pos, "ACGT".index(a)] = k
+    best = found.best(1)[0]
+    got_g = np.array([r.g for r in found.genotypes.filter(F.col("estimate") == best).orderBy("pos").collect()]).T
+    got_z = np.array([r.z for r in found.frequencies.filter(F.col("estimate") == best).orderBy("sample").collect()])
+    assert abs(got_z.sum(axis=1) - 1).max() < 1e-9
+    assert abs(found.history[best][-1] - plain_likelihood(n, got_g, got_z)) < 1e-4
+    assert found.history[best][-1] >= plain_likelihood(n, g, z) - 5
+    order = [int((got_g == g[k]).mean(axis=1).argmax()) for k in range(3)]
+    assert sorted(order) == [0, 1, 2] and (got_g[order] == g).mean() > 0.9 and abs(got_z[:, order] - z).mean() < 0.05
+    row = found.table().collect()[0]
+    k = 1 + 12 * 2 + 3 * 3 * 25
+    assert abs(row.aic - (2 * k - 2 * row.loglik)) < 1e-6 and abs(row.bic - (k * np.log(n.sum()) - 2 * row.loglik)) < 1e-6
+
+
+def test_steps_of_known_and_masked_sites(spark, scratch):
+    from strainspark.operators import search
+
+    rng = np.random.default_rng(9)
+    rows, g, z = planted(rng, 2, 5, 12)
+    n = np.zeros((5, 12, 4))
+    for m, pos, a, k in rows:
+        n[m, pos, "ACGT".index(a)] = k
+    n[1, 3], n[2, 5] = [15, 15, 15, 15], [0, 0, 0, 90]  # sites that fit no mixture
+    g[:, 5] = 1
+    sites = spark.createDataFrame([(m, pos, n[m, pos].tolist()) for m in range(5) for pos in range(12)], "sample long, pos long, n array<double>")
+    genotypes = spark.createDataFrame([(0, pos, g[:, pos].tolist()) for pos in range(12)], "estimate long, pos long, g array<int>")
+    frequencies = spark.createDataFrame([(0, m, z[m].tolist()) for m in range(5)], "estimate long, sample long, z array<double>")
+    plain, masked = search.likelihoods(sites, genotypes, frequencies).first(), search.likelihoods(sites, genotypes, frequencies, 1.25).first()
+    assert abs(plain.loglik - plain_likelihood(n, g, z)) < 1e-6 and plain.masked == 0
+    assert abs(masked.loglik - plain_likelihood(n, g, z, 1.25)) < 1e-6 and masked.masked >= 1
+    # the best of all changes of one or two strains
+    moved = {r.pos: r.g for r in search.genotype_step(sites, genotypes, frequencies, 2, penalty=1.25).collect()}
+    for pos in range(12):
+        def score(x):
+            one = g.copy()
+            one[:, pos] = x
+            return plain_likelihood(n[:, [pos]], one[:, [pos]], z, 1.25)
+        options = [[a, b] for a in range(4) for b in range(4)]
+        assert abs(score(moved[pos]) - max(map(score, options))) < 1e-5
+    held = search.genotype_step(sites, genotypes, frequencies, 2, held=1)
+    assert all(r.g[0] == g[0, r.pos] for r in held.collect())
+    # frequencies against a fine grid
+    fitted = {r.sample: r.z for r in search.frequency_step(sites, genotypes, 2).collect()}
+    for m in range(5):
+        grid = max((plain_likelihood(n[[m]], g, np.array([[x, 1 - x]])), x) for x in np.linspace(0, 1, 2001))
+        assert plain_likelihood(n[[m]], g, np.array([fitted[m]])) >= grid[0] - 1e-6
+
+
+def test_searches_merge_and_agree(spark, scratch):
+    from strainspark.operators import search
+
+    rng = np.random.default_rng(6)
+    rows, _, _ = planted(rng, 2, 6, 10)
+    sites = search.site_counts(spark.createDataFrame(rows, "sample long, pos long, allele string, n long"))
+    one, two = search.Search(sites, 2, Scratch(spark, "one")), search.Search(sites, 2, Scratch(spark, "two"))
+    for x, seed in ((one, "a"), (two, "b")):
+        x.shallow(4, 25, 1, seed=seed)
+    likely = sorted([one.history[one.best(1)[0]][-1], two.history[two.best(1)[0]][-1]], reverse=True)
+    kept = one.merge(two, 2)
+    assert [one.history[k][-1] for k in kept] == likely
+    d = search.estimate_distances(one.genotypes, one.frequencies)
+    row = d.collect()
+    assert len(row) == 1 and 0 <= row[0].genetic <= 1 and -1e-9 <= row[0].frequency <= 1
+    assert search.agree(d, 1.0, 1.0) and not search.agree(d.limit(0), 1.0, 1.0)
+    same = one.genotypes.filter(F.col("estimate") == kept[0])
+    twice, shares = same.union(same.withColumn("estimate", F.lit(99).cast("long"))), one.frequencies.filter(F.col("estimate") == kept[0])
+    zero = search.estimate_distances(twice, shares.union(shares.withColumn("estimate", F.lit(99).cast("long")))).first()
+    assert zero.genetic == 0 and abs(zero.frequency) < 1e-9
+    assert search.has_converged([1.0, 5.0, 5.0005], 1e-2, None, 2) and not search.has_converged([1.0, 5.0], 1.0, None, 2)
+    assert search.has_converged([0.0, 99.0, 100.0], None, 0.02, 2) and not search.has_converged([0.0, 50.0, 100.0], None, 0.02, 2)
+    fixed = spark.createDataFrame([(p, [2]) for p in range(10)], "pos long, g array<int>")
+    assert all(r.g[0] == 2 and len(r.g) == 3 for r in search.first_genotypes(sites, 2, 3, "s", fixed).collect())

@@ -21,35 +21,64 @@ from strainspark.scratch import Scratch
 BUCKET, TABLES = 2000, 12
 
 
-def _codes(planes: np.ndarray, kind: str):
+def _codes(planes: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
                 v = np.stack(batch["v"].to_numpy())
                 for t, own in enumerate(planes):
-                    code = ((v @ own.T) > 0) @ (1 << np.arange(len(own), dtype=np.int64)) if len(own) else np.zeros(len(v), np.int64)
-                    yield batch.assign(table=t, code=code)
+                    yield batch.assign(table=t, code=((v @ own.T) > 0) @ (1 << np.arange(len(own), dtype=np.int64)))
+
+    return run
 
-    return run, f"id {kind}, v array<double>, table int, code long"
 
+def _nearest(k: int, sides: bool = False):
+    """The k nearest of a bucket's vectors, of all others or, with ``sides``, of those that don't ask to those that do."""
 
-def _nearest(k: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
         ids, v = pdf["id"].to_numpy(), np.stack(pdf["v"].to_numpy())
         v = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
-        out = []
-        for low in range(0, len(v), 256):
-            sim = np.round(v[low : low + 256] @ v.T, 9)
-            here = np.arange(low, low + len(sim))
-            sim[here - low, here] = -np.inf
-            best = np.argsort(-sim, axis=1, kind="stable")[:, : min(k, len(v) - 1)]
-            out.append(pd.DataFrame({"q": np.repeat(ids[here], best.shape[1]), "id": ids[best.ravel()], "sim": np.take_along_axis(sim, best, 1).ravel()}))
+        asks = pdf["asks"].to_numpy(bool) if sides else np.ones(len(v), bool)
+        to = np.flatnonzero(~asks) if sides else np.arange(len(v))
+        out = [pd.DataFrame({"q": ids[:0], "id": ids[:0], "sim": np.empty(0)})]
+        wanted = min(k, len(to) - (not sides))
+        of = np.flatnonzero(asks)
+        for low in range(0, len(of) if wanted > 0 else 0, 256):
+            here = of[low : low + 256]
+            sim = np.round(v[here] @ v[to].T, 9)
+            if not sides:
+                sim[np.arange(len(here)), here] = -np.inf
+            best = np.argsort(-sim, axis=1, kind="stable")[:, :wanted]
+            out.append(pd.DataFrame({"q": np.repeat(ids[here], wanted), "id": ids[to][best.ravel()], "sim": np.take_along_axis(sim, best, 1).ravel()}))
         return pd.concat(out)
 
     return run
 
 
+def _in_buckets(vectors: DataFrame, n: int, scratch: Scratch, bucket: int, tables: int, seed: int) -> DataFrame:
+    """(id, v, ..., table, code, part) of (id, v, ...): each vector in its bucket of every table."""
+    bits = max(0, math.ceil(math.log2(n / bucket))) if n else 0
+    if not bits:
+        return vectors.withColumns({"table": F.lit(0), "code": F.lit(0).cast("long"), "part": F.lit(0).cast("long")})
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, len(vectors.first()["v"])))
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in vectors.dtypes)
+    coded = scratch.keep(vectors.mapInPandas(_codes(planes), f"{schema}, table int, code long"), "coded")
+    sizes = coded.groupBy("table", "code").agg(F.ceil(F.count("*") / (4 * bucket)).alias("parts"))
+    return coded.join(sizes, ["table", "code"]).withColumn("part", F.pmod(F.xxhash64("id", "table"), F.col("parts"))).drop("parts")
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """(q, id, sim, rank): the k nearest of those found in any bucket; a vector meets k partners a table at most, so what is gathered for it is bounded."""
+    met = F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("far"), F.col("id"))))
+    best = found.groupBy("q").agg(F.slice(met, 1, k).alias("best"))
+    return best.select("q", F.posexplode("best").alias("rank", "b")).select("q", "b.id", (-F.col("b.far")).alias("sim"), (F.col("rank") + 1).alias("rank"))
+
+
+def _usable(vectors: DataFrame) -> DataFrame:
+    return vectors.filter(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) > 0)
+
+
 def knn_graph(vectors: DataFrame, k: int, scratch: Scratch, bucket: int = BUCKET, tables: int = TABLES, seed: int = 1) -> DataFrame:
     """(q, id, sim, rank): the k most similar other vectors of every vector (id, v) by cosine; of equals the smaller id.
 
@@ -60,25 +89,17 @@ def knn_graph(vectors: DataFrame, k: int, scratch: Scratch, bucket: int = BUCKET
     bucket's size, and a pair is missed only if no table brings it together.  Null
     vectors and such without a direction have no neighbours.
     """
-    usable = vectors.filter(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) > 0).select("id", "v")
-    n = usable.count()
-    bits = max(0, math.ceil(math.log2(n / bucket))) if n else 0
-    size = len(usable.first()["v"]) if n else 0
-    planes = np.random.default_rng(seed).normal(size=(tables if bits else 1, bits, size))
-    run, schema = _codes(planes, dict(vectors.dtypes)["id"])
-    coded = usable.mapInPandas(run, schema)
-    if bits:
-        coded = scratch.keep(coded, "coded")
-        sizes = coded.groupBy("table", "code").agg(F.ceil(F.count("*") / (4 * bucket)).alias("parts"))
-        coded = coded.join(sizes, ["table", "code"]).withColumn("part", F.pmod(F.xxhash64("id", "table"), F.col("parts"))).drop("parts")
-    else:
-        coded = coded.withColumn("part", F.lit(0))
-    kind = dict(vectors.dtypes)["id"]
-    found = coded.groupBy("table", "code", "part").applyInPandas(lambda pdf: _nearest(k)(pdf), f"q {kind}, id {kind}, sim double")
-    # A vector meets k partners a table at most, so what is gathered for it is bounded.
-    met = F.array_sort(F.collect_set(F.struct((-F.col("sim")).alias("far"), F.col("id"))))
-    best = found.groupBy("q").agg(F.slice(met, 1, k).alias("best"))
-    return best.select("q", F.posexplode("best").alias("rank", "b")).select("q", "b.id", (-F.col("b.far")).alias("sim"), (F.col("rank") + 1).alias("rank"))
+    usable, kind = _usable(vectors.select("id", "v")), dict(vectors.dtypes)["id"]
+    placed = _in_buckets(usable, usable.count(), scratch, bucket, tables, seed)
+    return _best(placed.groupBy("table", "code", "part").applyInPandas(_nearest(k), f"q {kind}, id {kind}, sim double"), k)
+
+
+def cross_knn(left: DataFrame, right: DataFrame, k: int, scratch: Scratch, bucket: int = BUCKET, tables: int = TABLES, seed: int = 1) -> DataFrame:
+    """(q, id, sim, rank): the k most similar vectors of ``right`` of every vector of ``left``, both (id, v), as in ``knn_graph``."""
+    both = _usable(left.select("id", "v", F.lit(True).alias("asks")).unionByName(right.select("id", "v", F.lit(False).alias("asks"))))
+    kind = dict(left.dtypes)["id"]
+    placed = _in_buckets(both, both.count(), scratch, bucket, tables, seed)
+    return _best(placed.groupBy("table", "code", "part").applyInPandas(_nearest(k, True), f"q {kind}, id {kind}, sim double"), k)
 
 
 def neighbour_edges(neighbours: DataFrame, weights: str = "jaccard") -> DataFrame:

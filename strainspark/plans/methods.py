@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strainspark.operators import enrichment, graphs, ordering, search, selection, trees
-from strainspark.plans.common import r6, table
+from strainspark.operators import batches, enrichment, graphs, ordering, search, selection, trees
+from strainspark.plans.common import BRANDS, META, brands, metadata, r6, table
 from strainspark.plans.inference import CLOSED, EDGE, GENOTYPES, SITES, _edges, _genotypes, _interactions, _sites, _vectors
 from strainspark.scratch import Scratch
 
@@ -192,3 +192,26 @@ def strain_search(spark, d):
     found.shallow(8, 3, 2)
     found.deep(6)
     return found.table()
+
+
+# Batches and variability
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT sample, gene, value::DOUBLE AS value, cohort AS batch FROM ({BRANDS}) JOIN ({META}) USING (sample)), s AS (SELECT gene, batch, count(*) AS n, avg(value) AS m, var_pop(value) AS v FROM r GROUP BY 1, 2),
+c AS (SELECT *, sum(n * m) OVER w / sum(n) OVER w AS centre, sqrt(sum(n * v) OVER w / sum(n) OVER w) AS spread FROM s WINDOW w AS (PARTITION BY gene)),
+e AS (SELECT gene, batch, n, centre, spread, (m - centre) / spread AS g, CASE WHEN n > 1 THEN v * n / (n - 1) / spread ** 2 END AS d FROM c WHERE spread > 1e-9),
+p AS (SELECT batch, avg(g) AS gbar, var_samp(g) AS t2, (2 * var_samp(d) + avg(d) ** 2) / nullif(var_samp(d), 0) AS a, (avg(d) * var_samp(d) + avg(d) ** 3) / nullif(var_samp(d), 0) AS b FROM e WHERE n > 1 GROUP BY 1),
+t AS (SELECT gene, batch, n, centre, spread, g, d, gbar, t2, a, b, g AS gs, d AS ds, 0 AS k FROM e JOIN p USING (batch) WHERE n > 1 AND t2 > 0 UNION ALL
+SELECT gene, batch, n, centre, spread, g, d, gbar, t2, a, b, gn, (0.5 * ((n - 1) * d + n * (g - gn) ** 2) + b) / (n / 2 + a - 1), k + 1 FROM (SELECT *, (t2 * n * g + ds * gbar) / (t2 * n + ds) AS gn FROM t WHERE k < 60))
+SELECT sample, r.gene, round(coalesce(((value - centre) / spread - gs) / sqrt(ds) * spread + centre, value), 5) AS value FROM r LEFT JOIN (SELECT * FROM t WHERE k = 60) t ON t.gene = r.gene AND t.batch = r.batch""")
+def combat_adjusted(spark, d):
+    """Brands' counts without the cohorts' shrunken location and scale."""
+    adjusted = batches.combat_adjusted(brands(spark, d), metadata(spark, d).select("sample", F.col("cohort").alias("batch")))
+    return adjusted.select("sample", "gene", F.round("value", 5).alias("value"))
+
+
+@query()
+def neighbour_corrected(spark, d):
+    """Vectors of labels 0 to 2, as batches, each moved onto those before it by mutual nearest neighbours; tests compare with numpy."""
+    v = _vectors(spark, d).select("id", F.col("label").alias("batch"), "v")
+    return batches.neighbour_corrected(v, [0, 1, 2], Scratch(spark, "batches"), k=10).select("id", "batch", F.transform("v", lambda x: F.round(x, 6)).alias("v"))

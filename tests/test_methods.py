@@ -384,3 +384,72 @@ def test_searches_merge_and_agree(spark, scratch):
     assert search.has_converged([0.0, 99.0, 100.0], None, 0.02, 2) and not search.has_converged([0.0, 50.0, 100.0], None, 0.02, 2)
     fixed = spark.createDataFrame([(p, [2]) for p in range(10)], "pos long, g array<int>")
     assert all(r.g[0] == 2 and len(r.g) == 3 for r in search.first_genotypes(sites, 2, 3, "s", fixed).collect())
+
+
+# batches
+
+
+def test_neighbours_between_two_sides(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(90, 6))
+    rows = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(v)], "id long, v array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sim = unit[:30] @ unit[30:].T
+    wanted = {(q, 30 + int(x)) for q in range(30) for x in np.argsort(-sim[q])[:4]}
+    got = {(r.q, r.id) for r in graphs.cross_knn(rows.filter("id < 30"), rows.filter("id >= 30"), 4, Scratch(spark, "cross")).collect()}
+    assert got == wanted
+    assert graphs.cross_knn(rows.limit(0), rows, 4, Scratch(spark, "none")).count() == 0
+
+
+def test_mutual_neighbours_move_a_batch_onto_another(spark, scratch):
+    from strainspark.operators import batches
+
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(3, 8)) * 3
+    one = centres[rng.integers(0, 3, 60)] + 0.2 * rng.normal(size=(60, 8))
+    two = centres[rng.integers(0, 3, 50)] + 0.2 * rng.normal(size=(50, 8)) + np.array([0.8] * 8)
+    rows = spark.createDataFrame([(k, "a", x.tolist()) for k, x in enumerate(one)] + [(100 + k, "b", x.tolist()) for k, x in enumerate(two)] + [(900, "c", [1.0] * 8), (901, None, [2.0] * 8)], "id long, batch string, v array<double>")
+    got = {r.id: np.array(r.v) for r in batches.neighbour_corrected(rows, ["a", "b"], scratch, k=5, smooth=10).collect()}
+    assert len(got) == 112 and all(np.allclose(got[k], one[k]) for k in range(60)) and np.allclose(got[900], 1) and np.allclose(got[901], 2)
+
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    sim = np.round(unit(one) @ unit(two).T, 9)
+    there, back = np.argsort(-sim, axis=1, kind="stable")[:, :5], np.argsort(-sim.T, axis=1, kind="stable")[:, :5]
+    pairs = [(a, b) for a in range(60) for b in there[a] if a in back[b]]
+    moves = {b: np.mean([one[a] - two[b] for a, c in pairs if c == b], axis=0) for b in {b for _, b in pairs}}
+    known = sorted(moves)
+    for b in range(50):
+        s = np.round(unit(two[b]) @ unit(two[known]).T, 9)
+        near = [known[k] for k in np.argsort(-s, kind="stable")[:10]]
+        far = ((unit(two[near]) - unit(two[b])) ** 2).sum(axis=1)
+        w = np.exp(-(far - far.min()) / 0.1)
+        assert np.allclose(got[100 + b], two[b] + (w[:, None] * np.array([moves[x] for x in near])).sum(axis=0) / w.sum())
+    apart = lambda x: np.linalg.norm(x - one[:, None], axis=2).min(axis=0).mean()
+    assert apart(np.array([got[100 + b] for b in range(50)])[None]) < 0.6 * apart(two[None])
+
+
+def test_shrunken_batches_against_a_direct_fit(spark):
+    from strainspark.operators import batches
+
+    rng = np.random.default_rng(2)
+    batch = np.array(["x"] * 7 + ["y"] * 9 + ["z"])
+    value = rng.normal(size=(17, 12)) * rng.uniform(0.5, 2, 12) + 3 + (batch == "y")[:, None] * rng.normal(1, 0.3, 12)
+    matrix = spark.createDataFrame([(s, g, float(value[s, g])) for s in range(17) for g in range(12)] + [(s, 99, 4.0) for s in range(17)], "sample long, gene long, value double")
+    got = {(r.sample, r.gene): r.value for r in batches.combat_adjusted(matrix, spark.createDataFrame([(k, b) for k, b in enumerate(batch)], "sample long, batch string")).collect()}
+    centre = value.mean(axis=0)
+    residual = value - np.array([value[batch == b].mean(axis=0) for b in batch])
+    spread = np.sqrt((residual**2).mean(axis=0))
+    z = (value - centre) / spread
+    for b in ("x", "y"):
+        rows = z[batch == b]
+        g, d, n = rows.mean(axis=0), rows.var(axis=0, ddof=1), len(rows)
+        gbar, t2, m, s2 = g.mean(), g.var(ddof=1), d.mean(), d.var(ddof=1)
+        a, c = (2 * s2 + m * m) / s2, (m * s2 + m**3) / s2
+        gs, ds = g, d
+        for _ in range(500):
+            gs = (t2 * n * g + ds * gbar) / (t2 * n + ds)
+            ds = (0.5 * ((rows - gs) ** 2).sum(axis=0) + c) / (n / 2 + a - 1)
+        wanted = (rows - gs) / np.sqrt(ds) * spread + centre
+        for k, s in enumerate(np.flatnonzero(batch == b)):
+            assert np.allclose([got[(s, x)] for x in range(12)], wanted[k], atol=1e-6)
+    assert all(got[(16, g)] == value[16, g] for g in range(12)) and all(got[(s, 99)] == 4.0 for s in range(17))

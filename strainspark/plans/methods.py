@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strainspark.operators import batches, enrichment, graphs, ordering, search, selection, trees
-from strainspark.plans.common import BRANDS, META, brands, metadata, r6, table
+from strainspark.operators import batches, enrichment, graphs, ordering, search, selection, trees, variable
+from strainspark.plans.common import BRANDS, META, brands, counts, metadata, r6, table
 from strainspark.plans.inference import CLOSED, EDGE, GENOTYPES, SITES, _edges, _genotypes, _interactions, _sites, _vectors
 from strainspark.scratch import Scratch
 
@@ -215,3 +215,11 @@ def neighbour_corrected(spark, d):
     """Vectors of labels 0 to 2, as batches, each moved onto those before it by mutual nearest neighbours; tests compare with numpy."""
     v = _vectors(spark, d).select("id", F.col("label").alias("batch"), "v")
     return batches.neighbour_corrected(v, [0, 1, 2], Scratch(spark, "batches"), k=10).select("id", "batch", F.transform("v", lambda x: F.round(x, 6)).alias("v"))
+
+
+@query()
+def variable_genes_loess(spark, d):
+    """Parts whose variability over suppliers stands out from the local regression on their mean; tests compare with direct local fits."""
+    m = counts(spark, d).groupBy("gene").agg(F.avg("value").cast("double").alias("mean"), F.var_samp("value").cast("double").alias("variance"))
+    found = variable.variable_genes(m, Scratch(spark, "variable"), 200)
+    return found.select("gene", "bin", r6("residual", "residual"), "rank")

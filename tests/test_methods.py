@@ -453,3 +453,57 @@ def test_shrunken_batches_against_a_direct_fit(spark):
         for k, s in enumerate(np.flatnonzero(batch == b)):
             assert np.allclose([got[(s, x)] for x in range(12)], wanted[k], atol=1e-6)
     assert all(got[(16, g)] == value[16, g] for g in range(12)) and all(got[(s, 99)] == 4.0 for s in range(17))
+
+
+# variable genes
+
+
+def direct_local(x, y, span=0.75, turns=4):
+    """The robust local quadratic at every point itself."""
+    n, robust = len(x), np.ones(len(x))
+    q = int(n * span + 1e-9)
+    for turn in range(turns):
+        fitted = np.empty(n)
+        for k in range(n):
+            far = np.abs(x - x[k])
+            h = np.sort(far)[q - 1]
+            w = np.where(far < h, (1 - (far / h) ** 3) ** 3, 0) * robust
+            a = np.stack([np.ones(n), x - x[k], (x - x[k]) ** 2], axis=1)
+            fitted[k] = np.linalg.lstsq(a * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0][0]
+        r = np.abs(y - fitted)
+        robust = np.clip(1 - (r / (6 * np.median(r))) ** 2, 0, None) ** 2
+    return fitted
+
+
+def test_local_regression_is_that_of_direct_fits(spark, scratch):
+    from strainspark.operators import variable
+
+    rng = np.random.default_rng(1)
+    x = np.sort(rng.gamma(2, 1.5, 300))
+    y = np.sin(x / 2) - 0.2 * x + 0.1 * rng.normal(size=300)
+    y[::40] += 3  # outliers
+    rows = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(x, y, strict=True))] + [(900, None, 1.0), (901, 1.0, float("nan"))], "gene long, x double, y double")
+    got = {r.gene: (r.fitted, r.residual) for r in variable.local_residuals(rows, scratch).collect()}
+    wanted = direct_local(x, y)
+    assert sorted(got) == list(range(300))
+    apart = np.array([abs(got[k][0] - wanted[k]) for k in range(300)])
+    assert apart.max() < 0.02 and apart.mean() < 5e-4  # the curve is a cubic between its points
+    assert all(abs(got[k][0] + got[k][1] - y[k]) < 1e-9 for k in range(300))
+    assert variable.local_residuals(rows.limit(0), Scratch(spark, "none")).count() == 0
+
+
+def test_variable_genes_come_from_every_bin(spark, scratch):
+    from strainspark.operators import variable
+
+    rng = np.random.default_rng(5)
+    mean = np.repeat(rng.gamma(2, 5, 200), 2)  # each mean twice
+    variance = mean * rng.uniform(0.5, 2, 400)
+    rows = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(mean, variance, strict=True))] + [(900, 0.0, 1.0), (901, 2.0, 0.0)], "gene long, mean double, variance double")
+    got = variable.variable_genes(rows, scratch, 40, 10).toPandas()
+    around = {r.gene: r for r in variable.local_residuals(rows.filter("mean > 0 AND variance > 0").selectExpr("gene", "ln(mean) AS x", "ln(sqrt(variance) / mean) AS y"), Scratch(spark, "again")).collect()}
+    first = {}
+    for k in range(400):
+        first[around[k].x] = min(first.get(around[k].x, 999), around[k].place)
+    bins = {k: (first[around[k].x] - 1) * 10 // 400 + 1 for k in range(400)}
+    wanted = {k for b in range(1, 11) for k in sorted((x for x in bins if bins[x] == b), key=lambda x: (-around[x].residual, x))[:4]}
+    assert set(got["gene"]) == wanted and len(got) == 40 and all(bins[g] == b for g, b in zip(got["gene"], got["bin"], strict=True))

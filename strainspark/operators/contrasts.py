@@ -37,11 +37,18 @@ def hurdle_tests(matrix: DataFrame, classes: DataFrame, case: str) -> DataFrame:
 
 
 def average_precision(rows: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
-    """(by, n1, ap): area under the precision-recall curve as steps at the distinct scores from the highest down; null without class 1."""
+    """(by, n1, ap, area): area under the precision-recall curve, at the distinct scores from the highest down; null without class 1.
+
+    ap takes steps, each threshold's precision for the recall it adds; area takes
+    trapezoids from a first point of recall and precision 0, rounded to three places.
+    """
     at = rows.groupBy(*by, F.col(score).alias("cutoff")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.count("*").alias("n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("cutoff")).rowsBetween(Window.unboundedPreceding, 0)
-    x = at.withColumns({"tp": F.sum("p").over(down), "seen": F.sum("n").over(down)})
-    return x.groupBy(*by).agg(F.sum("p").alias("n1"), F.sum(F.col("p") * ratio(F.col("tp"), F.col("seen"))).alias("s")).select(*by, "n1", ratio(F.col("s"), F.col("n1")).alias("ap"))
+    order = Window.partitionBy(*by).orderBy(F.desc("cutoff"))
+    down = order.rowsBetween(Window.unboundedPreceding, 0)
+    x = at.withColumns({"tp": F.sum("p").over(down), "seen": F.sum("n").over(down)}).withColumn("precision", ratio(F.col("tp"), F.col("seen")))
+    x = x.withColumn("before", F.coalesce(F.lag("precision").over(order), F.lit(0.0)))
+    sums = x.groupBy(*by).agg(F.sum("p").alias("n1"), F.sum(F.col("p") * F.col("precision")).alias("s"), F.sum(F.col("p") * (F.col("precision") + F.col("before")) / 2).alias("t"))
+    return sums.select(*by, "n1", ratio(F.col("s"), F.col("n1")).alias("ap"), F.round(ratio(F.col("t"), F.col("n1")), 3).alias("area"))
 
 
 def batch_adjusted(matrix: DataFrame, batches: DataFrame) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strainspark.functions.numeric import ratio
 from strainspark.operators.curation import draw
 from strainspark.operators.ranking import first_of
 from strainspark.operators.relations import combinations
@@ -68,16 +67,3 @@ def predicted_genes(found: DataFrame, core: DataFrame, least_n: int = 100, most_
     enough = found.filter(F.col("n") >= least_n)
     cut = enough.join(core.distinct(), "gene", "left_semi").agg((F.avg("rho") - deviations * F.stddev_samp("rho")).alias("cut"))
     return enough.crossJoin(F.broadcast(cut)).filter((F.col("rho") > F.col("cut")) & (F.col("pval") < most_p)).select("gene", "rho").distinct()
-
-
-def class_odds(counts: DataFrame, case: str, rest: str) -> DataFrame:
-    """(node, odds, log_odds): odds of ``case`` against ``rest`` inside a clade over those outside it, with a half added to each cell.
-
-    ``counts``: (node, class, n) of the samples inside; totals are those of the node named root.
-    """
-    total = counts.filter("node = 'root'").groupBy().agg(F.sum(F.when(F.col("class") == case, F.col("n"))).alias("tc"), F.sum(F.when(F.col("class") == rest, F.col("n"))).alias("tr"))
-    inside = counts.groupBy("node").agg(F.coalesce(F.sum(F.when(F.col("class") == case, F.col("n"))), F.lit(0)).alias("a"), F.coalesce(F.sum(F.when(F.col("class") == rest, F.col("n"))), F.lit(0)).alias("b"))
-    x = inside.crossJoin(F.broadcast(total))
-    half = F.lit(0.5)
-    odds = ratio((F.col("a") + half) * (F.col("tr") - F.col("b") + half), (F.col("b") + half) * (F.col("tc") - F.col("a") + half))
-    return x.select("node", odds.alias("odds"), F.log(odds).alias("log_odds"))

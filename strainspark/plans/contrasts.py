@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strainspark.operators import contrasts, panels, ranking, statistics
+from strainspark.operators import contrasts, matrix, ordering, panels, ranking, statistics
 from strainspark.plans.common import BRANDS, COUNTS, META, PILE, brands, counts, metadata, pileup, r6, table
 from strainspark.plans.inference import SCORED, SQL as INFERENCE, scored, tables
+from strainspark.scratch import Scratch
 
 Q, SQL = {}, {}
 
@@ -41,10 +42,11 @@ def hurdle_tests(spark, d):
     return contrasts.hurdle_tests(counts(spark, d), _classes(spark, d), "IBD").select("gene", "k1", "k0", r6("detected", "detected"), r6("level", "level"), r6("pval", "pval"))
 
 
-@query(f"""WITH a AS (SELECT gene, score, sum(y) AS p, count(*) AS n FROM ({SCORED}) GROUP BY 1, 2), x AS (SELECT gene, p, sum(p) OVER w AS tp, sum(n) OVER w AS seen FROM a WINDOW w AS (PARTITION BY gene ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
-SELECT gene, sum(p)::BIGINT AS n1, round(sum(p * tp::DOUBLE / seen) / sum(p), 6) AS ap FROM x GROUP BY 1""")
+@query(f"""WITH a AS (SELECT gene, score, sum(y) AS p, count(*) AS n FROM ({SCORED}) GROUP BY 1, 2), x AS (SELECT gene, score, p, (sum(p) OVER w)::DOUBLE / sum(n) OVER w AS pr FROM a WINDOW w AS (PARTITION BY gene ORDER BY score DESC ROWS UNBOUNDED PRECEDING)), y AS (SELECT *, coalesce(lag(pr) OVER (PARTITION BY gene ORDER BY score DESC), 0) AS before FROM x)
+SELECT gene, sum(p)::BIGINT AS n1, round(sum(p * pr) / sum(p), 6) AS ap, round(sum(p * (pr + before) / 2) / sum(p), 3) AS area FROM y GROUP BY 1""")
 def average_precision(spark, d):
-    return contrasts.average_precision(scored(spark, d), "score", "y", ["gene"]).select("gene", "n1", r6("ap", "ap"))
+    """Area under the precision-recall curve by steps and by trapezoids."""
+    return contrasts.average_precision(scored(spark, d), "score", "y", ["gene"]).select("gene", "n1", r6("ap", "ap"), "area")
 
 
 @query(f"""WITH r AS (SELECT sample, gene, value::DOUBLE AS value, cohort FROM ({BRANDS}) JOIN ({META}) USING (sample)), s AS (SELECT gene, cohort, count(*) AS n, avg(value) AS mean, var_pop(value) AS v FROM r GROUP BY 1, 2),
@@ -99,8 +101,9 @@ h AS (SELECT *, max(e) FILTER (WHERE s = a) OVER (PARTITION BY gene) AS here, su
 SELECT gene, round(pval, 6) AS pval, round(padj, 6) AS padj FROM {_adjusted()}""")
 def fisher_pvalues(spark, d):
     """Exact two-sided p-values of genes' presence by class, and adjusted."""
-    rows = statistics.with_fisher(tables(spark, d)).select("gene", F.round("pval", 9).alias("pval"), F.lit("genes").alias("all"))
-    return ranking.bh_adjusted(rows, "pval", ["all"]).select("gene", r6("pval", "pval"), r6("padj", "padj"))
+    scratch = Scratch(spark, "fisher")
+    rows = scratch.keep(statistics.with_fisher(tables(spark, d)).select("gene", F.round("pval", 9).alias("pval")), "tests")
+    return ordering.adjusted_over_all(rows, "pval", scratch).select("gene", r6("pval", "pval"), r6("padj", "padj"))
 
 
 @query(f"""WITH u AS ({INFERENCE['wilcoxon_u']}), x AS (SELECT gene, abs(z) / sqrt(2) AS x FROM u), e AS (SELECT gene, 2 / sqrt(pi()) * sum(exp(2 * k * ln(2) + (2 * k + 1) * ln(greatest(x, 1e-200)) - x * x - lgamma(2 * k + 2) + lgamma(k + 1))) AS erf FROM x, range(0, 200) r(k) GROUP BY 1),
@@ -108,8 +111,9 @@ p AS (SELECT u.*, round(greatest(0, 1 - erf), 9) AS pval FROM u JOIN e USING (ge
 def wilcoxon_pvalues(spark, d):
     """Rank-sum tests with normal p-values of the score at six places, adjusted over genes."""
     z = statistics.wilcoxon(scored(spark, d), "score", "y", ["gene"]).withColumn("z", F.round("z", 6))
-    rows = statistics.with_normal_p(z).withColumn("pval", F.round("pval", 9)).withColumn("all", F.lit("genes"))
-    return ranking.bh_adjusted(rows, "pval", ["all"]).select("gene", "n1", "n0", r6("u", "u"), r6("pval", "pval"), r6("padj", "padj"))
+    scratch = Scratch(spark, "wilcoxon")
+    rows = scratch.keep(statistics.with_normal_p(z).withColumn("pval", F.round("pval", 9)), "tests")
+    return ordering.adjusted_over_all(rows, "pval", scratch).select("gene", "n1", "n0", r6("u", "u"), r6("pval", "pval"), r6("padj", "padj"))
 
 
 @query(f"""WITH r AS (SELECT g1, g2, n, rho, n - 2 AS v, 1 - rho * rho AS c FROM ({INFERENCE['spearman_pairs']}) WHERE rho IS NOT NULL),
@@ -121,3 +125,17 @@ def correlation_pvalues(spark, d):
     rho = panels.rank_correlations(brands(spark, d)).filter("rho IS NOT NULL").withColumn("rho", F.round("rho", 6))
     rows = statistics.with_correlation_p(rho).withColumn("pval", F.round("pval", 9))
     return ranking.bh_adjusted(rows, "pval", ["g1"]).select("g1", "g2", "n", "rho", r6("pval", "pval"), r6("padj", "padj"))
+
+
+@query(f"""WITH r AS (SELECT gene, n, rho, n - 2 AS v, 1 - rho * rho AS c FROM ({INFERENCE['masked_spearman']}) WHERE rho IS NOT NULL),
+s AS (SELECT gene, sum(CASE WHEN v % 2 = 0 THEN exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) ELSE exp(lgamma(j + 1) - lgamma(j + 1.5) + lgamma(1.5)) END * CASE WHEN j = 0 THEN 1 ELSE c ** j END) AS s FROM r JOIN range(0, 2000) k(j) ON j < CASE WHEN v % 2 = 0 THEN v // 2 ELSE (v - 1) // 2 END GROUP BY 1),
+p AS (SELECT gene, n, rho, greatest(0, 1 - CASE WHEN v % 2 = 0 THEN abs(rho) * s ELSE 2 / pi() * (asin(abs(rho)) + abs(rho) * sqrt(c) * coalesce(s, 0)) END) AS pval FROM r LEFT JOIN s USING (gene)),
+e AS (SELECT * FROM p WHERE n >= 100), t AS (SELECT avg(rho) - 1.5 * stddev_samp(rho) AS cut FROM e WHERE gene < 'Brand#2')
+SELECT gene, round(rho, 6) AS rho FROM e, t WHERE rho > cut AND pval < 0.005""")
+def predicted_genes(spark, d):
+    """Brands whose masked rank correlation with one brand is about as high as the core brands', and significant."""
+    dense = matrix.densified(brands(spark, d))
+    target = dense.filter("gene = 'Brand#11'").select("sample", F.col("value").alias("target"))
+    rho = statistics.masked_spearman(dense, target).filter("rho IS NOT NULL").withColumn("rho", F.round("rho", 6))
+    found = statistics.with_correlation_p(rho)
+    return panels.predicted_genes(found, found.filter("gene < 'Brand#2'").select("gene")).select("gene", r6("rho", "rho"))

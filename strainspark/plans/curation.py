@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strainspark.operators import annotation, curation, mixed, panels
 from strainspark.operators.curation import RANKS
-from strainspark.plans.common import BRANDS, META, brands, metadata, r6, table
+from strainspark.plans.common import COUNTS, BRANDS, META, brands, metadata, r6, table
 
 Q, SQL = {}, {}
 
@@ -268,11 +268,26 @@ def best_estimates(spark, d):
     return curation.best_estimates(e, 5)
 
 
-@query("SELECT CASE WHEN bool_and(value = floor(value)) AND max(value) > 50 THEN 'counts' END AS base FROM (SELECT sum(l_quantity) AS value FROM lineitem GROUP BY l_suppkey, l_partkey)")
+#: Matrices of the same counts as they are, as shares of 10,000, as logarithms of these with one added, and without a scale.
+SCALES = {"counts": "value", "tpm": "1e4 * value / t", "2": "log2(1 + 1e4 * value / t)", "e": "ln(1 + 1e4 * value / t)", "10": "ln(1 + 1e4 * value / t) / ln(10)", "none": "value / 7.3"}
+
+
+@query(f"""WITH c AS (SELECT sample, gene, value::DOUBLE AS value, sum(value) OVER (PARTITION BY sample)::DOUBLE AS t FROM ({COUNTS})), m AS ({" UNION ALL ".join(f"SELECT '{k}' AS matrix, sample, gene, {x} AS value FROM c" for k, x in SCALES.items())}),
+s AS (SELECT matrix, sample, sum(value) AS s1, sum(2 ** value - 1) AS s2, sum(exp(least(value, 700)) - 1) AS s3, sum(10 ** least(value, 300) - 1) AS s4, max(value) AS most, bool_and(value = floor(value)) AS whole FROM m GROUP BY 1, 2)
+SELECT matrix, CASE WHEN bool_and(whole) AND max(most) > 50 THEN 'counts' WHEN bool_or(abs(s1 / 1e4 - 1) < 0.01 OR abs(s1 / 1e6 - 1) < 0.01) THEN 'tpm' WHEN bool_or(abs(s2 / 1e4 - 1) < 0.01 OR abs(s2 / 1e6 - 1) < 0.01) THEN '2'
+WHEN bool_or(abs(s3 / 1e4 - 1) < 0.01 OR abs(s3 / 1e6 - 1) < 0.01) THEN 'e' WHEN bool_or(abs(s4 / 1e4 - 1) < 0.01 OR abs(s4 / 1e6 - 1) < 0.01) THEN '10' END AS base FROM s GROUP BY 1""")
 def log_base(spark, d):
+    """The scale of each of six matrices of the same counts."""
+    from pyspark.sql import Window
+
     from strainspark.plans.common import counts
 
-    return curation.log_base(counts(spark, d))
+    c = counts(spark, d).withColumn("value", F.col("value").cast("double")).withColumn("t", F.sum("value").over(Window.partitionBy("sample")))
+    found = [curation.log_base(c.select("sample", "gene", F.expr(x).alias("value"))).select(F.lit(k).alias("matrix"), "base") for k, x in SCALES.items()]
+    out = found[0]
+    for x in found[1:]:
+        out = out.union(x)
+    return out
 
 
 @query("SELECT c_mktsegment, round(median(c_acctbal), 6) AS x, round(median(c_custkey), 6) AS y FROM customer GROUP BY 1")
@@ -428,28 +443,6 @@ def random_panels(spark, d):
     return panels.random_panels(_choices(spark, d))
 
 
-@query("""WITH f AS (SELECT p_brand AS gene, count(*) * 3 AS n, corr(p_size, p_retailprice) AS rho FROM part GROUP BY 1), e AS (SELECT *, 0.001 + rho * rho / 100 AS pval FROM f WHERE n >= 100), t AS (SELECT avg(rho) - 1.5 * stddev_samp(rho) AS cut FROM e WHERE gene < 'Brand#2')
-SELECT gene, round(rho, 6) AS rho FROM e, t WHERE rho > cut AND pval < 0.005""")
-def predicted_genes(spark, d):
-    """Genes that correlate about as well as the core genes."""
-    f = table(spark, d, "part").groupBy(F.col("p_brand").alias("gene")).agg((F.count("*") * 3).alias("n"), F.corr(F.col("p_size").cast("double"), "p_retailprice").alias("rho"))
-    found = f.withColumn("pval", 0.001 + F.col("rho") * F.col("rho") / 100)
-    return panels.predicted_genes(found, f.filter("gene < 'Brand#2'").select("gene")).select("gene", r6("rho", "rho"))
-
-
-NODES = "SELECT r_name AS node, CASE WHEN c_acctbal > 4000 THEN 'IBD' ELSE 'HC' END AS class, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2"
-
-
-@query(f"""WITH c AS ({NODES}), t AS (SELECT sum(n) FILTER (WHERE class = 'IBD') AS tc, sum(n) FILTER (WHERE class = 'HC') AS tr FROM c), i AS (SELECT node, coalesce(sum(n) FILTER (WHERE class = 'IBD'), 0) AS a, coalesce(sum(n) FILTER (WHERE class = 'HC'), 0) AS b FROM c GROUP BY 1 UNION ALL SELECT 'root', tc, tr FROM t)
-SELECT node, round((a + 0.5) * (tr - b + 0.5) / ((b + 0.5) * (tc - a + 0.5)), 6) AS odds FROM i, t""")
-def class_odds(spark, d):
-    x = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    dx = F.when(F.col("c_acctbal") > 4000, "IBD").otherwise("HC").alias("class")
-    c = x.groupBy(F.col("r_name").alias("node"), dx).agg(F.count("*").alias("n"))
-    whole = x.groupBy(F.lit("root").alias("node"), dx).agg(F.count("*").alias("n"))
-    return panels.class_odds(c.union(whole), "IBD", "HC").select("node", r6("odds", "odds"))
-
-
 # Mixed models; tests check the fits
 
 def _with_covariates(spark, d):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strainspark.operators import batches, enrichment, graphs, ordering, search, selection, trees, variable
+from strainspark.operators import batches, components, enrichment, graphs, ordering, search, selection, trees, variable
 from strainspark.plans.common import BRANDS, META, brands, counts, metadata, r6, table
 from strainspark.plans.inference import CLOSED, EDGE, GENOTYPES, SITES, _edges, _genotypes, _interactions, _sites, _vectors
 from strainspark.scratch import Scratch
@@ -129,6 +129,13 @@ def clade_odds(spark, d):
     return selection.clade_odds(counts).filter("odds > 0 AND odds < double('infinity')").select("node", "x", "y", r6("odds", "odds"))
 
 
+@query(f"WITH RECURSIVE {CLOSED}, {CLADES}, {ODDS} SELECT node, round(effect, 6) AS abs_log_odds FROM ef")
+def class_odds(spark, d):
+    """The largest logarithm of a class pair's odds in every region and nation."""
+    effects = selection.largest_log_odds(selection.clade_odds(_clades(spark, d, Scratch(spark, "clades"))[2]))
+    return effects.select("node", r6("effect", "abs_log_odds"))
+
+
 @query(f"""WITH RECURSIVE {CLOSED}, {CLADES}, {ODDS},
 ct AS (SELECT node, max(CASE class WHEN 'CD' THEN inside END) AS i1, max(CASE class WHEN 'HC' THEN inside END) AS i2, max(CASE class WHEN 'UC' THEN inside END) AS i3, max(CASE class WHEN 'CD' THEN inside + outside END) AS t1, max(CASE class WHEN 'HC' THEN inside + outside END) AS t2, max(CASE class WHEN 'UC' THEN inside + outside END) AS t3 FROM cc GROUP BY 1),
 ps AS (SELECT node AS outer_node, NULL::VARCHAR AS inner_node, i1 AS x1, i2 AS x2, i3 AS x3, t1 AS c1, t2 AS c2, t3 AS c3 FROM ct UNION ALL
@@ -223,3 +230,10 @@ def variable_genes_loess(spark, d):
     m = counts(spark, d).groupBy("gene").agg(F.avg("value").cast("double").alias("mean"), F.var_samp("value").cast("double").alias("variance"))
     found = variable.variable_genes(m, Scratch(spark, "variable"), 200)
     return found.select("gene", "bin", r6("residual", "residual"), "rank")
+
+
+@query()
+def random_pca(spark, d):
+    """Scores of suppliers on five components of their brands, by a random range finder; tests compare with a full decomposition."""
+    scores, _, _ = components.random_pca(brands(spark, d), 5, Scratch(spark, "pca"), passes=12)
+    return scores.select("sample", F.transform("y", lambda x: F.round(x, 3)).alias("y"))

@@ -507,3 +507,45 @@ def test_variable_genes_come_from_every_bin(spark, scratch):
     bins = {k: (first[around[k].x] - 1) * 10 // 400 + 1 for k in range(400)}
     wanted = {k for b in range(1, 11) for k in sorted((x for x in bins if bins[x] == b), key=lambda x: (-around[x].residual, x))[:4]}
     assert set(got["gene"]) == wanted and len(got) == 40 and all(bins[g] == b for g, b in zip(got["gene"], got["bin"], strict=True))
+
+
+# components
+
+
+def standardised(x):
+    return (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+
+
+def sparse_rows(spark, x):
+    return spark.createDataFrame([(f"s{i}", j, float(x[i, j])) for i in range(x.shape[0]) for j in range(x.shape[1]) if x[i, j]], "sample string, gene long, value double")
+
+
+def test_random_components_are_those_of_the_svd(spark, scratch):
+    from strainspark.operators import components
+
+    rng = np.random.default_rng(1)
+    x = np.round(np.maximum(rng.normal(size=(80, 4)) @ (rng.normal(size=(4, 30)) * np.array([8, 5, 3, 2])[:, None]) + rng.normal(size=(80, 30)), 0), 3)
+    constant = spark.createDataFrame([(f"s{i}", 99, 2.0) for i in range(80)] + [("s0", 98, None)], "sample string, gene long, value double")
+    scores, loadings, values = components.random_pca(sparse_rows(spark, x).union(constant), 4, scratch, passes=8)
+    z = standardised(x)
+    u, s, vt = np.linalg.svd(z, full_matrices=False)
+    assert np.allclose(values, s[:4], rtol=1e-6)
+    v = np.array([r.v for r in loadings.orderBy("gene").collect()])
+    assert v.shape == (30, 4) and np.allclose(np.abs((v * vt[:4].T).sum(axis=0)), 1, atol=1e-5)
+    assert all(v[np.abs(v[:, k]).argmax(), k] > 0 for k in range(4))
+    got = {r.sample: r.y for r in scores.collect()}
+    assert np.allclose([got[f"s{i}"] for i in range(80)], z @ v, atol=1e-8)
+    stats = spark.createDataFrame([(j, float(x[:, j].mean()), float(x[:, j].std(ddof=1))) for j in range(30)], "gene long, mean double, sd double")
+    again = {r.sample: r.y for r in components.projected(sparse_rows(spark, x[:7]), stats, loadings).collect()}
+    assert np.allclose([again[f"s{i}"] for i in range(7)], (z @ v)[:7], atol=1e-8)
+
+
+def test_number_of_planted_components(spark, scratch):
+    from strainspark.operators import components
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(100, 2)) @ (3 * rng.normal(size=(2, 20))) + rng.normal(size=(100, 20)) + 20
+    number, p = components.significant_components(sparse_rows(spark, x), 6, scratch, permutations=15)
+    assert number == 2 and p == sorted(p) and p[0] == 0 and p[-1] == 1
+    none, _ = components.significant_components(sparse_rows(spark, rng.normal(size=(100, 20)) + 20), 6, Scratch(spark, "noise"), permutations=15)
+    assert none <= 1

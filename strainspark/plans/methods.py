@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strainspark.operators import batches, components, enrichment, graphs, ordering, search, selection, trees, variable
+from strainspark.operators import batches, components, enrichment, graphs, networks, ordering, search, selection, trees, variable
 from strainspark.plans.common import BRANDS, META, brands, counts, metadata, r6, table
 from strainspark.plans.inference import CLOSED, EDGE, GENOTYPES, SITES, _edges, _genotypes, _interactions, _sites, _vectors
 from strainspark.scratch import Scratch
@@ -237,3 +237,22 @@ def random_pca(spark, d):
     """Scores of suppliers on five components of their brands, by a random range finder; tests compare with a full decomposition."""
     scores, _, _ = components.random_pca(brands(spark, d), 5, Scratch(spark, "pca"), passes=12)
     return scores.select("sample", F.transform("y", lambda x: F.round(x, 3)).alias("y"))
+
+
+# Networks
+
+
+@query()
+def network_pvalues(spark, d):
+    """Brands' interactions against 20 degree-keeping shuffles; tests compare with the exact null of a small network."""
+    found = networks.network_pvalues(_interactions(spark, d), Scratch(spark, "network"), 20, turns=8)
+    return found.select("a", "b", "weight", r6("pval", "pval"))
+
+
+@query()
+def merged_clusters(spark, d):
+    """Labels of the vectors as clusters, their components' positive parts as genes; tests compare with pairs one at a time."""
+    v = _vectors(spark, d).filter("label IS NOT NULL")
+    cells = v.select(F.col("id").alias("cell"), F.col("label").alias("ident"), (F.col("id") % 7).alias("batch"), "v")
+    values = v.select(F.col("id").alias("cell"), F.posexplode("v").alias("gene", "value")).filter("value > 0")
+    return networks.merged_clusters(cells, values, Scratch(spark, "merge"))[0]

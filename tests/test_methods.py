@@ -549,3 +549,100 @@ def test_number_of_planted_components(spark, scratch):
     assert number == 2 and p == sorted(p) and p[0] == 0 and p[-1] == 1
     none, _ = components.significant_components(sparse_rows(spark, rng.normal(size=(100, 20)) + 20), 6, Scratch(spark, "noise"), permutations=15)
     assert none <= 1
+
+
+# networks
+
+
+def test_shuffles_keep_degrees_and_repeat_no_edge(spark, scratch):
+    from strainspark.operators import networks
+
+    rng = np.random.default_rng(3)
+    edges = sorted({(f"g{rng.integers(12)}", f"c{rng.integers(9)}") for _ in range(60)})
+    table = spark.createDataFrame(edges, "a string, b string")
+    rows = networks.shuffled_edges(table.union(table.limit(3)), 8, scratch, turns=12).toPandas()
+    degrees = lambda pairs, side: sorted(pd.Series([p[side] for p in pairs]).value_counts().items())
+    different = set()
+    for k, one in rows.groupby("k"):
+        pairs = list(zip(one["a"], one["b"], strict=True))
+        assert len(pairs) == len(set(pairs)) == len(edges)
+        assert all(degrees(pairs, side) == degrees(edges, side) for side in (0, 1))
+        different.add(tuple(sorted(pairs)))
+        assert len(set(pairs) & set(edges)) < len(edges)
+    assert len(different) == 8
+    groups = spark.createDataFrame([(int(a[1:]) % 2, a, b) for a, b in edges], "group long, a string, b string")
+    for (k, g), one in networks.shuffled_edges(groups, 3, Scratch(spark, "groups"), turns=6).toPandas().groupby(["k", "group"]):
+        own = [(a, b) for a, b in edges if int(a[1:]) % 2 == g]
+        assert degrees(list(zip(one["a"], one["b"], strict=True)), 1) == degrees(own, 1)
+
+
+def test_shuffles_are_even_over_the_graphs_of_these_degrees(spark, scratch):
+    """Of 3 by 3 nodes with two edges each there are six graphs, which shuffles meet about equally often."""
+    from strainspark.operators import networks
+
+    edges = [("x", "p"), ("x", "q"), ("y", "q"), ("y", "r"), ("z", "r"), ("z", "p")]
+    rows = networks.shuffled_edges(spark.createDataFrame(edges, "a string, b string"), 600, scratch, turns=16).toPandas()
+    seen = pd.Series([tuple(sorted(zip(g["a"], g["b"], strict=True))) for _, g in rows.groupby("k")]).value_counts()
+    assert len(seen) == 6 and seen.min() > 60 and seen.max() < 150
+
+
+def test_network_p_against_the_exact_null(spark, scratch):
+    from strainspark.operators import networks
+
+    rng = np.random.default_rng(2)
+    lig, rec = [("A", "l1"), ("A", "l2"), ("B", "l2"), ("B", "l3"), ("C", "l3"), ("C", "l1")], [("A", "r1"), ("B", "r1"), ("B", "r2"), ("C", "r2")]
+    pairs = [("l1", "r1"), ("l2", "r1"), ("l2", "r2"), ("l3", "r2")]
+    make = lambda lig, rec: {(lc, rc, x, y) for lc, x in lig for rc, z in rec for u, y in pairs if u == x and y == z}
+    edges = sorted(make(lig, rec))
+
+    def graph(rows):
+        out = {}
+        for a, b in {(r[0], r[1]) for r in rows}:
+            w = len({r[2] for r in rows if (r[0], r[1]) == (a, b)}) + len({r[3] for r in rows if (r[0], r[1]) == (a, b)})
+            for x in ((a, b), (b, a)):
+                out[x] = out.get(x, 0) + w
+        return out
+
+    def graphs_of(own):
+        cells, genes = [c for c, _ in own], [g for _, g in own]
+        return [x for x in {tuple(sorted(zip(p, genes, strict=True))) for p in itertools.permutations(cells)} if len(set(x)) == len(x)]
+
+    null = [graph(make(x, y)) for x in graphs_of(lig) for y in graphs_of(rec)]
+    true = graph(edges)
+    got = {(r.a, r.b): (r.weight, r.pval) for r in networks.network_pvalues(spark.createDataFrame(edges, "lcell string, rcell string, lig string, rec string"), scratch, shuffles=300, turns=12).collect()}
+    assert {x: v[0] for x, v in got.items()} == true
+    for x, (w, p) in got.items():
+        assert abs(p - np.mean([g.get(x, 0) >= w for g in null])) < 0.1, (x, p)
+    assert rng is not None
+
+
+def test_clusters_merge_as_one_pair_at_a_time_would(spark, scratch):
+    from strainspark.operators import networks
+
+    rng = np.random.default_rng(7)
+    places = {"a": (0, 0), "b": (0.4, 0), "c": (10, 0), "d": (10, 0.5), "e": (0, 20), "f": (0.6, 20), "g": (30, 30)}
+    kinds = {"a": 0, "b": 0, "c": 1, "d": 2, "e": 3, "f": 4, "g": 5}  # a and b can't be told apart; c and d, e and f can
+    rows, counts = [], []
+    for ident, at in places.items():
+        for k in range(30):
+            cell = f"{ident}{k}"
+            rows.append((cell, ident, "s1" if ident == "e" else f"s{k % 6}", [at[0] + 0.05 * float(rng.normal()), at[1] + 0.05 * float(rng.normal())]))
+            counts += [(cell, gene, float(rng.poisson(6 if gene % 6 == kinds[ident] else 1))) for gene in range(18)]
+    cells, matrix = spark.createDataFrame(rows, "cell string, ident string, batch string, v array<double>"), spark.createDataFrame(counts, "cell string, gene long, value double")
+    found, merges = networks.merged_clusters(cells, matrix, scratch, markers=3, batches=2)
+    of = {r.cell: r.ident for r in found.collect()}
+    assert set(merges) == {("a", "b"), ("e", "f")}  # e is of one batch only
+    assert of["b0"] == "a" and of["f3"] == "e" and of["c0"] == "c" and of["d0"] == "d" and of["g0"] == "g" and len(of) == 210
+
+    def area(x, y):
+        return np.mean([(u > v) + 0.5 * (u == v) for u in x for v in y])
+
+    table = pd.DataFrame(counts, columns=["cell", "gene", "value"])
+    table["ident"] = table["cell"].str[0]
+    for pair in (("a", "b"), ("c", "d")):
+        high = low = 0
+        for _, one in table.groupby("gene"):
+            x, y = (one.loc[one["ident"] == i, "value"].to_numpy() for i in pair)
+            if x.mean() != y.mean() and max(x.mean(), y.mean()) >= 2 * min(x.mean(), y.mean()):
+                high, low = high + (area(x, y) >= 0.65), low + (area(x, y) <= 0.35)
+        assert (high < 3 and low < 3) == (pair in merges)

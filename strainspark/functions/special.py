@@ -127,3 +127,16 @@ def exact_rows(x: tuple[int, ...], y: tuple[int, ...]) -> float:
     top = weights.max()
     prob = np.exp(weights - top)
     return min(1.0, float(prob[prob <= np.exp(here - top) * (1 + 1e-7)].sum() / prob.sum()))
+
+
+def chi_square_tail(x: float, df: int) -> float:
+    """P(chi-square > x) for a whole number of degrees of freedom, by its finite series."""
+    if df <= 0 or x != x:
+        return float("nan")
+    if x <= 0:
+        return 1.0
+    half, start = x / 2, 1 if df % 2 else 2
+    p = math.erfc(math.sqrt(half)) if df % 2 else math.exp(-half)
+    for k in range(start, df, 2):
+        p += math.exp(k / 2 * math.log(half) - half - math.lgamma(k / 2 + 1))
+    return min(1.0, p)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strainspark.operators import batches, components, enrichment, graphs, networks, ordering, search, selection, trees, variable
+from strainspark.operators import ambient, batches, components, enrichment, graphs, hurdle, networks, ordering, search, selection, trees, variable
 from strainspark.plans.common import BRANDS, META, brands, counts, metadata, r6, table
 from strainspark.plans.inference import CLOSED, EDGE, GENOTYPES, SITES, _edges, _genotypes, _interactions, _sites, _vectors
 from strainspark.scratch import Scratch
@@ -256,3 +256,38 @@ def merged_clusters(spark, d):
     cells = v.select(F.col("id").alias("cell"), F.col("label").alias("ident"), (F.col("id") % 7).alias("batch"), "v")
     values = v.select(F.col("id").alias("cell"), F.posexplode("v").alias("gene", "value")).filter("value > 0")
     return networks.merged_clusters(cells, values, Scratch(spark, "merge"))[0]
+
+
+# Two-part models and contamination
+
+
+@query(f"""WITH c AS (SELECT p_partkey AS cell, p_brand AS ident, p_size % 4 AS sample FROM part), v AS (SELECT l_partkey AS cell, l_suppkey AS gene, sum(l_quantity)::DOUBLE AS value FROM lineitem GROUP BY 1, 2),
+n AS (SELECT ident, sample, count(*) AS n FROM c GROUP BY 1, 2), w AS (SELECT sample, sum(n) AS al FROM n GROUP BY 1), h AS (SELECT ident, sample, al, sum(n) OVER (PARTITION BY ident) AS size, n / sum(n) OVER (PARTITION BY ident) AS share FROM n JOIN w USING (sample)),
+b AS (SELECT ident, sample, gene, sum(value) AS s FROM v JOIN c USING (cell) GROUP BY 1, 2, 3), t AS (SELECT sample, gene, sum(s) AS t FROM b GROUP BY 1, 2),
+r AS (SELECT ident, gene, sum(share * t / al) AS r FROM h JOIN t USING (sample) GROUP BY 1, 2), o AS (SELECT ident, gene, sum(s) / max(size) AS mean, sum(share * s / al) AS o FROM b JOIN h USING (ident, sample) GROUP BY 1, 2)
+SELECT ident, gene, round(coalesce(mean, 0), 6) AS mean, round(greatest(r - coalesce(o, 0), 0), 6) AS reference FROM r LEFT JOIN o USING (ident, gene)""")
+def reference_means(spark, d):
+    """Suppliers' means over a brand's parts, and over the other parts as the brand's samples have them."""
+    found = ambient.reference_means(*_ambient(spark, d))
+    return found.select("ident", "gene", r6("mean", "mean"), r6("reference", "reference"))
+
+
+def _ambient(spark, d):
+    cells = table(spark, d, "part").select(F.col("p_partkey").alias("cell"), F.col("p_brand").alias("ident"), (F.col("p_size") % 4).alias("sample"))
+    values = counts(spark, d).select(F.col("gene").alias("cell"), F.col("sample").alias("gene"), "value")
+    return values, cells
+
+
+@query()
+def contaminants(spark, d):
+    """Suppliers whose mean in a brand is near the line of its lower edge; tests compare with a direct robust fit."""
+    found = ambient.contaminants(ambient.reference_means(*_ambient(spark, d)), top=5)
+    return found.select("ident", "gene", r6("residual", "residual"), "contaminant")
+
+
+@query()
+def covariate_tests(spark, d):
+    """Two-part tests of parts by class, with a covariate of five values; tests compare with dense fits."""
+    samples = metadata(spark, d).select("sample", F.when(F.col("dx") == "IBD", 1).otherwise(0).alias("dx"), F.col("cohort"))
+    found = hurdle.covariate_tests(counts(spark, d), samples, ["dx", "cohort"], ["dx"], Scratch(spark, "hurdle"))
+    return found.select("gene", "detected", *[r6(c, c) for c in ("coef_d", "p_d", "coef_c", "p_c", "p_h", "padj_d", "padj_c", "padj_h")])

@@ -79,8 +79,8 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return vectors.filter(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) > 0)
 
 
-def knn_graph(vectors: DataFrame, k: int, scratch: Scratch, bucket: int = BUCKET, tables: int = TABLES, seed: int = 1) -> DataFrame:
-    """(q, id, sim, rank): the k most similar other vectors of every vector (id, v) by cosine; of equals the smaller id.
+def knn_graph(vectors: DataFrame, k: int, scratch: Scratch, bucket: int = BUCKET, tables: int = TABLES, seed: int = 1, within: str | None = None) -> DataFrame:
+    """(q, id, sim, rank): the k most similar other vectors of every vector (id, v) by cosine, of those equal in ``within`` if it is given; of equals the smaller id.
 
     Up to ``bucket`` vectors are compared exactly.  More are dealt ``tables`` times
     into buckets by the sides of random planes on which they lie, and compared within
@@ -89,9 +89,10 @@ def knn_graph(vectors: DataFrame, k: int, scratch: Scratch, bucket: int = BUCKET
     bucket's size, and a pair is missed only if no table brings it together.  Null
     vectors and such without a direction have no neighbours.
     """
-    usable, kind = _usable(vectors.select("id", "v")), dict(vectors.dtypes)["id"]
+    also = [within] if within else []
+    usable, kind = _usable(vectors.select("id", "v", *also)), dict(vectors.dtypes)["id"]
     placed = _in_buckets(usable, usable.count(), scratch, bucket, tables, seed)
-    return _best(placed.groupBy("table", "code", "part").applyInPandas(_nearest(k), f"q {kind}, id {kind}, sim double"), k)
+    return _best(placed.groupBy(*also, "table", "code", "part").applyInPandas(_nearest(k), f"q {kind}, id {kind}, sim double"), k)
 
 
 def cross_knn(left: DataFrame, right: DataFrame, k: int, scratch: Scratch, bucket: int = BUCKET, tables: int = TABLES, seed: int = 1) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strainspark.operators import ambient, batches, components, enrichment, graphs, hurdle, networks, ordering, search, selection, trees, variable
+from strainspark.operators import ambient, batches, components, density, enrichment, graphs, hurdle, networks, ordering, search, selection, trees, variable
 from strainspark.plans.common import BRANDS, META, brands, counts, metadata, r6, table
 from strainspark.plans.inference import CLOSED, EDGE, GENOTYPES, SITES, _edges, _genotypes, _interactions, _sites, _vectors
 from strainspark.scratch import Scratch
@@ -291,3 +291,11 @@ def covariate_tests(spark, d):
     samples = metadata(spark, d).select("sample", F.when(F.col("dx") == "IBD", 1).otherwise(0).alias("dx"), F.col("cohort"))
     found = hurdle.covariate_tests(counts(spark, d), samples, ["dx", "cohort"], ["dx"], Scratch(spark, "hurdle"))
     return found.select("gene", "detected", *[r6(c, c) for c in ("coef_d", "p_d", "coef_c", "p_c", "p_h", "padj_d", "padj_c", "padj_h")])
+
+
+@query()
+def density_downsampled(spark, d):
+    """Vectors of each label thinned to 30 by how crowded their places are; tests compare with a direct computation."""
+    v = _vectors(spark, d).filter("label IS NOT NULL").select(F.col("id").alias("cell"), F.col("label").alias("ident"), (F.col("id") % 17).alias("depth"), "v")
+    quotas = v.select("ident").distinct().withColumn("quota", F.lit(30))
+    return density.density_downsampled(v, quotas, Scratch(spark, "density")).select("cell", "ident", "crowd", r6("rate", "rate"), "kept")

@@ -717,3 +717,31 @@ def test_contaminants_lie_on_a_robust_line(spark):
     assert got[("g", "own")].residual > 5 and not got[("g", "own")].contaminant
     assert all(abs(got[("g", f"n{k}")].residual) < 0.1 and got[("g", f"n{k}")].contaminant for k in range(40))
     assert got[("tiny", "n1")].residual is None and ("g", "absent") not in got
+
+
+# density
+
+
+def test_crowded_cells_are_thinned_more(spark, scratch):
+    from strainspark.operators import density
+
+    rng = np.random.default_rng(12)
+    v = np.concatenate([rng.normal(size=(60, 5)) * 0.1 + [3, 0, 0, 0, 0], rng.normal(size=(40, 5))])
+    rows = [(k, "a", int(k % 13), x.tolist()) for k, x in enumerate(v)] + [(1000 + k, "b", 1, [1.0, float(k), 0.0, 0.0, 0.0]) for k in range(4)] + [(2000, "c", 1, [1.0] * 5)]
+    cells = spark.createDataFrame(rows, "cell long, ident string, depth int, v array<double>")
+    quotas = spark.createDataFrame([("a", 55), ("b", 10)], "ident string, quota int")
+    got = {r.cell: r for r in density.density_downsampled(cells, quotas, scratch, k=6, around=15).collect()}
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    sim = np.round(unit @ unit.T, 9)
+    np.fill_diagonal(sim, -9)
+    near = np.argsort(-sim, axis=1, kind="stable")
+    crowd = np.bincount(near[:, :6].ravel(), minlength=100) + 1
+    assert all(got[k].crowd == crowd[k] for k in range(100))
+    rates = np.array([got[k].rate for k in range(100)])
+    assert abs(rates.sum() - 45) < 1
+    order = np.argsort(crowd, kind="stable")
+    assert (np.diff(rates[order]) >= -1e-12).all() and rates.min() >= 0 and rates.max() <= 1
+    for k in range(100):
+        beats = sum(k % 13 >= j % 13 for j in near[k][:15])
+        assert got[k].kept == (beats >= rates[k] * 15)
+    assert all(got[x].rate == 0 and got[x].kept for x in (1000, 1003, 2000)) and len(got) == 105

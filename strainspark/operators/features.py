@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strainspark.functions.numeric import ratio
+from strainspark.operators.ordering import in_order
+from strainspark.scratch import Scratch
 
 
 def quantile_normalised(matrix: DataFrame) -> DataFrame:
@@ -22,15 +24,34 @@ def variability(matrix: DataFrame) -> DataFrame:
     return m.select("gene", "n", "mean", cv.alias("cv"), F.when(F.col("mean") > 0, F.log("mean")).alias("log_mean"), F.when(cv > 0, F.log(cv)).alias("log_cv"))
 
 
-def rolling_z(rows: DataFrame, value: str, order: list[Column], before: int = 49, after: int = 50) -> DataFrame:
-    """``value`` as a z-score among the rows around it in ``order``, as value_z; edges take the part of the window there is."""
-    w = Window.orderBy(*order).rowsBetween(-before, after)
-    return rows.withColumn(f"{value}_z", ratio(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w)))
+#: Places of one block of a rolling window; a block also gets the rows around it that its windows reach.
+ROLLING_BLOCK = 10_000
+
+
+def rolling_z(rows: DataFrame, value: str, order: list[Column], before: int = 49, after: int = 50, block: int = ROLLING_BLOCK) -> DataFrame:
+    """``value`` as a z-score among the rows around it in ``order``, as value_z; edges take the part of the window there is.
+
+    Rows get their places first; windows then span blocks of places with the rows that
+    reach into them, so none spans the table.
+    """
+    if max(before, after) > block:
+        raise ValueError("a window reaches beyond the next block")
+    placed = in_order(rows, order, Scratch(rows.sparkSession, "rolling"), "order").drop("__part")
+    of = lambda shift: F.floor((F.col("place") + shift) / block)
+    dealt = placed.withColumn("__block", F.explode(F.array_distinct(F.array(of(-after), of(0), of(before)))))
+    w = Window.partitionBy("__block").orderBy("place").rowsBetween(-before, after)
+    scored = dealt.withColumn(f"{value}_z", ratio(F.col(value) - F.avg(value).over(w), F.stddev_samp(value).over(w)))
+    return scored.filter(F.col("__block") == of(0)).drop("__block", "place")
 
 
 def in_equal_bins(rows: DataFrame, value: str, bins: int, order: list[Column], out: str = "bin") -> DataFrame:
-    """Bins of equal numbers of rows, from 1, in a total order."""
-    return rows.withColumn(out, F.ntile(bins).over(Window.orderBy(*order)))
+    """Bins of equal numbers of rows, from 1, in a total order; the first ones have a row more where the numbers don't divide."""
+    placed = in_order(rows, order, Scratch(rows.sparkSession, "bins"), "order").drop("__part")
+    sizes = placed.agg(F.floor(F.count("*") / bins).alias("__size"), (F.count("*") % bins).alias("__more"))
+    large = F.col("__more") * (F.col("__size") + 1)
+    late = F.col("__more") + F.floor((F.col("place") - 1 - large) / F.greatest(F.col("__size"), F.lit(1))) + 1
+    bin_ = F.when(F.col("place") <= large, F.floor((F.col("place") - 1) / (F.col("__size") + 1)) + 1).otherwise(late)
+    return placed.crossJoin(F.broadcast(sizes)).withColumn(out, bin_.cast("int")).drop("__size", "__more", "place")
 
 
 def mutual_information(rows: DataFrame, x: str, y: str) -> DataFrame:

@@ -151,21 +151,3 @@ def set_overlaps(sets: DataFrame) -> DataFrame:
     both = x.join(y, "member").filter("s1 < s2").groupBy("s1", "s2").agg(F.count("*").alias("both"))
     out = both.join(sizes.select(F.col("name").alias("s1"), F.col("n").alias("n1")), "s1").join(sizes.select(F.col("name").alias("s2"), F.col("n").alias("n2")), "s2")
     return out.withColumn("jaccard", ratio(F.col("both"), F.col("n1") + F.col("n2") - F.col("both")))
-
-
-def enrichment_score(ranked: DataFrame, sets: DataFrame) -> DataFrame:
-    """(name, n, score): the running-sum enrichment score of each set in genes (gene, stat) from the highest stat down.
-
-    Hits add their share of |stat|, misses take an even share away; the score is the largest excursion.
-    """
-    total = ranked.agg(F.count("*").alias("all"))
-    placed = ranked.withColumn("place", F.row_number().over(Window.orderBy(F.desc("stat"), "gene")))
-    hits = placed.join(sets.distinct().withColumnRenamed("member", "gene"), "gene")
-    w = Window.partitionBy("name").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("name")
-    h = hits.crossJoin(F.broadcast(total)).withColumns({"n": F.count("*").over(whole), "hit": ratio(F.sum(F.abs("stat")).over(w), F.sum(F.abs("stat")).over(whole)), "k": F.count("*").over(w)})
-    miss = ratio(F.col("place") - F.col("k"), F.col("all") - F.col("n"))
-    # The sum is largest just at a hit and smallest just before one.
-    before = F.coalesce(F.lag("hit").over(Window.partitionBy("name").orderBy("place")), F.lit(0.0)) - miss
-    peaks = h.withColumn("up", F.col("hit") - miss).withColumn("down", before).groupBy("name", "n").agg(F.max("up").alias("up"), F.min("down").alias("down"))
-    return peaks.select("name", "n", F.when(F.col("up") >= -F.col("down"), F.col("up")).otherwise(F.col("down")).alias("score"))

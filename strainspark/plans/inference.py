@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from strainspark.functions import sequence as seq
 from strainspark.functions.numeric import cosine, log2_or_null, ratio
-from strainspark.operators import markers, matrix, panels, pileup, ranking, statistics, strain, trees
+from strainspark.operators import enrichment, markers, matrix, panels, pileup, ranking, statistics, strain, trees
 from strainspark.plans.common import BRANDS, COUNTS, META, PILE, brands, counts, metadata, r6, table
 from strainspark.plans.common import pileup as pileup_rows
+from strainspark.scratch import Scratch
 
 Q, SQL = {}, {}
 
@@ -287,7 +288,10 @@ p AS (SELECT name, n, hit - (place - k) / (al - n) AS up, coalesce(lag(hit) OVER
 SELECT name, n, round(CASE WHEN max(up) >= -min(down) THEN max(up) ELSE min(down) END, 6) AS score FROM p GROUP BY 1, 2""")
 def gene_set_enrichment(spark, d):
     part = table(spark, d, "part")
-    return statistics.enrichment_score(part.select(F.col("p_partkey").alias("gene"), (F.col("p_retailprice") - 1400).alias("stat")), part.select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("member"))).select("name", "n", r6("score", "score"))
+    scratch = Scratch(spark, "enrichment")
+    placed = scratch.keep(enrichment.placed_genes(part.select(F.col("p_partkey").alias("gene"), (F.col("p_retailprice") - 1400).alias("stat")), scratch), "placed")
+    scores = enrichment.running_scores(placed, part.select(F.col("p_brand").alias("name"), F.col("p_partkey").alias("member")), placed.count())
+    return scores.select("name", "n", r6("score", "score"))
 
 
 # Strains: suppliers' shares of each part are frequencies.

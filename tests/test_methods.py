@@ -745,3 +745,23 @@ def test_crowded_cells_are_thinned_more(spark, scratch):
         beats = sum(k % 13 >= j % 13 for j in near[k][:15])
         assert got[k].kept == (beats >= rates[k] * 15)
     assert all(got[x].rate == 0 and got[x].kept for x in (1000, 1003, 2000)) and len(got) == 105
+
+
+def test_rolling_windows_and_bins_by_blocks(spark):
+    from strainspark.operators import features
+
+    rng = np.random.default_rng(4)
+    frame = pd.DataFrame({"k": range(157), "o": rng.integers(0, 40, 157), "v": rng.normal(size=157)})
+    rows = spark.createDataFrame(frame).repartition(5)
+    ordered = frame.sort_values(["o", "k"])
+    wanted = {}
+    for p, k in enumerate(ordered["k"]):
+        near = ordered["v"].iloc[max(0, p - 4) : p + 6]
+        wanted[k] = (ordered["v"].iloc[p] - near.mean()) / near.std()
+    got = {r.k: r.v_z for r in features.rolling_z(rows, "v", [F.asc("o"), F.asc("k")], 4, 5, block=10).collect()}
+    assert len(got) == 157 and all(abs(got[k] - wanted[k]) < 1e-9 for k in wanted)
+    bins = {r.k: r.bin for r in features.in_equal_bins(rows, "o", 8, [F.asc("o"), F.asc("k")]).collect()}
+    parts = np.array_split(ordered["k"].to_numpy(), 8)
+    assert all(bins[k] == b for b, part in enumerate(parts, 1) for k in part)
+    few = {r.k: r.bin for r in features.in_equal_bins(rows.filter("k < 3"), "k", 8, [F.asc("k")]).collect()}
+    assert few == {0: 1, 1: 2, 2: 3}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from strainspark.operators import ambient, batches, components, density, enrichment, graphs, hurdle, networks, ordering, search, selection, trees, variable
+from strainspark.operators import ambient, batches, components, curation, density, enrichment, graphs, hurdle, networks, ordering, search, selection, trees, variable
 from strainspark.plans.common import BRANDS, META, brands, counts, metadata, r6, table
 from strainspark.plans.inference import CLOSED, EDGE, GENOTYPES, SITES, _edges, _genotypes, _interactions, _sites, _vectors
 from strainspark.scratch import Scratch
@@ -299,3 +299,17 @@ def density_downsampled(spark, d):
     v = _vectors(spark, d).filter("label IS NOT NULL").select(F.col("id").alias("cell"), F.col("label").alias("ident"), (F.col("id") % 17).alias("depth"), "v")
     quotas = v.select("ident").distinct().withColumn("quota", F.lit(30))
     return density.density_downsampled(v, quotas, Scratch(spark, "density")).select("cell", "ident", "crowd", r6("rate", "rate"), "kept")
+
+
+# Cells
+
+
+@query("""WITH k AS (SELECT c_custkey, c_mktsegment || '/' || c_nationkey AS g FROM customer WHERE c_acctbal > 0), s AS (SELECT g, count(*) AS n FROM k GROUP BY 1),
+o AS (SELECT g, n, row_number() OVER (ORDER BY n, g) AS i, coalesce(sum(n) OVER (ORDER BY n, g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, count(*) OVER () AS al FROM s),
+h AS (SELECT g, n, i, floor(greatest(300 - before, 0) / (al - i + 1)) AS share FROM o), f AS (SELECT *, min(CASE WHEN n > share THEN i END) OVER () AS first_i FROM h), q AS (SELECT g, CASE WHEN first_i IS NULL OR i < first_i THEN n ELSE least(n, (SELECT share FROM f x WHERE x.i = x.first_i)) END AS quota FROM f)
+SELECT g, least(count(*), any_value(quota))::BIGINT AS kept FROM k JOIN q USING (g) GROUP BY 1 HAVING least(count(*), any_value(quota)) > 0""")
+def selected_cells(spark, d):
+    """How many customers of each segment and nation are kept of 300, those without a positive balance left out; tests look at which."""
+    cells = table(spark, d, "customer").withColumn("balance", F.when(F.col("c_acctbal") > 0, F.col("c_acctbal")))
+    kept = curation.selected_cells(cells, ["balance"], "c_mktsegment", "c_nationkey", "c_custkey", 300)
+    return kept.groupBy(F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("g")).agg(F.count("*").alias("kept"))

@@ -765,3 +765,44 @@ def test_rolling_windows_and_bins_by_blocks(spark):
     assert all(bins[k] == b for b, part in enumerate(parts, 1) for k in part)
     few = {r.k: r.bin for r in features.in_equal_bins(rows.filter("k < 3"), "k", 8, [F.asc("k")]).collect()}
     assert few == {0: 1, 1: 2, 2: 3}
+
+
+# queries of trained models, and chosen cells
+
+
+def test_principal_components_against_a_full_decomposition(spark, data):
+    from strainspark.plans import inference
+
+    got = {r.id: r.scores for r in inference.pca_project(spark, data).collect()}
+    rows = {r.id: r.v for r in inference._vectors(spark, data).collect()}
+    ids = sorted(rows)
+    z = standardised(np.array([rows[k] for k in ids]))
+    _, s, vt = np.linalg.svd(z, full_matrices=False)
+    wanted = z @ vt[:5].T
+    wanted *= np.where(vt[np.arange(5), np.abs(vt[:5]).argmax(axis=1)] > 0, 1, -1)
+    assert np.allclose([got[k] for k in ids], wanted, atol=1e-4)
+
+
+def test_forest_covers_held_out_vectors_and_is_repeatable(spark, data):
+    from strainspark.plans import inference
+
+    rows = inference.rf_classify(spark, data).collect()
+    held = {r.id for r in inference._vectors(spark, data).filter("label IS NOT NULL").filter(F.pmod(F.xxhash64("id"), F.lit(5)) == 0).collect()}
+    assert {r.id for r in rows} == held
+    assert all(abs(sum(r.probability) - 1) < 1e-9 and r.probability[r.prediction] == max(r.probability) for r in rows)
+    again = {r.id: r.prediction for r in inference.rf_classify(spark, data).collect()}
+    assert all(again[r.id] == r.prediction for r in rows)  # labels of these vectors are drawn at random, so accuracy says nothing
+
+
+def test_chosen_cells_are_known_even_and_the_same_again(spark):
+    from strainspark.operators import curation
+
+    rows = [(k, "a" if k < 40 else "b" if k < 55 else "c", k % 2, None if k % 10 == 0 else 1.0) for k in range(60)]
+    cells = spark.createDataFrame(rows, "cell long, ident string, batch int, age double")
+    one = {r.cell for r in curation.selected_cells(cells, ["age"], "ident", "batch", "cell", 24).collect()}
+    again = {r.cell for r in curation.selected_cells(cells.repartition(3), ["age"], "ident", "batch", "cell", 24).collect()}
+    assert one == again and len(one) <= 24 and not any(k % 10 == 0 for k in one)
+    sizes = pd.Series([(rows[k][1], rows[k][2]) for k in one]).value_counts()
+    known = pd.Series([(r[1], r[2]) for r in rows if r[3]]).value_counts()
+    least = min(sizes[x] for x in sizes.index if sizes[x] < known[x])
+    assert all(sizes[x] == known[x] or abs(sizes[x] - least) <= 1 for x in known.index)

@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from strainspark.functions.numeric import ratio
 
 
+def two_part(k1: Column, k0: Column, n1: Column, n0: Column, s1: Column, s0: Column, q: Column) -> tuple[Column, Column]:
+    """Likelihood-ratio statistics of detection and level: k of n samples a class are positive, with sums s of logarithms and q of all their squares."""
+    term = lambda k, n: F.when(k > 0, k * F.log(k / n)).otherwise(0.0)
+    fit = lambda k, n: term(k, n) + term(n - k, n)
+    detected = F.greatest(2 * (fit(k1, n1) + fit(k0, n0) - fit(k1 + k0, n1 + n0)), F.lit(0.0))
+    whole, apart = q - (s1 + s0) * (s1 + s0) / (k1 + k0), q - ratio(s1 * s1, k1) - ratio(s0 * s0, k0)
+    level = F.when((k1 > 0) & (k0 > 0) & (k1 + k0 >= 3) & (apart > 1e-9 * q), F.greatest((k1 + k0) * F.log(whole / apart), F.lit(0.0)))
+    return detected, level
+
+
 def hurdle_tests(matrix: DataFrame, classes: DataFrame, case: str) -> DataFrame:
     """(gene, k1, k0, detected, level, pval): likelihood-ratio tests of a class in a two-part model of stored values.
 
@@ -26,12 +36,8 @@ def hurdle_tests(matrix: DataFrame, classes: DataFrame, case: str) -> DataFrame:
     v = F.col("v")
     m = rows.groupBy("gene").agg(count(one).alias("k1"), count(~one).alias("k0"), part(v, one).alias("s1"), part(v, ~one).alias("s0"), F.sum(v * v).alias("q"))
     m = m.crossJoin(F.broadcast(sizes))
-    term = lambda k, n: F.when(k > 0, k * F.log(k / n)).otherwise(0.0)
-    fit = lambda k, n: term(k, n) + term(n - k, n)
     k1, k0, n1, n0, s1, s0, q = (F.col(c) for c in ("k1", "k0", "n1", "n0", "s1", "s0", "q"))
-    detected = F.greatest(2 * (fit(k1, n1) + fit(k0, n0) - fit(k1 + k0, n1 + n0)), F.lit(0.0))
-    whole, apart = q - (s1 + s0) * (s1 + s0) / (k1 + k0), q - ratio(s1 * s1, k1) - ratio(s0 * s0, k0)
-    level = F.when((k1 > 0) & (k0 > 0) & (k1 + k0 >= 3) & (apart > 1e-9 * q), F.greatest((k1 + k0) * F.log(whole / apart), F.lit(0.0)))
+    detected, level = two_part(k1, k0, n1, n0, s1, s0, q)
     out = m.select("gene", k1.cast("long").alias("k1"), k0.cast("long").alias("k0"), detected.alias("detected"), level.alias("level"))
     return out.withColumn("pval", F.exp(-(F.col("detected") + F.col("level")) / 2))
 

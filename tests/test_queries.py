@@ -2,9 +2,9 @@
 
 import pytest
 
-from strainspark.plans import abundance, contrasts, curation, discovery, features, inference, methods
+from strainspark.plans import abundance, contrasts, curation, discovery, experiments, features, inference, methods
 
-MODULES = (abundance, contrasts, curation, discovery, features, inference, methods)
+MODULES = (abundance, contrasts, curation, discovery, experiments, features, inference, methods)
 QUERIES, SQL = {k: v for m in MODULES for k, v in m.Q.items()}, {k: v for m in MODULES for k, v in m.SQL.items()}
 
 

@@ -7,18 +7,19 @@ URLs; after each start or end the stack of the rules that are active is known,
 and each URL takes the stack of the last one before it.  Of the stack, the
 longest rule whose path begins the URL's path decides.
 
-URLs are dealt by a hash of the row into SLICES sweeps, each over all starts and
-ends, so a host that holds a third of all rows is spread like any other, and one
-shuffle and one sort do the join.
+URLs are dealt by a hash of the row into sweeps, each over all starts and ends, so
+a host that holds a third of all rows is spread like any other, and one shuffle and
+one sort do the join.  Sweeps are a multiple of the session's shuffle partitions, so
+their number grows with the cluster; the rules are repeated in each.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Sweeps that the URLs are dealt into; the rules are repeated in each.
-SLICES = 240
+#: Sweeps to a shuffle partition, so that their hashes fill all partitions about evenly.
+SLICES_EACH = 4
 
 #: The rules of the query: (verdict, host, path).
 RULES = [
@@ -65,7 +66,7 @@ def sweep_events(rules: DataFrame) -> DataFrame:
     return stacks.withColumn("k", key).select(event.alias("e")).select("e.*")
 
 
-def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", slices: int = SLICES) -> DataFrame:
+def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str = "allow", slices: int | None = None) -> DataFrame:
     """``urls`` with host, path, rule and verdict, which replace columns of these names.
 
     ``rules``: (verdict, host, path).  A rule fits its host and all hosts under
@@ -73,8 +74,10 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     and, of rules of one length, the last by host, path and verdict.  Without a
     fitting rule, rule is null and the verdict ``default``.  A null URL, or one
     without ``://``, has an empty host and path.  Rules with a null are left out,
-    repeated rules count once; repeated URL rows are judged each.
+    repeated rules count once; repeated URL rows are judged each.  ``slices`` is the
+    number of sweeps, by default SLICES_EACH for each shuffle partition.
     """
+    slices = slices or SLICES_EACH * int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rules = rules.select("verdict", F.translate("host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), "path").dropna().filter("host <> ''").distinct()
     kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
     url = F.col(f"`{url_col}`")
@@ -89,10 +92,15 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url", default: str
     return swept.withColumn("best", best).select("row.*", "host", "path", F.concat(F.col("best.host"), F.col("best.path")).alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
+def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
+    """(verdict, host, path) of listed rules, as literals of the plan."""
+    rows = F.array(*[F.struct(F.lit(v).alias("verdict"), F.lit(h).alias("host"), F.lit(p).alias("path")) for v, h, p in rules])
+    return spark.range(1).select(F.inline(rows))
+
+
 def report(pages: DataFrame) -> DataFrame:
     """(page_id, host, path, rule, verdict) of every page row, under RULES."""
-    rules = pages.sparkSession.createDataFrame(RULES, "verdict string, host string, path string")
-    return judge(pages.select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+    return judge(pages.select("page_id", "url"), rule_table(pages.sparkSession)).select("page_id", "host", "path", "rule", "verdict")
 
 
 REPORT_SQL = """

@@ -601,3 +601,15 @@ def test_urls_are_brute_force(spark):
     assert got == {k: verdict(u, known) for k, u in enumerate(urls)}
     assert url_filter.judge(rows.limit(0), table).count() == 0
     assert url_filter.judge(rows, table.limit(0)).filter("verdict <> 'allow'").count() == 0
+
+
+def test_urls_repeated_long_and_in_any_number_of_sweeps(spark):
+    far = "http://a.example.com/en/7" + "x" * 300_000
+    urls = [far, far, "http://" + "a." * 50_000 + "net/de/1", None, None, "http://org/es/"] * 3
+    rows = spark.createDataFrame([(7, u) for u in urls], "page_id long, url string")
+    table = url_filter.rule_table(spark)
+    assert sorted(tuple(r) for r in table.collect()) == sorted(url_filter.RULES)
+    wanted = sorted((len(u or ""), *verdict(u, url_filter.RULES)[2:]) for u in urls if u) + [(0, None, "allow")] * 6
+    for slices in (None, 1, 5):
+        got = [(len(r.url or ""), r.rule, r.verdict) for r in url_filter.judge(rows, table, slices=slices).collect()]
+        assert sorted(got, key=str) == sorted(wanted, key=str)

@@ -613,3 +613,22 @@ def test_urls_repeated_long_and_in_any_number_of_sweeps(spark):
     for slices in (None, 1, 5):
         got = [(len(r.url or ""), r.rule, r.verdict) for r in url_filter.judge(rows, table, slices=slices).collect()]
         assert sorted(got, key=str) == sorted(wanted, key=str)
+
+
+def test_lines_of_over_a_million_characters(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = ["".join(map(chr, rng.integers(97, 123, 3))) for _ in range(3_000)]
+    line = lambda low, high: [words[k] for k in rng.integers(low, high, 400_000)]
+    first, other = line(0, 1_500), line(1_500, 3_000)  # lines of the same words in like numbers have like SimHashes
+    near = [w if k % 40 else words[k % 1_499] for k, w in enumerate(first)]  # one word in forty, by many others
+    texts = [(1, " ".join(first)), (2, " ".join(other)), (3, " ".join(near)), (4, "few words here")]
+    assert len(texts[0][1]) > line_dedup.MOST_WEIGHT
+    lines = spark.createDataFrame([(bytes([k]), len(t), t) for k, t in texts], "id binary, n int, norm string")
+    sims = {r.id[0]: (r.sim, r.sim2) for r in line_dedup.simhashes(lines).collect()}
+    apart = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(sims[a], sims[b], strict=True))
+    assert all(any(s) for s in sims.values()) and apart(1, 2) > line_dedup.MOST_BITS >= apart(1, 3)
+    monkeypatch.setattr(line_dedup, "MOST_WEIGHT", 0)
+    assert {r.id[0]: (r.sim, r.sim2) for r in line_dedup.simhashes(lines.filter("n < 100")).collect()} == {4: sims[4]}
+    monkeypatch.undo()
+    found = {r.doc_id: (r.group, r.kept) for r in line_dedup.line_groups(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert found[1][0] == found[3][0] and len({g for g, _ in found.values()}) == 3 and [found[k][1] for k in (1, 2, 3, 4)] == [True, True, False, True]

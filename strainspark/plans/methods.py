@@ -160,8 +160,10 @@ def selected_clades(spark, d):
     arrays = arrays.select("tree", "node", F.transform("c", lambda x: x["i"]).alias("counts"), F.transform("c", lambda x: x["i"] + x["o"]).alias("whole"))
     effects = selection.largest_log_odds(selection.clade_odds(counts)).withColumn("effect", F.round("effect", 9))
     tested = scratch.keep(selection.with_exact_rows(arrays.join(effects, ["tree", "node"]), "whole", "counts").withColumn("pval", F.round("pval", 12)), "tested")
-    stats = ordering.adjusted_over_all(tested, "pval", scratch)
-    return selection.selected_clades(edges, paths, stats).select("node", "enriched")
+    stats = scratch.keep(ordering.adjusted_over_all(tested, "pval", scratch), "stats")
+    # Kept, so that the tests aren't run again for each of their uses.
+    nested = scratch.keep(selection.nested_contrasts(paths, selection.significant_nodes(stats)), "nested")
+    return selection.selected_clades(edges, paths, stats, contrasts=nested).select("node", "enriched")
 
 
 # Search over strain estimates

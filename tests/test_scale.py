@@ -1,5 +1,8 @@
 """Steps that took memory or time beyond the growth of their input, and their results."""
 
+import time
+
+from strainspark.functions import special
 from strainspark.operators import enrichment, trees
 from strainspark.scratch import Scratch
 
@@ -18,3 +21,12 @@ def test_clades_of_values_are_those_of_all_pairs(spark):
     pairs = [(a, b, abs(value[a][1] - value[b][1])) for a in value for b in value if a < b and value[a][0] == value[b][0]]
     slow = trees.tight_clades(of, spark.createDataFrame(pairs, "a string, b string, d double"), 10).collect()
     assert sorted(trees.tight_value_clades(of, places, 10).collect()) == sorted(slow) == [("t", "x", 3, 3.5)]
+
+
+def test_exact_rows_of_many_counts():
+    start = time.time()
+    assert abs(special.exact_rows((60000, 60300, 59800), (240000, 239000, 241000)) - 0.0353032372) < 1e-9
+    # Two columns and an empty one are Fisher's test; so unlikely a table is 0 in doubles.
+    assert abs(special.exact_rows((6000, 0, 6100), (23900, 0, 24000)) - special.fisher_exact(6000, 6100, 23900, 24000)[1]) < 1e-9
+    assert special.exact_rows((100000, 0, 0), (0, 100000, 100000)) == 0.0
+    assert time.time() - start < 30

@@ -30,3 +30,22 @@ def test_exact_rows_of_many_counts():
     assert abs(special.exact_rows((6000, 0, 6100), (23900, 0, 24000)) - special.fisher_exact(6000, 6100, 23900, 24000)[1]) < 1e-9
     assert special.exact_rows((100000, 0, 0), (0, 100000, 100000)) == 0.0
     assert time.time() - start < 30
+
+
+def test_nearest_is_a_product_of_blocks(spark):
+    from strainspark.operators import markers
+
+    rows = [(k, [float(k % 7) - 3, float(k % 5), 1.0]) for k in range(60)] + [(60, [0.0, 0.0, 0.0]), (61, None)]
+    v = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    found = markers.nearest(v.filter("id % 20 = 0"), v, 61)
+    # No vector is compared in Spark's own arrays, element by element.
+    assert "zip_with" not in found._jdf.queryExecution().toString()
+    got = found.collect()
+
+    def cos(a, b):
+        return None if not a or not b or not any(a) or not any(b) else round(sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5), 9)
+
+    for q, own in rows:
+        if q % 20 == 0:
+            best = sorted(((None if (c := cos(own, x)) is None else -c, k) for k, x in rows if k != q), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            assert [(r.id, r.sim) for r in sorted((r for r in got if r.q == q), key=lambda r: r.rank)] == [(k, None if c is None else -c) for c, k in best]

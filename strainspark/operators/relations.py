@@ -34,8 +34,20 @@ def inside(points: DataFrame, ranges: DataFrame, on: str, at: str, low: str, hig
 
 def reads_in_genes(reads: DataFrame, genes: DataFrame, width: int) -> DataFrame:
     """(id, gene), each once, of reads (contig, id, first, last) whose first or last base lies in a gene (contig, gene, low, high)."""
-    ends = reads.select("contig", "id", F.explode(F.array("first", "last")).alias("at"))
-    return inside(ends, genes, "contig", "at", "low", "high", width).select("id", "gene").distinct()
+    # A pair met by its first base isn't met by its last again, so only names of several rows need comparing.
+    reads, genes = reads.select("contig", "id", "first", "last"), genes.select("contig", "gene", "low", "high")
+    marked = lambda rows, name, out: rows.withColumn(out, F.count("*").over(Window.partitionBy(name)) > 1)
+    reads, genes = marked(reads, "id", "__more"), marked(genes, "gene", "__again")
+    ends = reads.withColumn("__ends", F.array(F.struct(F.col("first").alias("at"), F.lit(None).cast(dict(reads.dtypes)["first"]).alias("before")), F.struct(F.col("last").alias("at"), F.col("first").alias("before"))))
+    ends = ends.select("contig", "id", "__more", F.inline("__ends"))
+
+    def met(e: DataFrame, g: DataFrame) -> DataFrame:
+        found = inside(e, g, "contig", "at", "low", "high", width)
+        return found.filter(F.col("before").isNull() | ~F.col("before").between(F.col("low"), F.col("high"))).select("id", "gene")
+
+    one, again = ends.filter("NOT __more"), genes.filter("__again")
+    repeated = met(ends.filter("__more"), genes).union(met(one, again)).distinct()
+    return met(one, genes.filter("NOT __again")).union(repeated)
 
 
 def mapped_lists(rows: DataFrame, column: str, table: DataFrame, sep: str = "\t") -> DataFrame:

@@ -49,3 +49,15 @@ def test_nearest_is_a_product_of_blocks(spark):
         if q % 20 == 0:
             best = sorted(((None if (c := cos(own, x)) is None else -c, k) for k, x in rows if k != q), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
             assert [(r.id, r.sim) for r in sorted((r for r in got if r.q == q), key=lambda r: r.rank)] == [(k, None if c is None else -c) for c, k in best]
+
+
+def test_reads_and_genes_of_several_rows_meet_once(spark):
+    from strainspark.operators import relations
+
+    reads = [(1, 1, 5, 15), (1, 2, 95, 104), (1, 2, 95, 104), (1, 3, 40, 400), (2, 3, 5, 15), (1, 4, 0, 500)]
+    genes = [(1, 10, 0, 20), (1, 11, 100, 120), (1, 11, 90, 99), (2, 10, 0, 20), (1, 12, 400, 600), (1, 13, 30, 450)]
+    found = relations.reads_in_genes(spark.createDataFrame(reads, "contig int, id int, first int, last int"), spark.createDataFrame(genes, "contig int, gene int, low int, high int"), 50)
+    want = {(i, g) for c, i, a, b in reads for d, g, low, high in genes if c == d and (low <= a <= high or low <= b <= high)}
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    # Pairs of names with one row each are not gathered again.
+    assert found._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Union")

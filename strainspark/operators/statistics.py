@@ -132,13 +132,29 @@ def permutation_p(rows: DataFrame, value: str, label: str, by: list[str], key: s
     Shuffle k deals the observed number of 1 labels to the rows in order of a hash
     of (k, key), so it is the same everywhere; p counts shuffles as large or larger.
     """
-    w = Window.partitionBy(*by)
-    base = rows.withColumn("__n1", F.sum(label).over(w))
-    shuffled = base.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    order = F.row_number().over(Window.partitionBy(*by, "k").orderBy(F.md5(F.concat_ws(":", F.col("k").cast("string"), F.col(key).cast("string"))), key))
-    one = F.when(order <= F.col("__n1"), 1).otherwise(0)
+    # By the hash's first two characters the rows fall into bins in order; all move as sums of a
+    # bin, but those of the bin in which the last 1 label is dealt.
+    bin_of = lambda h: F.substring(h, 1, 2)
+    hashed = F.md5(F.concat_ws(":", F.col("k").cast("string"), F.col(key).cast("string")))
+    of_value = lambda: [F.count("*").alias("__rows"), F.count(value).alias("__n"), F.sum(value).alias("__s")]
+    # Few rows of much work each: dealt out whatever their bytes, rows of few groups a task, so that the sums of a bin are mostly made there.
+    near = rows.select(*by, key, value).repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *by, F.pmod(F.xxhash64(key), F.lit(16)))
+    each = near.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("__h", hashed)
+    bins = each.groupBy(*by, "k", bin_of(F.col("__h")).alias("__bin")).agg(*of_value())
+    whole, order = Window.partitionBy(*by, "k"), Window.partitionBy(*by, "k").orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    ones = rows.groupBy(*by).agg(F.sum(label).alias("__n1"))
+    placed = bins.join(ones, by).withColumns({"__to": F.sum("__rows").over(order), "__all_n": F.sum("__n").over(whole), "__all_s": F.sum("__s").over(whole)})
+    placed = placed.withColumn("__from", F.col("__to") - F.col("__rows"))
+    full = placed.groupBy(*by, "k").agg(F.max("__all_n").alias("__all_n"), F.max("__all_s").alias("__all_s"), F.sum(F.when(F.col("__to") <= F.col("__n1"), F.col("__n"))).alias("n"), F.sum(F.when(F.col("__to") <= F.col("__n1"), F.col("__s"))).alias("s"))
+    split = placed.filter("__from < __n1 AND __to > __n1").select(*by, "k", "__bin", (F.col("__n1") - F.col("__from")).alias("__left"))
+    cut = each.withColumn("__bin", bin_of(F.col("__h"))).join(F.broadcast(split), [*by, "k", "__bin"])  # a row a group and shuffle
+    dealt = F.row_number().over(Window.partitionBy(*by, "k").orderBy("__h", key)) <= F.col("__left")
+    rest = cut.withColumn("__one", dealt).filter("__one").groupBy(*by, "k").agg(F.count(value).alias("n"), F.sum(value).alias("s"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    both = full.withColumnsRenamed({"n": "__n_full", "s": "__s_full"}).join(rest, [*by, "k"], "left")
+    n1, s1 = zero("__n_full") + zero("n"), zero("__s_full") + zero("s")
+    null = both.select(*by, "k", (ratio(s1, n1) - ratio(F.col("__all_s") - s1, F.col("__all_n") - n1)).alias("d"))
     diff = lambda c: ratio(F.sum(F.when(F.col(c) == 1, F.col(value))), F.sum(F.when(F.col(c) == 1, 1))) - ratio(F.sum(F.when(F.col(c) == 0, F.col(value))), F.sum(F.when(F.col(c) == 0, 1)))
-    null = shuffled.withColumn("__l", one).groupBy(*by, "k").agg(diff("__l").alias("d"))
     seen = rows.groupBy(*by).agg(diff(label).alias("observed"))
     return seen.join(null, by).groupBy(*by, "observed").agg(F.avg(F.when(F.col("d") >= F.col("observed") - 1e-9, 1.0).otherwise(0.0)).alias("pval"))
 

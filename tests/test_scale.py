@@ -61,3 +61,19 @@ def test_reads_and_genes_of_several_rows_meet_once(spark):
     assert sorted(tuple(r) for r in found.collect()) == sorted(want)
     # Pairs of names with one row each are not gathered again.
     assert found._jdf.queryExecution().optimizedPlan().toString().lstrip().startswith("Union")
+
+
+def test_permutations_move_sums_of_bins(spark):
+    import hashlib
+
+    from strainspark.operators import statistics
+
+    rows = [(g, s, float((s * 7 + len(g)) % 11), int(s % 3 == 0)) for g in ("a", "bb") for s in range(1500 if g == "a" else 5)]
+    found = statistics.permutation_p(spark.createDataFrame(rows, "g string, s long, x double, y int"), "x", "y", ["g"], "s", 20)
+    for r in found.collect():
+        own = [x for x in rows if x[0] == r.g]
+        n1, total = sum(x[3] for x in own), sum(x[2] for x in own)
+        d = lambda ones: sum(x[2] for x in ones) / n1 - (total - sum(x[2] for x in ones)) / (len(own) - n1)  # noqa: B023, E731
+        observed = d([x for x in own if x[3]])
+        drawn = [d(sorted(own, key=lambda x: (hashlib.md5(f"{k}:{x[1]}".encode()).hexdigest(), x[1]))[:n1]) for k in range(1, 21)]  # noqa: B023
+        assert abs(r.observed - observed) < 1e-9 and abs(r.pval - sum(v >= observed - 1e-9 for v in drawn) / 20) < 1e-9

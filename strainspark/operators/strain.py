@@ -125,10 +125,11 @@ def strain_features(abundance: DataFrame, frequencies: DataFrame, least: float,
     """(sample, kind, feature, value): log2(x + 1) of strain and species abundance.
 
     Strains of frequency ``least`` or less count 0; samples are kept if their
-    frequency-weighted abundance sums to ``cut`` or more.
+    frequency-weighted abundance sums to ``cut`` or more, at six places, so that
+    the order of summation doesn't decide on a sum that is the cut.
     """
     x = abundance.join(frequencies, ["sample", "species"]).withColumn("ab", F.when(F.col("freq") > least, F.col("freq") * F.col("tpk")).otherwise(0.0))
-    kept = x.groupBy("sample").agg(F.sum("ab").alias("t")).filter(F.col("t") >= cut).select("sample")
+    kept = x.groupBy("sample").agg(F.sum("ab").alias("t")).filter(F.round("t", 6) >= cut).select("sample")
     x = x.join(kept, "sample", "left_semi")
     strains = x.select("sample", F.lit("strain").alias("kind"), F.concat_ws(".", "species", "strain").alias("feature"), "ab")
     species = x.groupBy("sample", "species").agg(F.sum("ab").alias("ab")).select("sample", F.lit("species").alias("kind"), F.col("species").alias("feature"), "ab")

@@ -77,3 +77,15 @@ def test_permutations_move_sums_of_bins(spark):
         observed = d([x for x in own if x[3]])
         drawn = [d(sorted(own, key=lambda x: (hashlib.md5(f"{k}:{x[1]}".encode()).hexdigest(), x[1]))[:n1]) for k in range(1, 21)]  # noqa: B023
         assert abs(r.observed - observed) < 1e-9 and abs(r.pval - sum(v >= observed - 1e-9 for v in drawn) / 20) < 1e-9
+
+
+def test_sums_at_the_cut_are_kept_in_any_order(spark):
+    from strainspark.operators import strain
+
+    # Two strains have 153 of 170 reads, 9/10 exactly; their sum in doubles is below it.
+    total = 10000.0
+    freq = [v / 170 for v in (23, 130, 8, 9)]
+    assert freq[0] * total + freq[1] * total < 9000
+    rows = spark.createDataFrame([("s", "x", f"t{k}", f) for k, f in enumerate(freq)], "sample string, species string, strain string, freq double")
+    found = strain.strain_features(spark.createDataFrame([("s", "x", total)], "sample string, species string, tpk double"), rows, 0.1, 9000)
+    assert found.count() == len(freq) + 1

@@ -11,6 +11,9 @@ from strainspark.functions.numeric import ratio
 from strainspark.functions.special import correlation_p, fisher_exact, normal_two_sided, t_two_sided
 from strainspark.operators.ranking import average_rank
 
+#: Names of a member's sets that are moved in one list.
+LISTED = 1000
+
 
 def correlation(x: str, y: str) -> Column:
     """Pearson correlation from moments, null where a side has no variance."""
@@ -160,10 +163,16 @@ def permutation_p(rows: DataFrame, value: str, label: str, by: list[str], key: s
 
 
 def set_overlaps(sets: DataFrame) -> DataFrame:
-    """(s1, s2, both, n1, n2, jaccard) of pairs of sets (name, member) that share a member."""
+    """(s1, s2, both, n1, n2, jaccard) of pairs of sets (name, member) that share a member.
+
+    A set meets lists of its members' other sets, ``LISTED`` names at most each, and the
+    lists of one set are counted in one place; pairs don't move one by one.
+    """
     sets = sets.distinct()
     sizes = sets.groupBy("name").agg(F.count("*").alias("n"))
-    x, y = sets.select("member", F.col("name").alias("s1")), sets.select("member", F.col("name").alias("s2"))
-    both = x.join(y, "member").filter("s1 < s2").groupBy("s1", "s2").agg(F.count("*").alias("both"))
+    block = F.floor((F.row_number().over(Window.partitionBy("member").orderBy("name")) - 1) / LISTED)
+    lists = sets.filter("name IS NOT NULL").withColumn("__block", block).groupBy("member", "__block").agg(F.collect_list("name").alias("__names"))
+    met = sets.join(lists, "member").select(F.col("name").alias("s1"), F.filter("__names", lambda x: x > F.col("name")).alias("__names")).filter(F.size("__names") > 0)
+    both = met.repartition("s1").select("s1", F.explode("__names").alias("s2")).groupBy("s1", "s2").agg(F.count("*").alias("both"))
     out = both.join(sizes.select(F.col("name").alias("s1"), F.col("n").alias("n1")), "s1").join(sizes.select(F.col("name").alias("s2"), F.col("n").alias("n2")), "s2")
     return out.withColumn("jaccard", ratio(F.col("both"), F.col("n1") + F.col("n2") - F.col("both")))

@@ -89,3 +89,19 @@ def test_sums_at_the_cut_are_kept_in_any_order(spark):
     rows = spark.createDataFrame([("s", "x", f"t{k}", f) for k, f in enumerate(freq)], "sample string, species string, strain string, freq double")
     found = strain.strain_features(spark.createDataFrame([("s", "x", total)], "sample string, species string, tpk double"), rows, 0.1, 9000)
     assert found.count() == len(freq) + 1
+
+
+def test_overlaps_move_lists_of_names(spark, monkeypatch):
+    from strainspark.operators import statistics
+
+    rows = [(k % 11 if k % 5 else None, k % 7 if k % 13 else None) for k in range(60)]
+    sets = {}
+    for name, member in rows:
+        sets.setdefault(name, set()).add(member)
+    want = [(a, b, len((sets[a] & sets[b]) - {None}), len(sets[a]), len(sets[b])) for a in sets for b in sets if a is not None and b is not None and a < b]
+    for listed in (1000, 2):
+        monkeypatch.setattr(statistics, "LISTED", listed)
+        found = statistics.set_overlaps(spark.createDataFrame(rows, "name int, member int"))
+        assert sorted((r.s1, r.s2, r.both, r.n1, r.n2) for r in found.collect()) == sorted(x for x in want if x[2])
+        # The pairs of a set are counted where its lists are; none is a row of a join.
+        assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()

@@ -105,3 +105,33 @@ def test_overlaps_move_lists_of_names(spark, monkeypatch):
         assert sorted((r.s1, r.s2, r.both, r.n1, r.n2) for r in found.collect()) == sorted(x for x in want if x[2])
         # The pairs of a set are counted where its lists are; none is a row of a join.
         assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_genes_of_any_batches_are_fitted_together(monkeypatch):
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    from strainspark.operators import hurdle
+
+    rng = np.random.default_rng(3)
+    design = pd.DataFrame({"dx": [0.0, 0.0, 1.0, 1.0], "age": [0.0, 1.0, 0.0, 1.0], "size": [9, 8, 7, 9]})
+    k = rng.integers(0, 6, (9, 4))
+    k[3], k[5] = (0, 2, 0, 0), (3, 2, 0, 0)  # one pattern, one class
+    gene, pattern = np.nonzero(k)
+    n = k[gene, pattern]
+    s = n * 3 + rng.normal(size=len(n))
+    names = pa.array([None if g == 0 else f"g{g}" for g in gene])  # null is a gene
+    rows = pa.record_batch({"gene": names, "pattern": pa.array(pattern.astype("int32")), "k": pa.array(n), "s": pa.array(s), "q": pa.array(s * s / n + 1)})
+
+    def fits(batches):
+        return pa.Table.from_batches(list(hurdle._tests(design, ["dx", "age"], ["dx"])(iter(batches)))).to_pandas()
+
+    whole = fits([rows])
+    assert whole["gene"].tolist() == [None, *[f"g{g}" for g in range(1, 9)]] and whole["detected"].tolist() == k.sum(axis=1).tolist()
+    assert whole["p_c"].isna()[[3, 5]].all() and whole["p_c"].notna().any() and whole["p_d"].notna().all()
+    pd.testing.assert_frame_equal(fits([rows.slice(i, 4) for i in range(0, len(n), 4)]), whole)
+    monkeypatch.setattr(hurdle, "CELLS", 8)
+    pd.testing.assert_frame_equal(fits([rows]), whole)
+    alone = pd.concat([fits([rows.filter(pa.array(gene == g))]) for g in range(9)], ignore_index=True)
+    pd.testing.assert_frame_equal(alone, whole)

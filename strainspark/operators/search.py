@@ -21,6 +21,8 @@ from strainspark.scratch import Scratch
 LETTERS = "ACGT"
 #: Strains of an estimate, a bit each of a site's pattern.
 MOST_STRAINS = 30
+#: Numbers of a block of samples that are fitted together.
+MOST_NUMBERS = 1 << 19
 
 
 def site_counts(counts: DataFrame) -> DataFrame:
@@ -71,25 +73,44 @@ def likelihoods(sites: DataFrame, genotypes: DataFrame, frequencies: DataFrame,
     return terms.groupBy("estimate").agg(F.sum(alone).alias("loglik"), F.sum(masked.cast("long")).alias("masked"))
 
 
+def _fitted(bits: np.ndarray, n: np.ndarray, z: np.ndarray, rounds: int) -> np.ndarray:
+    """Shares of many samples at once: bits and n are samples by patterns, z samples by strains; a sample stops when it has converged."""
+    p = (1 - ERROR) * ((bits[:, :, None] >> np.arange(z.shape[1])) & 1) + ERROR / 4
+    out, left = z / z.sum(axis=1, keepdims=True), np.arange(len(z))
+    for _ in range(rounds):
+        part = p * out[left, None]
+        more = (n[:, :, None] * part / part.sum(axis=2, keepdims=True)).sum(axis=1)
+        following = more / more.sum(axis=1, keepdims=True)
+        moves = np.abs(following - out[left]).max(axis=1) >= 1e-9
+        out[left] = following
+        if not moves.all():
+            left, p, n = left[moves], p[moves], n[moves]
+            if not len(left):
+                break
+    return out
+
+
 def _mixtures(strains: int, rounds: int):
     @F.pandas_udf("array<double>")
-    def fit(patterns: pd.Series, start: pd.Series) -> pd.Series:
-        out = []
-        for rows, z in zip(patterns, start, strict=True):
-            bits, n = np.array([r["bits"] for r in rows], np.int64), np.array([r["n"] for r in rows], float)
-            p = (1 - ERROR) * ((bits[:, None] >> np.arange(strains)) & 1) + ERROR / 4
-            z = np.full(strains, 1 / strains) if z is None else np.maximum(np.array(z, float), 1e-9)
-            z = z / z.sum()
-            for _ in range(rounds):
-                part = p * z
-                more = (n[:, None] * part / part.sum(axis=1, keepdims=True)).sum(axis=0)
-                following = more / more.sum()
-                done = np.abs(following - z).max() < 1e-9
-                z = following
-                if done:
-                    break
-            out.append(z)
-        return pd.Series(out)
+    def fit(bits: pd.Series, n: pd.Series, start: pd.Series) -> pd.Series:
+        out: list = [None] * len(bits)
+        sizes = bits.map(len).to_numpy()
+        order = np.argsort(sizes, kind="stable")
+        low = 0
+        while low < len(order):
+            # Samples of like many patterns are fitted together; fewer patterns are filled with such that no read has.
+            wide = np.arange(1, len(order) - low + 1) * sizes[order[low:]] * strains
+            here = order[low : low + max(1, int(np.searchsorted(wide, MOST_NUMBERS, side="right")))]
+            low += len(here)
+            most = int(sizes[here[-1]])
+            held, counts, z = np.zeros((len(here), most), np.int64), np.zeros((len(here), most)), np.full((len(here), strains), 1 / strains)
+            for k, i in enumerate(here):
+                held[k, : sizes[i]], counts[k, : sizes[i]] = bits.iat[i], n.iat[i]
+                if start.iat[i] is not None:
+                    z[k] = np.maximum(start.iat[i], 1e-9)
+            for i, found in zip(here, _fitted(held, counts, z, rounds), strict=True):
+                out[i] = found
+        return pd.Series(out, dtype=object)
 
     return fit
 
@@ -114,9 +135,9 @@ def frequency_step(sites: DataFrame, genotypes: DataFrame, strains: int, before:
     gathered = patterns.groupBy("estimate", "sample").agg(F.sort_array(F.collect_list(F.struct("bits", "n"))).alias("patterns"))
     fit = _mixtures(strains, rounds)
     if before is None:
-        return gathered.select("estimate", "sample", fit("patterns", F.lit(None).cast("array<double>")).alias("z"))
+        return gathered.select("estimate", "sample", fit("patterns.bits", "patterns.n", F.lit(None).cast("array<double>")).alias("z"))
     both = before.join(gathered, ["estimate", "sample"], "left")
-    return both.filter("patterns IS NOT NULL").select("estimate", "sample", fit("patterns", "z").alias("z")).union(both.filter("patterns IS NULL").select("estimate", "sample", "z"))
+    return both.filter("patterns IS NOT NULL").select("estimate", "sample", fit("patterns.bits", "patterns.n", "z").alias("z")).union(both.filter("patterns IS NULL").select("estimate", "sample", "z"))
 
 
 def _pairs(strains: int, held: int) -> list[tuple[int, int, int, int]]:

@@ -22,15 +22,14 @@ def sparse_ranks(matrix: DataFrame, n_samples: Column) -> DataFrame:
 def bh_adjusted(rows: DataFrame, p: str, by: list[str], out: str = "padj") -> DataFrame:
     """Benjamini-Hochberg adjusted p within ``by``; null p stay null and don't count.
 
-    The group's number of tests and the rank come from one sort; the running
-    minimum goes from the largest p down.
+    All comes from one sort, from the largest p down: its rank from the other end is
+    the number of tests less those before it, and null p come last.
     """
-    known = rows.filter(F.col(p).isNotNull())
-    n = F.count("*").over(Window.partitionBy(*by))
-    rank = F.rank().over(Window.partitionBy(*by).orderBy(p)) + F.count("*").over(Window.partitionBy(*by, p)) - 1
-    down = Window.partitionBy(*by).orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
-    done = known.withColumn("__rank", rank).withColumn(out, F.least(F.lit(1.0), F.min(F.col(p) * n / F.col("__rank")).over(down))).drop("__rank")
-    return done.unionByName(rows.filter(F.col(p).isNull()).withColumn(out, F.lit(None).cast("double")))
+    order = Window.partitionBy(*by).orderBy(F.desc(p))
+    n, before = F.count(p).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), F.rank().over(order) - 1
+    placed = rows.withColumns({"__n": n, "__rank": n - before})
+    lowest = F.min(F.col(p) * F.col("__n") / F.col("__rank")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn(out, F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), lowest))).drop("__n", "__rank")
 
 
 def first_of(rows: DataFrame, by: list[str], order: list[Column], n: int = 1) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from strainspark.operators import search
+from strainspark.operators import ranking, search
 
 
 def test_samples_are_fitted_together_as_one_by_one():
@@ -26,3 +26,17 @@ def test_samples_are_fitted_together_as_one_by_one():
                 break
         assert np.allclose(together[row], z, atol=1e-8)
     assert np.allclose(together.sum(axis=1), 1)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_adjusted_p_values_come_from_one_sort(spark):
+    rows = [(g, k, p) for g in "ab" for k, p in enumerate([0.01, 0.04, 0.04, None, 0.5, 0.03, float("nan")])]
+    found = ranking.bh_adjusted(spark.createDataFrame(rows, "g string, k int, p double").repartition(3), "p", ["g"])
+    assert sum("Sort [" in line for line in _plan(found).split("\n")) == 1 and "Union" not in _plan(found)
+    got = {(r.g, r.k): r.padj for r in found.collect()}
+    wanted = [0.06, 0.06, 0.06, None, 0.6, 0.06, 1.0]
+    for g in "ab":
+        assert all(got[g, k] is None if w is None else abs(got[g, k] - w) < 1e-9 for k, w in enumerate(wanted))

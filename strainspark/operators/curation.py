@@ -125,19 +125,21 @@ def selected_genes(stats: DataFrame, least_cells: int, least_alpha: float, least
     return stats.filter((F.col("n") >= least_cells) & (F.greatest("alpha", "ref_alpha") >= least_alpha) & (F.abs("log2fc") >= least_fold))
 
 
-def filtered_cells(cells: DataFrame, least_cells: int, least_genes: int, most_genes: int, keep: str | None = None, drop: str | None = None) -> DataFrame:
+def filtered_cells(cells: DataFrame, least_cells: int, least_genes: int, most_genes: int, keep: str | None = None, drop: str | None = None, repeated: bool = True) -> DataFrame:
     """(cell, gene, count) of genes in at least ``least_cells`` cells, then of cells with ``least_genes`` to ``most_genes`` genes.
 
-    ``keep`` and ``drop`` are patterns of cell names; null genes go.
+    ``keep`` and ``drop`` are patterns of cell names; null genes go.  Where no cell and
+    gene come in two rows, ``repeated=False`` spares the tables of distinct ones.
     """
+    number = lambda c: (F.countDistinct(c) if repeated else F.count(c)).alias("n")
     x = cells.filter(F.col("gene").isNotNull() & (F.col("count") > 0))
     if keep:
         x = x.filter(F.rlike(F.col("cell").cast("string"), F.lit(keep)))
     if drop:
         x = x.filter(~F.rlike(F.col("cell").cast("string"), F.lit(drop)))
-    genes = x.groupBy("gene").agg(F.countDistinct("cell").alias("n")).filter(F.col("n") >= least_cells)
+    genes = x.groupBy("gene").agg(number("cell")).filter(F.col("n") >= least_cells)
     x = x.join(genes.select("gene"), "gene", "left_semi")
-    sizes = x.groupBy("cell").agg(F.countDistinct("gene").alias("n")).filter(F.col("n").between(least_genes, most_genes))
+    sizes = x.groupBy("cell").agg(number("gene")).filter(F.col("n").between(least_genes, most_genes))
     return x.join(sizes.select("cell"), "cell", "left_semi").select("cell", "gene", "count")
 
 

@@ -137,7 +137,7 @@ CELLS = "SELECT l_orderkey AS cell, l_partkey AS gene, sum(l_quantity) AS count
 @query(f"""WITH c AS ({CELLS}), g AS (SELECT gene FROM c GROUP BY 1 HAVING count(*) >= 28), k AS (SELECT * FROM c SEMI JOIN g USING (gene) WHERE NOT regexp_matches(cell::VARCHAR, '7$')),
 r AS (SELECT * FROM c WHERE NOT regexp_matches(cell::VARCHAR, '7$')), h AS (SELECT gene FROM r GROUP BY 1 HAVING count(*) >= 28), x AS (SELECT * FROM r SEMI JOIN h USING (gene)), s AS (SELECT cell FROM x GROUP BY 1 HAVING count(*) BETWEEN 3 AND 6) SELECT x.* FROM x SEMI JOIN s USING (cell)""")
 def filtered_cells(spark, d):
-    return curation.filtered_cells(_cells(spark, d), 28, 3, 6, drop="7$")
+    return curation.filtered_cells(_cells(spark, d), 28, 3, 6, drop="7$", repeated=False)
 
 
 STATS = "SELECT p_type AS gene, p_brand AS ident, count(*) FILTER (WHERE p_size > 25) AS n, avg(p_size) AS mean, count(*) FILTER (WHERE p_size > 25) / count(*) AS alpha FROM part GROUP BY 1, 2"

@@ -19,20 +19,25 @@ def keep_samples(matrix: DataFrame, least: float) -> DataFrame:
     return matrix.join(matrix.groupBy("sample").agg(F.sum("value").alias("t")).filter(F.col("t") >= least).select("sample"), "sample", "left_semi")
 
 
-def keep_genes(matrix: DataFrame, samples: int, least: float = 0.0) -> DataFrame:
-    """Rows of the genes with more than ``least`` in ``samples`` samples or more."""
-    good = matrix.filter(F.col("value") > least).groupBy("gene").agg(F.countDistinct("sample").alias("n")).filter(F.col("n") >= samples)
+def keep_genes(matrix: DataFrame, samples: int, least: float = 0.0, repeated: bool = True) -> DataFrame:
+    """Rows of the genes with more than ``least`` in ``samples`` samples or more.
+
+    Where no sample and gene come in two rows, ``repeated=False`` spares the tables of
+    distinct ones, here and below.
+    """
+    number = F.countDistinct("sample") if repeated else F.count("sample")
+    good = matrix.filter(F.col("value") > least).groupBy("gene").agg(number.alias("n")).filter(F.col("n") >= samples)
     return matrix.join(good.select("gene"), "gene", "left_semi")
 
 
-def keep_both(matrix: DataFrame, least: float, samples: int) -> DataFrame:
+def keep_both(matrix: DataFrame, least: float, samples: int, repeated: bool = True) -> DataFrame:
     """Both filters, each judged on the whole matrix."""
-    return keep_samples(matrix, least).join(keep_genes(matrix, samples).select("gene").distinct(), "gene", "left_semi")
+    return keep_samples(matrix, least).join(keep_genes(matrix, samples, repeated=repeated).select("gene").distinct(), "gene", "left_semi")
 
 
-def keep_in_turn(matrix: DataFrame, least: float, samples: int) -> DataFrame:
+def keep_in_turn(matrix: DataFrame, least: float, samples: int, repeated: bool = True) -> DataFrame:
     """Samples first; genes judged on what is left."""
-    return keep_genes(keep_samples(matrix, least), samples)
+    return keep_genes(keep_samples(matrix, least), samples, repeated=repeated)
 
 
 def normalised(matrix: DataFrame, total: float = 1e4) -> DataFrame:

@@ -28,7 +28,7 @@ n AS (SELECT *, log2(10000 * value / sum(value) OVER (PARTITION BY sample) + 1)
 SELECT subject, gene, round(sum(l) / any_value(z.n), 6) AS mean_log FROM n JOIN m USING (sample) JOIN z USING (subject) GROUP BY 1, 2""")
 def strain_abundance_tp10k(spark, d):
     """Flagship: filtered counts, normalised to 1e4 a sample, log2, mean by subject with zeros."""
-    kept = matrix.normalised(matrix.keep_in_turn(counts(spark, d), 1000, 2))
+    kept = matrix.normalised(matrix.keep_in_turn(counts(spark, d), 1000, 2, repeated=False))
     groups = metadata(spark, d).select("sample", F.col("subject").alias("grp"))
     means = matrix.group_means(kept, groups, "log_tpk")
     return means.select(F.col("grp").alias("subject"), "gene", r6("mean", "mean_log"))
@@ -42,13 +42,13 @@ def tp10k_log2(spark, d):
 @query(f"""WITH c AS ({COUNTS}) SELECT * FROM c SEMI JOIN (SELECT sample FROM c GROUP BY 1 HAVING sum(value) >= 12000) s USING (sample)
 SEMI JOIN (SELECT gene FROM c WHERE value > 0 GROUP BY 1 HAVING count(DISTINCT sample) >= 3) g USING (gene)""")
 def sample_gene_filter(spark, d):
-    return matrix.keep_both(counts(spark, d), 12000, 3).select("sample", "gene", "value")
+    return matrix.keep_both(counts(spark, d), 12000, 3, repeated=False).select("sample", "gene", "value")
 
 
 @query(f"""WITH c AS ({COUNTS}), f AS (SELECT * FROM c SEMI JOIN (SELECT sample FROM c GROUP BY 1 HAVING sum(value) >= 12000) s USING (sample))
 SELECT * FROM f SEMI JOIN (SELECT gene FROM f WHERE value > 0 GROUP BY 1 HAVING count(DISTINCT sample) >= 3) g USING (gene)""")
 def sample_then_gene_filter(spark, d):
-    return matrix.keep_in_turn(counts(spark, d), 12000, 3).select("sample", "gene", "value")
+    return matrix.keep_in_turn(counts(spark, d), 12000, 3, repeated=False).select("sample", "gene", "value")
 
 
 @query(f"WITH c AS ({COUNTS}), m AS ({META}), z AS (SELECT subject, count(*) AS n FROM m GROUP BY 1) SELECT subject, gene, sum(value) AS total, round(sum(value) / any_value(n), 6) AS mean FROM c JOIN m USING (sample) JOIN z USING (subject) GROUP BY 1, 2")

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from strainspark.operators import ranking, search
+from strainspark.operators import curation, matrix, ranking, search
 
 
 def test_samples_are_fitted_together_as_one_by_one():
@@ -40,3 +40,15 @@ def test_adjusted_p_values_come_from_one_sort(spark):
     wanted = [0.06, 0.06, 0.06, None, 0.6, 0.06, 1.0]
     for g in "ab":
         assert all(got[g, k] is None if w is None else abs(got[g, k] - w) < 1e-9 for k, w in enumerate(wanted))
+
+
+def test_filters_of_unique_rows_need_no_distinct_ones(spark):
+    rows = spark.createDataFrame([(f"c{c}", f"g{g}", 1.0) for c in range(6) for g in range(c + 1)], "cell string, gene string, count double")
+    cells = lambda **more: curation.filtered_cells(rows, 3, 2, 3, **more)
+    turned = rows.select(rows["cell"].alias("sample"), "gene", rows["count"].alias("value"))
+    for kept in (matrix.keep_both, matrix.keep_in_turn):
+        either, once = kept(turned, 3, 3), kept(turned, 3, 3, repeated=False)
+        assert sorted(either.collect()) == sorted(once.collect()) and once.count()
+        assert _plan(once).count("HashAggregate") < _plan(either).count("HashAggregate")
+    assert sorted(cells().collect()) == sorted(cells(repeated=False).collect()) and cells().count()
+    assert _plan(cells(repeated=False)).count("HashAggregate") < _plan(cells()).count("HashAggregate")

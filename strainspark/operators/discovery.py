@@ -98,6 +98,29 @@ def _running(tally: DataFrame, idents: list[str], scratch: Scratch) -> DataFrame
     return placed.join(first, "gene").select("gene", "value", "at", F.zip_with("before", "first", lambda x, y: x - y).alias("below"))
 
 
+def _below(counts: DataFrame, keys: list[str], scratch: Scratch, name: str) -> DataFrame:
+    """(keys, value, n, below) of (keys, value, n): cells with a smaller positive value of the same keys, from one order by ranges."""
+    placed = in_order(counts.select(*keys, "value", "n"), [F.asc(k) for k in [*keys, "value"]], scratch, name, {"n": F.col("n")})
+    placed = placed.select(*keys, "value", "n", (F.col("running_n") - F.col("n")).alias("before"))
+    first = placed.groupBy(*keys).agg(F.min("before").alias("first"))
+    return placed.join(first, keys).select(*keys, "value", "n", (F.col("before") - F.col("first")).alias("below"))
+
+
+def _against_rest(tally: DataFrame, own: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows of ``own`` by value with n, own_below, ref_below and ref_at: the rest is all cells less the group's, so no row has a column a group."""
+    group = _below(tally, ["gene", "ident"], scratch, "group_values").withColumnRenamed("below", "own_below")
+    whole = _below(tally.groupBy("gene", "value").agg(F.sum("n").alias("n")), ["gene"], scratch, "values").withColumnsRenamed({"n": "all_at", "below": "all_below"})
+    met = own.join(group, ["gene", "ident"]).join(whole, ["gene", "value"])
+    return met.withColumns({"ref_below": F.col("all_below") - F.col("own_below"), "ref_at": F.col("all_at") - F.col("n")}).drop("all_below", "all_at")
+
+
+def _against_each(tally: DataFrame, own: DataFrame, names: list[str], scratch: Scratch) -> DataFrame:
+    """Rows of ``own`` by value with n, own_below, ref_below and ref_at, each from the groups' columns."""
+    met = tally.join(own, ["gene", "ident"]).join(_running(tally, names, scratch), ["gene", "value"])
+    i, j = _place(names, "ident"), F.coalesce(_place(names, "ref"), F.lit(1))
+    return met.withColumns({"own_below": F.element_at("below", i), "ref_below": F.element_at("below", j), "ref_at": F.element_at("at", j)}).drop("below", "at")
+
+
 def _place(idents: list[str], column: str) -> Column:
     return F.array_position(F.array(*[F.lit(i) for i in idents]), F.col(column)).cast("int")
 
@@ -126,12 +149,9 @@ def find_markers(cells: DataFrame, groups: DataFrame, scratch: Scratch, against:
     kept = scratch.keep(selected(contrast_statistics(tally, contrasts, against), least_cells, least_share, least_fold, direction), "kept")
     if not names:
         names = [""]
-    own = kept.select("gene", "ident", "ref", "n", "ref_n", "size", "ref_size", _place(names, "ident").alias("i"), _place(names, "ref").alias("j")).withColumnsRenamed({"n": "own_n"})
-    met = tally.join(own, ["gene", "ident"]).join(_running(tally, names, scratch), ["gene", "value"])
-    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
-    side = lambda a: F.when(F.col("j").isNull(), total(F.col(a)) - F.element_at(a, F.col("i"))).otherwise(F.element_at(a, F.coalesce("j", F.lit(1))))
+    own = kept.select("gene", "ident", "ref", F.col("n").alias("own_n"), "ref_n", "size", "ref_size")
+    met = _against_rest(tally, own, scratch) if against == "rest" else _against_each(tally, own, names, scratch)
     c = F.col
-    met = met.withColumns({"own_below": F.element_at("below", c("i")), "ref_below": side("below"), "ref_at": side("at")}).drop("below", "at")
     met = met.withColumns({"tp": c("own_n") - c("own_below"), "fp": c("ref_n") - c("ref_below"), "wins": c("n") * (c("ref_below") + c("ref_at") / 2 + c("ref_size") - c("ref_n"))})
     smallest = (c("own_below") + c("ref_below") == 0) & (c("own_n") == c("size")) & (c("ref_n") == c("ref_size"))
     f1 = F.when(~smallest, ratio(2 * c("tp"), c("tp") + c("fp") + c("size")))

@@ -2,7 +2,8 @@
 
 import numpy as np
 
-from strainspark.operators import curation, matrix, ranking, search
+from strainspark.operators import curation, discovery, matrix, ranking, search
+from strainspark.scratch import Scratch
 
 
 def test_samples_are_fitted_together_as_one_by_one():
@@ -52,3 +53,19 @@ def test_filters_of_unique_rows_need_no_distinct_ones(spark):
         assert _plan(once).count("HashAggregate") < _plan(either).count("HashAggregate")
     assert sorted(cells().collect()) == sorted(cells(repeated=False).collect()) and cells().count()
     assert _plan(cells(repeated=False)).count("HashAggregate") < _plan(cells()).count("HashAggregate")
+
+
+def test_markers_against_the_rest_have_no_column_a_group(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    idents = [f"g{k:02}" for k in range(30)]
+    of = [idents[k % 30] for k in range(300)]
+    value = rng.integers(0, 5, 300) + np.where(np.array(of) == "g03", 4, 0)
+    cells = spark.createDataFrame([(k, "m", float(v)) for k, v in enumerate(value)], "cell int, gene string, count double")
+    kept, keep = {}, Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, df, name: kept.update({name: len(df.columns)}) or keep(self, df, name))
+    found = discovery.find_markers(cells, spark.createDataFrame(list(enumerate(of)), "cell int, ident string"), Scratch(spark, "markers"))
+    got = {r.ident: r.auc for r in found.collect()}
+    assert kept["values"] < 10 and kept["group_values"] < 10 and "g03" in got
+    for ident, auc in got.items():
+        x, y = value[np.array(of) == ident][:, None], value[np.array(of) != ident][None]
+        assert abs(auc - ((x > y).mean() + (x == y).mean() / 2)) < 1e-9

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strainspark.functions.numeric import ratio
 from strainspark.functions.special import correlation_p, fisher_exact, normal_two_sided, t_two_sided
 from strainspark.operators.ranking import average_rank
+from strainspark.scratch import Scratch
 
 #: Names of a member's sets that are moved in one list.
 LISTED = 1000
+#: Names that sets have met, counted at a time in a worker; of one set all are.
+COUNTED_AT_ONCE = 1 << 20
 
 
 def correlation(x: str, y: str) -> Column:
@@ -162,17 +170,60 @@ def permutation_p(rows: DataFrame, value: str, label: str, by: list[str], key: s
     return seen.join(null, by).groupBy(*by, "observed").agg(F.avg(F.when(F.col("d") >= F.col("observed") - 1e-9, 1.0).otherwise(0.0)).alias("pval"))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(s1, s2, both) of rows (s1, names) that come with equal s1 together, about COUNTED_AT_ONCE names at a time."""
+
+    def counted(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        first, lists = (rows[c].chunk(0) for c in ("s1", "names"))
+        names = lists.flatten().dictionary_encode()
+        # Rows of one s1 are neighbours, so its number and the name's are a key.
+        own = first.dictionary_encode()
+        keys = np.repeat(own.indices.to_numpy().astype(np.int64), lists.value_lengths().to_numpy()) * len(names.dictionary) + names.indices.to_numpy()
+        pairs, both = np.unique(keys, return_counts=True)
+        one, two = np.divmod(pairs, max(len(names.dictionary), 1))
+        return pa.record_batch({"s1": own.dictionary.take(pa.array(one)), "s2": names.dictionary.take(pa.array(two)), "both": pa.array(both.astype(np.int64))})
+
+    held, n = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        n += len(batch["names"].flatten())
+        if n >= COUNTED_AT_ONCE:
+            # The last s1 may go on in the next batch.
+            last = batch["s1"][batch.num_rows - 1]
+            ended = [int(pc.index(x["s1"], last).as_py()) for x in held]
+            now = [x.slice(0, k) if k >= 0 else x for x, k in zip(held, ended, strict=True)]
+            held = [x.slice(k) for x, k in zip(held, ended, strict=True) if k >= 0]
+            n = sum(len(x["names"].flatten()) for x in held)
+            if any(x.num_rows for x in now):
+                yield counted(now)
+    if held:
+        yield counted(held)
+
+
 def set_overlaps(sets: DataFrame) -> DataFrame:
     """(s1, s2, both, n1, n2, jaccard) of pairs of sets (name, member) that share a member.
 
-    A set meets lists of its members' other sets, ``LISTED`` names at most each, and the
-    lists of one set are counted in one place; pairs don't move one by one.
+    A member's names are lists of ``LISTED`` at most.  Each name meets the rest of its
+    own list, and those of the later ones where a member has several, and what a set
+    has met is counted in one place; pairs don't move one by one.
     """
-    sets = sets.distinct()
-    sizes = sets.groupBy("name").agg(F.count("*").alias("n"))
-    block = F.floor((F.row_number().over(Window.partitionBy("member").orderBy("name")) - 1) / LISTED)
-    lists = sets.filter("name IS NOT NULL").withColumn("__block", block).groupBy("member", "__block").agg(F.collect_list("name").alias("__names"))
-    met = sets.join(lists, "member").select(F.col("name").alias("s1"), F.filter("__names", lambda x: x > F.col("name")).alias("__names")).filter(F.size("__names") > 0)
-    both = met.repartition("s1").select("s1", F.explode("__names").alias("s2")).groupBy("s1", "s2").agg(F.count("*").alias("both"))
+    scratch = Scratch(sets.sparkSession, "overlaps")
+    kind = sets.schema["name"].dataType
+    sets = scratch.keep(sets.distinct(), "sets")
+    # Few rows beside the pairs; as a table their size is known before these are joined.
+    sizes = scratch.keep(sets.groupBy("name").agg(F.count("*").alias("n")), "sizes")
+    whole = sets.filter("name IS NOT NULL AND member IS NOT NULL")
+    several = not whole.groupBy("member").count().filter(F.col("count") > LISTED).isEmpty()
+    block = F.floor((F.row_number().over(Window.partitionBy("member").orderBy("name")) - 1) / LISTED) if several else F.lit(0)
+    lists = whole.withColumn("block", block).groupBy("member", "block").agg(F.sort_array(F.collect_list("name")).alias("names"))
+    met = lists.select(F.posexplode("names").alias("k", "s1"), "names").filter(F.col("k") + 1 < F.size("names")).select("s1", F.slice("names", F.col("k") + 2, LISTED).alias("names"))
+    if several:
+        own = lists.select("member", F.explode("names").alias("s1"), F.col("block").alias("own"))
+        met = met.union(own.join(lists, "member").filter("own < block").select("s1", "names"))
+    dealt = met.repartition("s1").sortWithinPartitions("s1")
+    both = dealt.mapInArrow(_counted, T.StructType([T.StructField("s1", kind), T.StructField("s2", kind), T.StructField("both", T.LongType())]))
     out = both.join(sizes.select(F.col("name").alias("s1"), F.col("n").alias("n1")), "s1").join(sizes.select(F.col("name").alias("s2"), F.col("n").alias("n2")), "s2")
     return out.withColumn("jaccard", ratio(F.col("both"), F.col("n1") + F.col("n2") - F.col("both")))

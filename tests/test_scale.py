@@ -107,6 +107,45 @@ def test_overlaps_move_lists_of_names(spark, monkeypatch):
         assert "collect_list" in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_overlaps_are_counted_by_arrays(spark, monkeypatch):
+    from strainspark.operators import statistics
+
+    rows = [(f"n{k * k % 23}", k % 9) for k in range(200)] + [(None, 1), ("n1", None), ("alone", 99)]
+    sets = {}
+    for name, member in rows:
+        sets.setdefault(name, set()).add(member)
+    del sets[None]
+    want = [(a, b, n, len(sets[a]), len(sets[b])) for a in sets for b in sets if a < b and (n := len((sets[a] & sets[b]) - {None}))]
+    for listed, at_once in ((1000, 1 << 20), (1000, 3), (2, 5)):
+        monkeypatch.setattr(statistics, "LISTED", listed)
+        monkeypatch.setattr(statistics, "COUNTED_AT_ONCE", at_once)
+        found = statistics.set_overlaps(spark.createDataFrame(rows, "name string, member int"))
+        assert sorted((r.s1, r.s2, r.both, r.n1, r.n2) for r in found.collect()) == sorted(want)
+        # No pair is a row before it is counted.
+        assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert statistics.set_overlaps(spark.createDataFrame([], "name string, member int")).count() == 0
+
+
+def test_batches_of_met_names_are_cut_between_sets():
+    import pyarrow as pa
+
+    from strainspark.operators import statistics
+
+    kept, statistics.COUNTED_AT_ONCE = statistics.COUNTED_AT_ONCE, 4
+    try:
+        rows = [(s, [(s * 7 + j * k) % 5 for j in range(k % 4)]) for s in range(6) for k in range(s + 3)]
+        whole = pa.record_batch({"s1": pa.array([s for s, _ in rows], "int32"), "names": pa.array([x for _, x in rows], pa.list_(pa.int32()))})
+        for step in (1, 2, 5, 100):
+            got = [r for b in statistics._counted(whole.slice(i, step) for i in range(0, len(rows), step)) for r in b.to_pylist()]
+            want = {}
+            for s, names in rows:
+                for x in names:
+                    want[s, x] = want.get((s, x), 0) + 1
+            assert sorted((r["s1"], r["s2"], r["both"]) for r in got) == sorted((*k, n) for k, n in want.items())
+    finally:
+        statistics.COUNTED_AT_ONCE = kept
+
+
 def test_genes_of_any_batches_are_fitted_together(monkeypatch):
     import numpy as np
     import pandas as pd
